@@ -10,25 +10,25 @@ STOPWORDS = {
         "the of and in is it that to a an are was were but which when what with for from on at by as this these those than then "
         "not no yes or if who how why does do did can has have had been be they their there here you your i my we our she he his her "
         "its about into over under between after before during through while once only most often people day may should would could "
-        "will more less every any some such whereas because without until since near too very also"
+        "will more less every any some such whereas because without until since near too very also grams connected expected really please just still"
     ).split(),
     "fr": (
         "le la les un une des du de et en est que qui dans pour par sur avec sans mais ou où ne pas plus ce cette ces se sa son ses "
         "au aux il elle ils elles je nous vous votre vos mon ma mes d l c s n qu j quand parce comme tout toute toutes tous très bien "
         "entre pendant avant après sous chez même seulement alors dont été être sont ont ai avez cela oui non si vraiment souvent puis "
-        "depuis jour environ lors lorsque aussi fait peut"
+        "depuis jour environ lors lorsque aussi fait peut puis prendre grammes lien pourquoi froid vrai prends semaines normal quel quelle"
     ).split(),
     "de": (
         "der die das den dem des ein eine einer eines einem einen und ist im in zu auf mit von für aber nicht nur auch es sich wie wenn "
         "dass ob bei nach vor über unter zwischen während sehr wird werden wurde sind hat haben ich wir sie er ihr ihre mein meine am um "
         "als oder denn doch so zum zur aus bis durch ohne gegen noch schon da dort hier ja nein kein keine etwa man oft selten gilt den "
-        "jede jeder jedem viele alte alten warum wer was ist seit"
+        "jede jeder jedem viele alte alten warum wer was ist seit darf gramm nehmen nehme stimmt hängen haengen zusammen wichtiger friere lese wochen normal"
     ).split(),
     "es": (
         "el la los las un una unos unas de del y en es que por para con sin pero o no sí se su sus al lo le les me mi mis nos yo él ella "
         "ellos ellas este esta estos estas ese esa como cuando porque más muy ya también entre durante antes después bajo sobre hasta "
         "desde según hay ha han fue son está están ser casi día unos cada otro otra mientras solo eso esto cuál qué quién dónde cómo "
-        "tras tan todo toda todos todas por"
+        "tras tan todo toda todos todas puedo tomar tomo gramos relación importa verdad tengo frío semanas normal"
     ).split(),
 }
 WORD = re.compile(r"[^\W\d_]+")
