@@ -3,9 +3,10 @@
 1. Postings: one pass over the documents stores, for each, the terms that any test item uses and their
    positions. The tested vocabulary is sent along if it has at most ``max_vocabulary`` terms; beyond that all
    terms are stored.
-2. Rarest first: for each run of ``length`` words of a test item, its term of least document frequency is
-   the anchor. Only the postings of anchors meet the test items; each meeting fixes the offset of a
-   possible match.
+2. Rarest first: for each run of ``length`` words of a test item, its ``rarest`` terms of least document
+   frequency are the anchors. Only the postings of anchors meet the test items; each meeting fixes the offset
+   of a possible match, and an offset stays if at least ``rarest`` anchors agree on it, as those of any exact
+   run do.
 3. Intersection: at such offsets the lists of the other terms are joined in, and runs of consecutive
    positions of at least ``length`` words are exact matches; their total per item is the proximity count.
 
@@ -15,6 +16,7 @@ are ignored; an empty side gives no rows. Items of fewer than ``length`` words c
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import broadcast_if_small, plain_words
-from loomline.session import cut_lineage
+from loomline.session import cut_lineage, written
+
+
+def term_id(word: str) -> int:
+    """63 bits that stand for a word in the index."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") >> 1
 
 
 def _test_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,11 +37,11 @@ def _test_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, field, t in zip(pdf["item_id"], pdf["field"], pdf["text"], strict=True):
             if isinstance(t, str):
-                rows += [(i, field, k, w) for k, w in enumerate(plain_words(t))]
-        yield pd.DataFrame(rows, columns=["item_id", "field", "tpos", "term"])
+                rows += [(i, field, k, w, term_id(w)) for k, w in enumerate(plain_words(t))]
+        yield pd.DataFrame(rows, columns=["item_id", "field", "tpos", "word", "term"])
 
 
-def _postings(vocabulary: frozenset | None):
+def _postings(vocabulary: dict[str, int] | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             ids, terms, places = [], [], []
@@ -45,7 +52,7 @@ def _postings(vocabulary: frozenset | None):
                 at = [k for k, x in enumerate(w) if x in vocabulary] if vocabulary is not None else list(range(len(w)))
                 if at:
                     ids.append(i)
-                    terms.append([w[k] for k in at])
+                    terms.append([vocabulary[w[k]] if vocabulary is not None else term_id(w[k]) for k in at])
                     places.append(at)
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "terms": terms, "places": places})
 
@@ -53,38 +60,38 @@ def _postings(vocabulary: frozenset | None):
 
 
 def test_terms(items: DataFrame, fields: tuple[str, ...] = ("question", "reference_answer")) -> DataFrame:
-    """(item_id, field, tpos, term) of each word of the test items."""
+    """(item_id, field, tpos, word, term) of each word of the test items."""
     long = None
     for f in fields:
         part = items.filter("id IS NOT NULL").select(F.col("id").cast("string").alias("item_id"), F.lit(f).alias("field"), F.col(f).alias("text")).distinct()
         long = part if long is None else long.unionByName(part)
-    return long.mapInPandas(_test_terms, "item_id string, field string, tpos int, term string")
+    return long.mapInPandas(_test_terms, "item_id string, field string, tpos int, word string, term bigint")
 
 
-def index(documents: DataFrame, vocabulary: frozenset | None) -> DataFrame:
+def index(documents: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
     """(doc_id, terms, places): the stored postings, by document."""
     rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return cut_lineage(rows.mapInPandas(_postings(vocabulary), "doc_id bigint, terms array<string>, places array<int>"))
+    return written(rows.mapInPandas(_postings(vocabulary), "doc_id bigint, terms array<bigint>, places array<int>"), "postings")
 
 
-def matches(documents: DataFrame, items: DataFrame, length: int = 12, max_vocabulary: int = 200_000, max_anchor_rows: int = 2_000_000) -> DataFrame:
+def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: int = 3, max_vocabulary: int = 200_000, max_anchor_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, field, longest_run, matched_words, first_pos): exact runs of at least ``length`` words."""
     terms = cut_lineage(test_terms(items))
-    words = [r[0] for r in terms.select("term").distinct().limit(max_vocabulary + 1).collect()]
-    postings = index(documents, frozenset(words) if len(words) <= max_vocabulary else None)
+    words = [r[0] for r in terms.select("word").distinct().limit(max_vocabulary + 1).collect()]
+    postings = index(documents, {w: term_id(w) for w in words} if len(words) <= max_vocabulary else None)
     frequency = postings.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    ranked = terms.join(frequency, "term", "left").withColumn("rank", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "tpos"))
+    ranked = terms.join(frequency, "term", "left").withColumn("entry", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "tpos"))
     run = Window.partitionBy("item_id", "field").orderBy("tpos").rowsBetween(0, length - 1)
-    anchors = (
-        ranked.withColumn("best", F.min("rank").over(run)).withColumn("words", F.count("*").over(run)).filter(F.col("words") == length)
-        .filter("best.df > 0").select("item_id", "field", F.col("best.term").alias("term"), F.col("best.tpos").alias("tpos")).distinct()
-    )
+    first = F.slice(F.array_sort(F.collect_list("entry").over(run)), 1, rarest)  # of ``length`` entries
+    chosen = ranked.withColumn("best", first).withColumn("words", F.count("*").over(run)).filter(F.col("words") == length).filter(F.col("best")[0]["df"] > 0)
+    anchors = chosen.select("item_id", "field", F.explode("best").alias("b")).select("item_id", "field", F.col("b.term").alias("term"), F.col("b.tpos").alias("tpos")).distinct()
     anchors = broadcast_if_small(cut_lineage(anchors), max_anchor_rows)
     lists = postings.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
-    offsets = cut_lineage(lists.join(anchors, "term").select("doc_id", "item_id", "field", (F.col("pos") - F.col("tpos")).alias("shift")).distinct())
+    met = lists.join(anchors, "term").groupBy("doc_id", "item_id", "field", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.count("*").alias("n"))
+    offsets = cut_lineage(met.filter(F.col("n") >= rarest).drop("n"))
     hit = postings.join(broadcast_if_small(offsets.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")
     of_hits = hit.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
-    expected = offsets.join(broadcast_if_small(terms, max_anchor_rows), ["item_id", "field"]).withColumn("pos", F.col("tpos") + F.col("shift"))
+    expected = offsets.join(broadcast_if_small(terms.drop("word"), max_anchor_rows), ["item_id", "field"]).withColumn("pos", F.col("tpos") + F.col("shift"))
     met = expected.join(of_hits, ["doc_id", "term", "pos"]).select("doc_id", "item_id", "field", "shift", "tpos").distinct()
     line = Window.partitionBy("doc_id", "item_id", "field", "shift").orderBy("tpos")
     runs = (
