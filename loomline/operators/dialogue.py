@@ -51,15 +51,20 @@ def event_time(ts: Column) -> Column:
     return F.try_to_timestamp(F.replace(F.trim(ts), F.lit("T"), F.lit(" ")))
 
 
+def _asker() -> Column:
+    """Rows without an asker stand alone."""
+    return F.coalesce("ip_hash", F.concat(F.lit("row "), F.col("id").cast("string")))
+
+
 def history(log: DataFrame, turns: int = 4, chars: int = 200) -> DataFrame:
     """(id, history): the last questions of the same asker before each row, each cut to ``chars``; a bounded frame, not a list of all."""
-    w = Window.partitionBy("ip_hash").orderBy("at", "id").rowsBetween(-turns, -1)
+    w = Window.partitionBy(_asker()).orderBy("at", "id").rowsBetween(-turns, -1)
     return log.select("id", F.concat_ws(" / ", F.collect_list(F.substring("question", 1, chars)).over(w)).alias("history"))
 
 
 def resolve(log: DataFrame) -> DataFrame:
     """(id, resolved): a vague question gets the asker's question before it in front."""
-    w = Window.partitionBy("ip_hash").orderBy("at", "id")
+    w = Window.partitionBy(_asker()).orderBy("at", "id")
     before = F.lag("question").over(w)
     vague = T.any_of(F.concat(F.lit(" "), F.col("question"), F.lit(" ")), VAGUE)
     return log.select("id", F.when(vague & before.isNotNull(), F.concat(before, F.lit(" — "), "question")).otherwise(F.col("question")).alias("resolved"), (vague & before.isNotNull()).alias("vague"))

@@ -62,7 +62,7 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
 _VAGUE = "(" + " OR ".join(f"contains(lower(' ' || question || ' '), {_q(x)})" for x in D.VAGUE) + ")"
 
 
-@query(f"""WITH {_LOG}, r AS (SELECT id, question, lag(question) OVER (PARTITION BY ip_hash ORDER BY seen, id) AS before FROM log WHERE seen IS NOT NULL)
+@query(f"""WITH {_LOG}, r AS (SELECT id, question, lag(question) OVER (PARTITION BY coalesce(ip_hash, 'row ' || id) ORDER BY seen, id) AS before FROM log WHERE seen IS NOT NULL)
 SELECT id, md5(CASE WHEN {_VAGUE} AND before IS NOT NULL THEN before || ' — ' || question ELSE question END) AS resolved_md5, {_VAGUE} AND before IS NOT NULL AS vague FROM r""")
 def pronoun_resolution(spark: SparkSession, d: str) -> DataFrame:
     return D.resolve(_log(spark, d).filter("at IS NOT NULL")).select("id", F.md5("resolved").alias("resolved_md5"), "vague")
