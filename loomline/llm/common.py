@@ -42,9 +42,9 @@ def one_kind(col: Column) -> Column:
     return out.otherwise(F.lower(F.trim(col)))
 
 
-_MOJIBAKE = re.compile("[ÂÃâ][-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}")
+_MOJIBAKE = re.compile("[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_DIVIDED = re.compile(r"(\w)[-‐‑]\s*[\r\n  ]+[\s>|*]*(?=\w)")
+_DIVIDED = re.compile(r"(\w)[-‐‑]\s*[\r\n  ]+[\s>|*]*(?=\w)")
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>")
 _WORD = re.compile(r"[^\W_]+")
 

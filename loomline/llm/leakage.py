@@ -54,7 +54,8 @@ def _postings(vocabulary: dict[str, int] | None):
                     ids.append(i)
                     terms.append([vocabulary[w[k]] if vocabulary is not None else term_id(w[k]) for k in at])
                     places.append(at)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "terms": terms, "places": places})
+            if ids:
+                yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "terms": terms, "places": places})
 
     return run
 

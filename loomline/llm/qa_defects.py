@@ -83,7 +83,7 @@ ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•–])\s+\S")
 BARE_ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s*$")
 HEADING = re.compile(r"^\s*(?:\*\*[^*\n]+\*\*|__[^_\n]+__|#{1,6}\s+[^\n]+|[^\n.!?]{1,40}:)\s*$")
 TAG = re.compile(r"<[^>\n]*>|&nbsp;")
-INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
+INVISIBLE = re.compile("[​-‏⁠﻿­]")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|(?<=:)\s*\n+")
 WORD = re.compile(r"[^\W_]+")
 LANGUAGE_ASKED = re.compile(r"\b(?:in|auf|en)\s+(" + "|".join(sorted(NAME_TO_CODE, key=len, reverse=True)) + r")\b")

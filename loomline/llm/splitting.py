@@ -69,6 +69,9 @@ def split(text: str, limit: int, overlap: int, least: int | None = None) -> list
             return out
         cut, kind = 0, ""
         for begin in dict.fromkeys((start, done)):
+            if n - begin <= limit:  # without the overlap the rest fits
+                out.append((begin, n, "end_of_text"))
+                return out
             low, high = done + least, begin + limit
             if low <= high:
                 i = np.searchsorted(marks, low)

@@ -5,8 +5,7 @@ totals are a Spark cube over small columns. The language is voted for by the sto
 
 Nulls: a null or empty text has 0 tokens and language ``unknown``; a missing topic is ``unknown``; a
 missing kind is taken from the file's row in ``source_files``, else ``unknown``. A passage that comes
-twice under one id counts once. Extra columns are ignored; an empty table gives the one grand total row
-of zero passages.
+twice under one id counts once. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

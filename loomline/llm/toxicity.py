@@ -280,7 +280,8 @@ def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for _, _, s, cues in sentences(t, finder):
                     named, hashed = features(s, cues)
                     rows.append((i, float(y), named, hashed))
-        yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> np.ndarray:
