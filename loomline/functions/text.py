@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ SPACE = r"[\s\p{Z}]+"
 NOT_WORD = r"[^\p{L}\p{N}\p{Mn}_\s\p{Z}]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda an expression would be worked out for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squeeze(t: Column) -> Column:
     """White space of any kind as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(t, SPACE, " "))
@@ -44,13 +51,15 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 def keyword_hits(t: Column, keywords: list[str]) -> Column:
     """How many of the keywords occur as substrings."""
-    low = F.lower(F.coalesce(t, F.lit("")))
+    return once(F.lower(F.coalesce(t, F.lit(""))), lambda low: _hits(low, keywords))
+
+
+def _hits(low: Column, keywords: list[str]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k)))
 
 
 def any_of(t: Column, phrases: list[str]) -> Column:
-    low = F.lower(F.coalesce(t, F.lit("")))
-    return F.exists(F.array(*map(F.lit, phrases)), lambda k: F.contains(low, k))
+    return once(F.lower(F.coalesce(t, F.lit(""))), lambda low: _hits(low, phrases) > 0)
 
 
 def clean_path(p: Column) -> Column:

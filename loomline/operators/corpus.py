@@ -29,8 +29,12 @@ def quality_reason(text: Column, fillers: list[str], least_words: int = 25, gap:
 
 def top_topics(text: Column, taxonomy: dict[str, list[str]], k: int = 3) -> Column:
     """The k topics with most keywords present, ties in the order of declaration; empty if none."""
-    scored = F.array(*[F.struct((-T.keyword_hits(text, kw)).alias("score"), F.lit(i).alias("ord"), F.lit(t).alias("topic")) for i, (t, kw) in enumerate(taxonomy.items())])
-    return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["score"] < 0)), 1, k), lambda x: x["topic"])
+
+    def ranked(low: Column) -> Column:
+        scored = F.array(*[F.struct((-T._hits(low, kw)).alias("score"), F.lit(i).alias("ord"), F.lit(t).alias("topic")) for i, (t, kw) in enumerate(taxonomy.items())])
+        return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["score"] < 0)), 1, k), lambda x: x["topic"])
+
+    return T.once(F.lower(F.coalesce(text, F.lit(""))), ranked)
 
 
 def padded_words(text: Column) -> Column:
@@ -45,11 +49,14 @@ def phrase_count(padded: Column, phrase: str) -> Column:
 
 def weighted_topic(text: Column, keywords: list[str]) -> Column:
     """Whole-word counts weighted by keyword length / 10, over the number of keywords."""
-    padded = padded_words(text)
-    total = F.lit(0.0)
-    for k in keywords:
-        total = total + phrase_count(padded, k) * (len(k) / 10.0)
-    return F.round(total / len(keywords), 6)
+
+    def total(padded: Column) -> Column:
+        out = F.lit(0.0)
+        for k in keywords:
+            out = out + phrase_count(padded, k) * (len(k) / 10.0)
+        return F.round(out / len(keywords), 6)
+
+    return T.once(padded_words(text), total)
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -86,12 +93,15 @@ def clean_by_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def difficulty(text: Column, technical: list[str]) -> Column:
     """0.4 * sentence length + 0.3 * variety of words + 0.3 * share of technical words, each capped at 1; 0.5 for no words."""
-    w = T.letters(text)
-    n = F.size(w)
     sentences = F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([.!?]+)"), F.lit(1))))
-    tech = F.size(F.filter(w, lambda x: x.isin(*technical)))
-    score = 0.4 * F.least(F.lit(1.0), n / sentences / 30) + 0.3 * F.least(F.lit(1.0), 3 * F.size(F.array_distinct(w)) / n) + 0.3 * F.least(F.lit(1.0), 10 * tech / n)
-    return F.when(n == 0, F.lit(0.5)).otherwise(F.round(score, 6))
+
+    def score(w: Column) -> Column:
+        n = F.size(w)
+        tech = F.size(F.filter(w, lambda x: x.isin(*technical)))
+        value = 0.4 * F.least(F.lit(1.0), n / sentences / 30) + 0.3 * F.least(F.lit(1.0), 3 * F.size(F.array_distinct(w)) / n) + 0.3 * F.least(F.lit(1.0), 10 * tech / n)
+        return F.when(n == 0, F.lit(0.5)).otherwise(F.round(value, 6))
+
+    return T.once(T.letters(text), score)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, share: float) -> DataFrame:

@@ -63,8 +63,9 @@ def verb_pattern(relations: dict[str, list[str]] = RELATIONS) -> str:
 
 def triples(df: DataFrame, id_col: str, text_col: str, relations: dict[str, list[str]] = RELATIONS) -> DataFrame:
     """(id, subject, relation, object) of each stated relation; articles dropped, verbs brought to their relation."""
-    low, p = F.lower(F.coalesce(text_col, F.lit(""))), F.lit(verb_pattern(relations))
-    parts = F.arrays_zip(F.regexp_extract_all(low, p, F.lit(1)).alias("s"), F.regexp_extract_all(low, p, F.lit(2)).alias("v"), F.regexp_extract_all(low, p, F.lit(3)).alias("o"))
+    pattern = verb_pattern(relations)
+    stated = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))  # one scan of the text
+    parts = F.transform(stated, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("s"), F.regexp_extract(m, pattern, 2).alias("v"), F.regexp_extract(m, pattern, 3).alias("o")))
     long = df.select(F.col(id_col).alias("id"), F.explode(parts).alias("t"))
     name = lambda c: F.trim(F.regexp_replace(c, "^(the|a|an) ", ""))
     relation = F.when(F.lit(False), F.lit(""))
