@@ -148,10 +148,13 @@ def _joined(m: re.Match) -> str:
     t = re.sub(r"[ .\-_*]", "", raw)
     if t in SINGLE:
         return t
-    best = max((w for w in SINGLE if len(w) >= 4 and w in t), key=len, default="")
-    if len(best) >= len(t) - 2 and best:
-        at = t.index(best)
-        return f"{t[:at]} {best} {t[at + len(best):]}".strip()
+    # several words in one run of letters: take known words out, the longest first, if little else is left
+    rest, found = t, []
+    while best := max((w for w in SINGLE if len(w) >= 4 and w in rest), key=len, default=""):
+        found.append(best)
+        rest = rest.replace(best, " ", 1)
+    if found and len(rest.replace(" ", "")) <= 2:
+        return " ".join(sorted(found, key=t.index) + rest.split())
     return raw
 
 
