@@ -9,13 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import ensure_checkpoint_dir
+from loomline.session import ensure_checkpoint_dir, table
 from loomline.streaming.state import ema_update
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events", files_per_batch: int = 8) -> DataFrame:
     """A table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
