@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _marked(df: DataFrame, keys: list[str], start: str, end: str, order: list[str], gap_minutes: int) -> DataFrame:
+    """Running number of the session within ``keys``: a new one begins where ``gap_minutes`` pass after the row before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.lag(end).over(w)
+    new = F.when(before.isNull() | (F.col(start) > before + F.expr(f"INTERVAL {gap_minutes} MINUTES")), 1).otherwise(0)
+    return df.withColumn("_new", new).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def sessions(events: DataFrame, gap_minutes: int = 360) -> DataFrame:
-    """(user_id, session_no, start, end, events): a session ends where ``gap_minutes`` pass without an event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.when(F.lag("ts").over(w).isNull() | (F.col("ts") > F.lag("ts").over(w) + F.expr(f"INTERVAL {gap_minutes} MINUTES")), 1).otherwise(0)
-    marked = events.withColumn("new", new)
-    numbered = marked.withColumn("session_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session_no").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events"))
+    """(user_id, session_no, start, end, events): a session ends where ``gap_minutes`` pass without an event.
+
+    Events are first joined to sessions inside each day of a user, which spreads a hot user over tasks; then the days'
+    sessions, a few rows each, are joined across midnight in the same way.
+    """
+    days = events.withColumn("_day", F.to_date("ts"))
+    local = _marked(days, ["user_id", "_day"], "ts", "ts", ["ts", "event_id"], gap_minutes)
+    parts = local.groupBy("user_id", "_day", "_no").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")).drop("_no")
+    whole = _marked(parts, ["user_id"], "start", "end", ["start"], gap_minutes)
+    return whole.groupBy("user_id", F.col("_no").alias("session_no")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("events"))
 
 
 def last_n(events: DataFrame, n: int) -> DataFrame:
@@ -29,12 +41,15 @@ def moving_mean(daily: DataFrame, value: str, days: int = 7) -> DataFrame:
 
 def ema(events: DataFrame, keep: float = 0.9, start: float = 0.5) -> DataFrame:
     """(user_id, n, ema) of v <- keep * v + (1 - keep) * p in order of time, in closed form: each event weighs
-    (1 - keep) * keep^(events after it), so the fold is a sum and no user's events are ever held together."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    after = events.withColumn("after", F.row_number().over(w) - 1)
-    weight = (1 - keep) * F.pow(F.lit(keep), F.col("after"))
-    n = F.count("*")
-    return after.groupBy("user_id").agg(n.alias("n"), F.round(F.sum(weight * F.col("p")) + start * F.pow(F.lit(keep), n), 6).alias("ema"))
+    (1 - keep) * keep^(events after it). Days of a user are summed on their own and then joined by the number of
+    events after each day, so no user's events are held together or sorted in one task."""
+    w = Window.partitionBy("user_id", "_day").orderBy(F.desc("ts"), F.desc("event_id"))
+    later = Window.partitionBy("user_id").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    after = events.withColumn("_day", F.to_date("ts")).withColumn("_after", F.row_number().over(w) - 1)
+    days = after.groupBy("user_id", "_day").agg(F.count("*").alias("n"), F.sum((1 - keep) * F.pow(F.lit(keep), F.col("_after")) * F.col("p")).alias("s"))
+    placed = days.withColumn("_later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    n = F.sum("n")
+    return placed.groupBy("user_id").agg(n.alias("n"), F.round(F.sum(F.col("s") * F.pow(F.lit(keep), F.col("_later"))) + start * F.pow(F.lit(keep), n), 6).alias("ema"))
 
 
 def mastery(events: DataFrame) -> DataFrame:
@@ -60,10 +75,12 @@ def style(events: DataFrame) -> DataFrame:
 
 
 def leave_last_out(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Train and test: the last event of each user with at least two is the test."""
-    w = Window.partitionBy("user_id")
-    r = events.withColumn("r", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id")))).withColumn("n", F.count("*").over(w))
-    return r.filter((F.col("r") > 1) | (F.col("n") < 2)).drop("r", "n"), r.filter((F.col("r") == 1) & (F.col("n") >= 2)).drop("r", "n")
+    """Train and test: the last event of each user with at least two is the test. The last event is an aggregate with
+    map-side combine; the rest is found by the id of the event, so a hot user makes no hot task."""
+    rest = [c for c in events.columns if c != "user_id"]
+    last = events.groupBy("user_id").agg(F.count("*").alias("_n"), F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("r"))
+    test = last.filter("_n >= 2").select("user_id", "r.*").select(*events.columns)
+    return events.join(test.select("event_id"), "event_id", "left_anti").select(*events.columns), test
 
 
 def popularity_metrics(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:

@@ -147,12 +147,12 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_results").select("id", T.stable_id("v3_", F.col("source_file"), F.col("id")).alias("stable_id"), F.substring(F.sha2(F.coalesce(t, F.lit("")), 256), 1, 16).alias("content_hash"), T.token_estimate(t).alias("token_estimate"))
 
 
-@query(r"""SELECT source_file, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(source_file, '\', '/'), '^.*/', ''), '\.[a-z0-9]+$', ''), '_processed$', ''), '-[0-9]+$', ''), '[-_]+', ' ', 'g')) AS extracted FROM source_files""")
+@query(r"""SELECT source_file, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(source_file, '\', '/'), '^.*/', ''), '\.[a-z0-9]+$', ''), '_processed$', ''), '-[0-9]+$', ''), '[-_]+', ' ', 'g')) AS extracted FROM (SELECT DISTINCT source_file FROM search_results)""")
 def title_extract(spark: SparkSession, d: str) -> DataFrame:
     c = T.clean_path(F.col("source_file"))
     for p, by in ((r"^.*/", ""), (r"\.[a-z0-9]+$", ""), (r"_processed$", ""), (r"-[0-9]+$", ""), (r"[-_]+", " ")):
         c = F.regexp_replace(c, p, by)
-    return table(spark, d, "source_files").select("source_file", F.trim(c).alias("extracted"))
+    return table(spark, d, "search_results").select("source_file").distinct().select("source_file", F.trim(c).alias("extracted"))
 
 
 _YEAR = r"\b((?:19|20)[0-9]{2})\b"

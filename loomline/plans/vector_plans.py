@@ -121,8 +121,8 @@ SELECT vec_id, label, cluster, score FROM (SELECT *, row_number() OVER (PARTITIO
 def centroid_assign(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     c = V.centroids(e, "label", 64).withColumnRenamed("label", "cluster")
-    best = F.max(F.struct(F.round(cosine(F.col("embedding"), F.col("centroid")), 6).alias("score"), (-F.col("cluster")).alias("order")))
-    return e.join(F.broadcast(c)).groupBy("vec_id", "label").agg(best.alias("b")).select("vec_id", "label", (-F.col("b.order")).alias("cluster"), F.col("b.score").alias("score"))
+    near = V.knn_join(c.select(F.col("cluster").cast("bigint").alias("id"), F.col("centroid").alias("vec")), e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), 1)
+    return near.join(e.select(F.col("vec_id").alias("qid"), "label"), "qid").select(F.col("qid").alias("vec_id"), "label", F.col("id").alias("cluster"), "score")
 
 
 @query("""WITH v AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS s0,

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -77,7 +78,8 @@ def test_empty_vectors(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from([0.0, 1.0])), min_size=1, max_size=30))
 def test_ema_closed_form(spark, events):
-    df = spark.createDataFrame([(u, i, i, p) for i, (u, p) in enumerate(events)], "user_id long, ts long, event_id long, p double")
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(u, start + timedelta(hours=7 * i), i, p) for i, (u, p) in enumerate(events)], "user_id long, ts timestamp, event_id long, p double")
     want = {}
     for u, p in events:
         want[u] = 0.9 * want.get(u, 0.5) + 0.1 * p
@@ -85,6 +87,24 @@ def test_ema_closed_form(spark, events):
     assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 2e-6 for u in got)
 
 
+def test_sessions_across_days(spark):
+    rnd = random.Random(4)
+    at = datetime(2024, 1, 1, 20)
+    rows, want = [], []
+    for i in range(200):
+        step = rnd.choice([1, 50, 200, 359, 360, 361, 900, 2000])
+        if i and step <= 360:
+            at += timedelta(minutes=step)
+            want[-1] = (want[-1][0], at, want[-1][2] + 1)
+        else:
+            at += timedelta(minutes=step if i else 0)
+            want.append((at, at, 1))
+        rows.append((1, at, i))
+    got = learning.sessions(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long")).orderBy("session_no").collect()
+    assert [(r.start, r.end, r.events) for r in got] == want
+    assert [r.session_no for r in got] == list(range(1, len(want) + 1))
+
+
 def test_upper_median_and_ties(spark):
     rows = [("a", x) for x in (1, 1, 1, 5, 9, 9)] + [("b", 4), ("b", None)]
     got = {r.g: r.upper_median for r in corpus.upper_median(spark.createDataFrame(rows, "g string, v int"), "g", "v").collect()}
