@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.plans import corpus_plans, dialogue_plans, evaluate_plans, event_plans, graph_plans, relational_plans, source_plans, stream_plans, vector_plans  # noqa: F401
+from loomline.plans import answer_plans, corpus_plans, dialogue_plans, evaluate_plans, event_plans, graph_plans, relational_plans, source_plans, stream_plans, vector_plans  # noqa: F401
 from loomline.plans.registry import QUERIES, SQL, Query
 
 

@@ -194,3 +194,37 @@ def test_ids(spark):
     assert [r.j and r.j.a for r in j.select(ids.json_inside(F.col("t"), "a int").alias("j")).collect()][:1] == [1]
     v = spark.createDataFrame([("abc",), (None,)], "t string").select(ids.hash_vector(F.col("t"), 40).alias("v")).collect()
     assert all(len(r.v) == 40 and abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in v)
+
+
+def test_pack_is_greedy(spark):
+    from loomline.functions import answers
+
+    rnd = random.Random(6)
+    rows, want = [], []
+    for i in range(50):
+        parts = ["x" * rnd.randint(1, 30) for _ in range(rnd.randint(0, 12))]
+        out, now = [], 0
+        for p in parts:
+            if now and now + len(p) > 25:
+                out.append(now)
+                now = 0
+            now += len(p)
+        rows.append((i, parts))
+        want.append(out + [now] * (now > 0))
+    got = spark.createDataFrame(rows, "i int, p array<string>").select("i", answers.pack(F.col("p"), 25).alias("b")).orderBy("i").collect()
+    assert [r.b for r in got] == want
+
+
+def test_footer_without_footer(spark):
+    from loomline.functions import answers
+
+    r = spark.createDataFrame([("plain answer",), (None,)], "t string").select(answers.parse_footer(F.col("t")).alias("p")).collect()
+    assert (r[0].p.body, r[0].p.sources, r[0].p.confidence) == ("plain answer", [], None) and r[1].p.body is None
+
+
+def test_jargon(spark):
+    from loomline.functions import answers
+
+    df = spark.createDataFrame([(1, ["thyroid", "thyriod", "salt"]), (2, None), (3, [])], "id int, w array<string>")
+    got = sorted(tuple(r) for r in answers.jargon(df, "id", "w", ["thyroid", "cortisol"]).collect())
+    assert got == [("1", 1, 1), ("2", 0, 0), ("3", 0, 0)]
