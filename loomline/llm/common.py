@@ -44,7 +44,7 @@ def one_kind(col: Column) -> Column:
 
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_DIVIDED = re.compile(r"(\w)[-‐‑]\s*[\r\n  ]+[\s>|*]*(?=\w)")
+_DIVIDED = re.compile(r"(\w)[-‐‑]\s{0,8}[\r\n  ]{1,4}[\s>|*]{0,16}(?=\w)")
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>")
 _WORD = re.compile(r"[^\W_]+")
 

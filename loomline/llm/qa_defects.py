@@ -77,12 +77,12 @@ ORDINALS = [
 ANNOUNCED = re.compile(rf"^\W*(?:here are |there are |voici |il y a |es gibt |hay )?({'|'.join(NUMBERS)})\s+(?:\w+\s+)?{POINTS}\b")
 ORDINAL_RE = [re.compile(rf"(?:^|[.:;!?]\s+|\n)\W*(?:{x})\b") for x in ORDINALS]
 
-CITATION = re.compile(r"(?:\s*(?:\[\d+(?:\s*,\s*\d+)*\]|\((?:source|quelle|fuente)\s+\d+\)))+\s*$", re.I)
+LAST_CITATION = re.compile(r"(?:\[\d[\d, ]{0,30}\]|\((?:source|quelle|fuente)\s+\d+\))$", re.I)
 CITATIONS = re.compile(r"\[\d+(?:\s*,\s*\d+)*\]|\((?:source|quelle|fuente)\s+\d+\)", re.I)
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•–])\s+\S")
 BARE_ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s*$")
 HEADING = re.compile(r"^\s*(?:\*\*[^*\n]+\*\*|__[^_\n]+__|#{1,6}\s+[^\n]+|[^\n.!?]{1,40}:)\s*$")
-TAG = re.compile(r"<[^>\n]*>|&nbsp;")
+TAG = re.compile(r"<[^<>\n]{0,300}>|&nbsp;")
 INVISIBLE = re.compile("[​-‏⁠﻿­]")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|(?<=:)\s*\n+")
 WORD = re.compile(r"[^\W_]+")
@@ -207,6 +207,14 @@ def is_echo(question: str, answer: str, least: int = 3, coverage: float = 0.8) -
     return sum(covered) >= coverage * len(a) and len(a) >= min(4, len(q))
 
 
+def without_last_citations(text: str) -> str:
+    """The text without citation numbers and blanks at its end."""
+    t = text.rstrip()
+    while m := LAST_CITATION.search(t, max(0, len(t) - 48)):
+        t = t[: m.start()].rstrip()
+    return t
+
+
 def open_delimiters(text: str) -> bool:
     """A stack of delimiters: something was opened and isn't closed at the end."""
     stack: list[str] = []
@@ -238,8 +246,7 @@ def open_delimiters(text: str) -> bool:
 
 def is_truncated(answer: str, few: int = 5) -> bool:
     """Ends before its sentence, quotation, list or announced count of points is complete."""
-    t = INVISIBLE.sub("", answer).rstrip()
-    t = CITATION.sub("", t).rstrip()
+    t = without_last_citations(INVISIBLE.sub("", answer))
     lines = [x for x in t.splitlines() if x.strip()]
     if not lines:
         return False

@@ -25,7 +25,7 @@ from loomline.llm.common import broadcast_if_small
 
 # Kinds of boundary, the best first; each pattern ends where the next piece may begin.
 BOUNDARIES = (
-    ("section_header", re.compile(r"\n\s*(?=#{1,6}\s|\*\*[^*\n]{1,80}\*\*\s*\n)")),
+    ("section_header", re.compile(r"\n[ \t]*(?=#{1,6}\s|\*\*[^*\n]{1,80}\*\*\s*\n)")),
     ("paragraph_break", re.compile(r"(?:\r?\n[ \t]*){2,}")),
     ("line_break", re.compile(r"\r?\n+")),
     ("sentence_end", re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+(?=[\"'“«(\[¿¡]*[^\Wa-z_])|(?<=[.!?…])\s*(?:\[\d[\d, ]*\]\s*)+")),

@@ -106,7 +106,7 @@ _FOREIGN = re.compile("[Ͱ-ӿԀ-ԯɡ]")
 _LEET = re.compile(r"(?<![\w@$])(?=[\w@$!]{3,16}(?![\w@$]))(?=[\w@$!]*[a-z])[\w@$!]*[0-9@$!][\w@$!]*")
 _HASDIGIT = re.compile(r"[0-9@$][a-z]|[a-z][0-9@$]")
 _LEET_MAPS = [str.maketrans("01345789@$!", "oieasstgasi"), str.maketrans("01345789@$!", "oleasbtgasl"), str.maketrans("01345789@$!", "oieastbgasi"), str.maketrans("01345789@$!", "oieastgbasi")]
-_TRIPLE = re.compile(r"\w*([a-z])\1\1\w*")
+_TRIPLE = re.compile(r"\b(?=\w{4,40}\b)\w*?([a-z])\1\1\w*")
 _TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 _SPACED = re.compile(r"(?<![^\W_])(?:[a-z][ .\-_*]){2,}[a-z](?![^\W_])")
 _STARRED = re.compile(r"(?<![\w*])[a-z]+\*+[a-z*]*[a-z](?![\w*])")

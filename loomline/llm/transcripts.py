@@ -208,7 +208,7 @@ def sites(text: str, names: Names) -> list[tuple[int, int, str, float | None]]:
 
 def clean(block: str) -> str:
     """Speech without annotations, times and hesitation."""
-    t = TIME_RE.sub(" ", NOTE.sub(" ", block))
+    t = re.sub(r"\s+", " ", TIME_RE.sub(" ", NOTE.sub(" ", block)))
     t = re.sub(rf"\s*[—–-]\s+{SOUND}\s+[—–-]\s+", " ", t, flags=re.I)
     t = re.sub(rf"(?:(?<=^)|(?<=[\s,]))(?:{SOUND})\b(?:\.\.\.|[,.…])?(?=\s|$)", " ", t, flags=re.I)
     t = re.sub(r"\*\*|__", "", t)

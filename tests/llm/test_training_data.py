@@ -392,3 +392,21 @@ def test_training_learns_from_document_labels():
     score = lambda b: max(1 - np.prod(1 - 1 / (1 + np.exp(-(np.stack(b) @ w.T))), axis=0))
     held = [score(bag("zorgblat")) for _ in range(20)], [score(bag(None)) for _ in range(20)]
     assert min(held[0]) > max(held[1])
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "\n" * 300_000, "a-" + "\n" * 200_000, " " * 300_000 + "x", ("- " * 200_000), "ab" * 400_000 + " aaa", "[" * 200_000, "00:10 " * 100_000, "<b" * 100_000, "*" * 200_000, "i d " * 100_000])
+def test_no_text_takes_long(text):
+    """Runs of one thing, however long, are read in time proportional to their length."""
+    import time
+
+    finder, names = toxicity.automaton(), transcripts.Names(PEOPLE[:3])
+    began = time.process_time()
+    toxicity.sentences(text, finder)
+    transcripts.turns(text, names)
+    transcripts.turns("Host: " + text, names)
+    splitting.split(text, 1000, 100)
+    common.plain_words(text)
+    near_duplicates.words_of(text)
+    token_budget.language(text)
+    qa_defects.is_empty(text), qa_defects.is_truncated(text), qa_defects.is_echo("what is it", text)
+    assert time.process_time() - began < 20
