@@ -95,3 +95,54 @@ def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("pieces"), F.count_if(F.col("start_pos") < F.col("before")).alias("overlapping"), F.count_if(F.col("start_pos") > F.col("before")).alias("with_gap"),
         F.count_if(F.col("after").isNull() & (F.col("end_pos") < F.col("n"))).alias("cut_short"), F.coalesce(F.sum(F.greatest(F.col("before") - F.col("start_pos"), F.lit(0))), F.lit(0)).cast("bigint").alias("overlap_chars"),
     )
+
+
+@query("""WITH c AS (SELECT DISTINCT id, coalesce(question, '') AS q FROM conversations), l AS (SELECT id, lower(q) AS q FROM c)
+SELECT CASE WHEN regexp_matches(q, '\\b(salt|thyroid|sugar|pulse|sleep|milk|schlaf|sommeil|sel|salz|leche)') THEN 'inside' WHEN regexp_matches(q, '\\b(football|stock|python|election|weather)') THEN 'outside' ELSE 'open' END AS domain, count(*) AS rows FROM l GROUP BY 1""".replace("\\\\", "\\"))
+def domain_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the domain win over words outside it; neither leaves the row open."""
+    q = F.lower(F.coalesce("question", F.lit("")))
+    gate = F.when(q.rlike(r"\b(salt|thyroid|sugar|pulse|sleep|milk|schlaf|sommeil|sel|salz|leche)"), "inside").when(q.rlike(r"\b(football|stock|python|election|weather)"), "outside").otherwise("open")
+    return table(spark, d, "conversations").select("id", "question").distinct().groupBy(gate.alias("domain")).agg(F.count("*").alias("rows"))
+
+
+@query()
+def rate_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Calls let through and refused per asker, three in any hour."""
+    from loomline.operators.dialogue import event_time
+    from loomline.streaming.state import limited
+
+    c = table(spark, d, "conversations").select("id", "ts", F.col("ip_hash").alias("key")).distinct().select("key", "id", F.unix_micros(event_time(F.col("ts"))).alias("us"))
+    return limited(c, 3, 3600).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT q.id AS qid, e.id, e.label = q.label AS same, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, e q WHERE q.id % 100 = 0 AND q.id <> e.id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM k) WHERE rank <= 50)
+SELECT qid, id, label, score FROM (SELECT qid, id, CASE WHEN same THEN 1 ELSE 0 END AS label, score, row_number() OVER (PARTITION BY qid, same ORDER BY rank) AS r FROM t) WHERE r = 1""")
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(query, passage, label): the nearest of the same and of another label among 50 neighbours."""
+    from loomline.plans.vector_plans import _knn50
+
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    t = _knn50(spark, d).join(e, "id").join(e.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid").withColumn("label", (F.col("label") == F.col("ql")).cast("int"))
+    w = Window.partitionBy("qid", "label").orderBy("rank")
+    return t.withColumn("r", F.row_number().over(w)).filter("r = 1").select("qid", "id", "label", "score")
+
+
+@query("""WITH r AS (SELECT context, min(id) AS first_id, count(DISTINCT id) AS passages, max(similarity_score) AS best FROM search_results WHERE length(context) > 10 AND length(context) <= 1000 GROUP BY context)
+SELECT md5(context) AS context_md5, first_id, passages, best FROM r ORDER BY best DESC NULLS LAST, first_id LIMIT 100""")
+def related_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Unique contexts, the best first; a top-k report."""
+    s = table(spark, d, "search_results").filter(F.length("context").between(11, 1000))
+    r = s.groupBy("context").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("passages"), F.max("similarity_score").alias("best"))
+    return r.orderBy(F.desc_nulls_last("best"), "first_id").limit(100).select(F.md5("context").alias("context_md5"), "first_id", "passages", "best")
+
+
+@query("""SELECT source_file, count(DISTINCT id) AS passages, max(similarity_score) AS best_score, round(sum(CASE WHEN context IS NULL OR context = '' THEN 0 ELSE 1 END) / count(*)::DOUBLE, 6) AS completeness,
+CASE WHEN sum(CASE WHEN context IS NULL OR context = '' THEN 0 ELSE 1 END) / count(*)::DOUBLE > 0.95 THEN 'good' WHEN sum(CASE WHEN context IS NULL OR context = '' THEN 0 ELSE 1 END) / count(*)::DOUBLE > 0.8 THEN 'fair' ELSE 'poor' END AS health
+FROM (SELECT *, replace(source_file, '\\', '/') AS f FROM search_results) GROUP BY source_file""".replace("\\\\", "\\"))
+def file_health(spark: SparkSession, d: str) -> DataFrame:
+    """Completeness of contexts per file, with a grade."""
+    has = F.sum(F.when(F.coalesce("context", F.lit("")) != "", 1).otherwise(0)) / F.count("*")
+    g = table(spark, d, "search_results").groupBy("source_file").agg(F.countDistinct("id").alias("passages"), F.max("similarity_score").alias("best_score"), has.alias("h"))
+    return g.select("source_file", "passages", "best_score", F.round("h", 6).alias("completeness"), F.when(F.col("h") > 0.95, "good").when(F.col("h") > 0.8, "fair").otherwise("poor").alias("health"))

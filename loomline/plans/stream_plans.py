@@ -29,3 +29,10 @@ s AS (SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = S.run_to_end(S.gap_sessions(S.source(spark, d)), "complete")
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query(f"WITH {_E} SELECT item, count(*) AS attempts, sum(p) AS correct FROM e WHERE p IS NOT NULL GROUP BY item")
+def stream_item_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "error", 0.0)
+    events = S.source(spark, d).withColumn("p", p).filter("p IS NOT NULL").withColumn("item", F.get_json_object("props", "$.k").cast("int"))
+    return S.latest(S.run_to_end(S.item_counts(events), "update"), "item", "attempts")

@@ -37,9 +37,13 @@ _KNN = f"""SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS scor
     row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 {{}}) WHERE rank <= 10"""
 
 
-def _knn(spark: SparkSession, d: str, exclude: bool) -> DataFrame:
+def _knn50(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, True, 50)
+
+
+def _knn(spark: SparkSession, d: str, exclude: bool, k: int = 10) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return V.knn_join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), 10, exclude)
+    return V.knn_join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), k, exclude)
 
 
 @query(_KNN.format(""))

@@ -65,3 +65,8 @@ def latest(updates: DataFrame, key: str, order: str) -> DataFrame:
 
 
 Twin = Callable[[DataFrame], DataFrame]
+
+
+def item_counts(events: DataFrame) -> DataFrame:
+    """Attempts and successes per item, kept up to date."""
+    return events.groupBy("item").agg(F.count("*").alias("attempts"), F.sum("p").alias("correct"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from math import exp
 from typing import Any
@@ -59,3 +60,31 @@ def ema_update(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterat
             value, n = 0.9 * value + 0.1 * float(p), n + 1
     state.update((value, n))
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ema": [round(value, 6)]})
+
+
+def _limit(limit: int, seconds: float):
+    """Sliding limiter over rows sorted by key and time: a call is refused if ``limit`` calls of the last ``seconds`` were let
+    through; refused calls don't count. Holds at most ``limit`` times of one key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, times = None, deque()
+        for pdf in frames:
+            out = []
+            for k, i, us in zip(pdf["key"], pdf["id"], pdf["us"], strict=True):
+                if k != key:
+                    key, times = k, deque()
+                while times and times[0] <= us - seconds * 1e6:
+                    times.popleft()
+                ok = len(times) < limit
+                if ok:
+                    times.append(us)
+                out.append((k, i, ok))
+            yield pd.DataFrame(out, columns=["key", "id", "allowed"])
+
+    return run
+
+
+def limited(calls: DataFrame, limit: int, seconds: float) -> DataFrame:
+    """(key, id, allowed) of calls (key, id, us) with times in microseconds. Null keys or times are left out."""
+    rows = calls.filter("key IS NOT NULL AND us IS NOT NULL").select("key", "id", "us").repartition("key").sortWithinPartitions("key", "us", "id")
+    return rows.mapInPandas(_limit(limit, seconds), "key string, id bigint, allowed boolean")

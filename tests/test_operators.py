@@ -228,3 +228,17 @@ def test_jargon(spark):
     df = spark.createDataFrame([(1, ["thyroid", "thyriod", "salt"]), (2, None), (3, [])], "id int, w array<string>")
     got = sorted(tuple(r) for r in answers.jargon(df, "id", "w", ["thyroid", "cortisol"]).collect())
     assert got == [("1", 1, 1), ("2", 0, 0), ("3", 0, 0)]
+
+
+def test_limiter_refusals_do_not_count(spark):
+    from loomline.streaming.state import limited
+
+    rnd = random.Random(8)
+    calls = [(f"k{rnd.randint(0, 2)}", i, rnd.randint(0, 400) * 1_000_000) for i in range(200)] + [(None, 900, 1), ("k0", 901, None)]
+    want, let = {}, {}
+    for k, i, us in sorted((c for c in calls if None not in c), key=lambda c: (c[0], c[2], c[1])):
+        recent = [t for t in let.get(k, []) if t > us - 60_000_000]
+        want[i] = len(recent) < 3
+        let[k] = recent + [us] * want[i]
+    got = {r.id: r.allowed for r in limited(spark.createDataFrame(calls, "key string, id long, us long"), 3, 60).collect()}
+    assert got == want
