@@ -56,18 +56,43 @@ def _asker() -> Column:
     return F.coalesce("ip_hash", F.concat(F.lit("row "), F.col("id").cast("string")))
 
 
+def _with_earlier(log: DataFrame, turns: int) -> DataFrame:
+    """Rows with ``_asker``, ``_day`` and ``_earlier``, the asker's last ``turns`` questions before that day. The window over an
+    asker sees one short row per day, so an asker with a third of all rows is no hot task."""
+    rows = log.withColumn("_asker", _asker()).withColumn("_day", F.to_date("at"))
+    last = Window.partitionBy("_asker", "_day").orderBy(F.desc("at"), F.desc("id"))
+    tails = rows.select("_asker", "_day", "at", "id", "question", F.row_number().over(last).alias("_r")).filter(F.col("_r") <= turns)
+    days = tails.groupBy("_asker", "_day").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id", "question"))), lambda x: x["question"]).alias("_tail"))
+    before = Window.partitionBy("_asker").orderBy("_day").rowsBetween(-turns, -1)
+    earlier = days.withColumn("_all", F.flatten(F.collect_list("_tail").over(before))).select("_asker", "_day", F.slice("_all", F.greatest(F.lit(1), F.size("_all") - (turns - 1)), F.lit(turns)).alias("_earlier"))
+    return rows.join(earlier, ["_asker", "_day"])
+
+
 def history(log: DataFrame, turns: int = 4, chars: int = 200) -> DataFrame:
-    """(id, history): the last questions of the same asker before each row, each cut to ``chars``; a bounded frame, not a list of all."""
-    w = Window.partitionBy(_asker()).orderBy("at", "id").rowsBetween(-turns, -1)
-    return log.select("id", F.concat_ws(" / ", F.collect_list(F.substring("question", 1, chars)).over(w)).alias("history"))
+    """(id, history): the last questions of the same asker before each row, each cut to ``chars``. Rows without a time are left out."""
+    w = Window.partitionBy("_asker", "_day").orderBy("at", "id").rowsBetween(-turns, -1)
+    rows = _with_earlier(log.filter("at IS NOT NULL"), turns).withColumn("_own", F.collect_list("question").over(w))
+    missing = turns - F.size("_own")
+    fill = F.when(missing > 0, F.slice("_earlier", F.greatest(F.lit(1), F.size("_earlier") - missing + 1), missing)).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", F.concat_ws(" / ", F.transform(F.concat(fill, F.col("_own")), lambda q: F.substring(q, 1, chars))).alias("history"))
 
 
 def resolve(log: DataFrame) -> DataFrame:
-    """(id, resolved): a vague question gets the asker's question before it in front."""
-    w = Window.partitionBy(_asker()).orderBy("at", "id")
-    before = F.lag("question").over(w)
-    vague = T.any_of(F.concat(F.lit(" "), F.col("question"), F.lit(" ")), VAGUE)
-    return log.select("id", F.when(vague & before.isNotNull(), F.concat(before, F.lit(" — "), "question")).otherwise(F.col("question")).alias("resolved"), (vague & before.isNotNull()).alias("vague"))
+    """(id, resolved, vague): a vague question gets the asker's question before it in front. Rows without a time are left out."""
+    w = Window.partitionBy("_asker", "_day").orderBy("at", "id")
+    rows = _with_earlier(log.filter("at IS NOT NULL"), 1).withColumn("_before", F.coalesce(F.lag("question").over(w), F.get(F.col("_earlier"), F.lit(0))))
+    before = F.col("_before")
+    vague = T.any_of(F.concat(F.lit(" "), F.col("question"), F.lit(" ")), VAGUE) & before.isNotNull()
+    return rows.select("id", F.when(vague, F.concat(before, F.lit(" — "), "question")).otherwise(F.col("question")).alias("resolved"), vague.alias("vague"))
+
+
+def busiest(calls: DataFrame, key: str, reach: int) -> DataFrame:
+    """Calls (key, us) with ``n``, the calls of the key in the ``reach`` microseconds up to each. Each call is a member of its own
+    bin and a guest in the next, so a window sees two bins of one key and never all its rows."""
+    bin_ = F.floor(F.col("us") / reach)
+    placed = calls.withColumn("_bin", bin_).withColumn("_in", F.explode(F.array(bin_, bin_ + 1)))
+    w = Window.partitionBy(key, "_in").orderBy("us").rangeBetween(-reach, 0)
+    return placed.withColumn("n", F.count("*").over(w)).filter(F.col("_in") == F.col("_bin")).drop("_in", "_bin")
 
 
 def salted_hash(value: Column, salt: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -93,6 +93,5 @@ def cited_kinds(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_LOG}, r AS (SELECT ip_hash, epoch_us(seen) AS us FROM log WHERE seen IS NOT NULL), c AS (SELECT ip_hash, us, count(*) OVER (PARTITION BY ip_hash ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM r)
 SELECT ip_hash, count(*) AS rows, max(n) AS most_in_an_hour, count(*) FILTER (WHERE n > 3) AS over FROM c GROUP BY ip_hash""")
 def sliding_rate(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("ip_hash").orderBy("us").rangeBetween(-3_600_000_000, 0)
-    c = _log(spark, d).filter("at IS NOT NULL").select("ip_hash", F.unix_micros("at").alias("us")).withColumn("n", F.count("*").over(w))
+    c = D.busiest(_log(spark, d).filter("at IS NOT NULL").select("ip_hash", F.unix_micros("at").alias("us")), "ip_hash", 3_600_000_000)
     return c.groupBy("ip_hash").agg(F.count("*").alias("rows"), F.max("n").alias("most_in_an_hour"), F.count_if(F.col("n") > 3).alias("over"))

@@ -65,7 +65,7 @@ def asof_last_view(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events")
     left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
-    return as_of_join(left, right, "user_id", "ts", "view_ts", ["view_id"]).select("event_id", "view_id")
+    return as_of_join(left, right, "user_id", "ts", "view_ts", ["view_id"], F.to_date).select("event_id", "view_id")
 
 
 @query("""WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), q AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error')

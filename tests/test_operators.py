@@ -160,6 +160,26 @@ def test_as_of_join(spark):
     right = spark.createDataFrame([("u", 4, "x"), ("u", 5, "y"), ("u", None, "z"), ("w", 1, "q")], "k string, rt int, v string")
     got = {r.id: r.v for r in relational.as_of_join(left, right, "k", "t", "rt", ["v"]).collect()}
     assert got == {1: "y", 2: "y", 3: None, 4: None, 5: None}
+    for step in (1, 2, 4):
+        sliced = {r.id: r.v for r in relational.as_of_join(left, right, "k", "t", "rt", ["v"], lambda t, step=step: F.floor(t / step)).collect()}
+        assert sliced == got
+
+
+def test_history_across_days(spark):
+    rnd = random.Random(3)
+    at = datetime(2024, 1, 1)
+    rows = []
+    for i in range(120):
+        at += timedelta(hours=rnd.choice([0, 1, 5, 30]))
+        rows.append((i, rnd.choice(["a", "a", "b", None]), f"q{i} it ", at))
+    log = spark.createDataFrame(rows, "id long, ip_hash string, question string, at timestamp")
+    seen, want, before = {}, {}, {}
+    for i, ip, q, _ in rows:
+        own = seen.setdefault(ip or f"row {i}", [])
+        want[i], before[i] = " / ".join(own[-4:]), own[-1] if own else None
+        own.append(q)
+    assert {r.id: r.history for r in dialogue.history(log).collect()} == want
+    assert {r.id: r.resolved for r in dialogue.resolve(log).collect()} == {i: f"{before[i]} — {q}" if before[i] else q for i, _, q, _ in rows}
 
 
 def test_range_join(spark):
