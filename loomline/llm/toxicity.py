@@ -242,63 +242,70 @@ def prior() -> np.ndarray:
     return w
 
 
-def vector(named: list[int], hashed: list[int]) -> np.ndarray:
-    x = np.zeros(len(FEATURES) + HASHED)
-    x[named] = 1.0
-    x[[len(FEATURES) + h for h in hashed]] = 1.0 / max(1.0, len(hashed)) ** 0.5
-    return x
-
-
-def train(bags: list[tuple[list[np.ndarray], float]], rounds: int = 150, rate: float = 0.5, hold: float = 0.02, flip: float = 0.05) -> np.ndarray:
+def train(bags: list[tuple[list[tuple[list[int], list[int]]], float]], rounds: int = 150, rate: float = 0.5, hold: float = 0.02, flip: float = 0.05) -> np.ndarray:
     """Noisy-or multiple-instance learning: ascent on the likelihood of the document labels, held to the prior.
 
-    ``flip`` is the share of labels taken to be wrong, ``hold`` the pull back to the prior.
+    ``bags`` has the sentences (named features, hashed features) and the label of each document; they are kept as
+    sparse rows. ``flip`` is the share of labels taken to be wrong, ``hold`` the pull back to the prior.
     """
     w0 = prior()
     bags = [(x, y) for x, y in bags if x]
     if not bags:
         return w0
-    x = np.stack([v for own, _ in bags for v in own])
-    bag = np.repeat(np.arange(len(bags)), [len(own) for own, _ in bags])
+    at, value, row, bag = [], [], [], []
+    for b, (own, _) in enumerate(bags):
+        for named, hashed in own:
+            at += named + [len(FEATURES) + h for h in hashed]
+            value += [1.0] * len(named) + [1.0 / max(1.0, len(hashed)) ** 0.5] * len(hashed)
+            row += [len(bag)] * (len(named) + len(hashed))
+            bag.append(b)
+    at, value, row, bag = np.array(at, dtype=np.int32), np.array(value), np.array(row, dtype=np.int32), np.array(bag, dtype=np.int32)
     y = np.array([label for _, label in bags])
     w = w0.copy()
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-(x @ w.T)))
-        none = np.zeros(len(bags))
-        np.add.at(none, bag, np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1))
+        z = np.stack([np.bincount(row, w[c, at] * value, len(bag)) for c in range(len(CATEGORIES))], axis=1)
+        p = 1.0 / (1.0 + np.exp(-z))
+        none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1), len(bags))
         q = 1.0 - np.exp(none)  # that the bag holds something
         seen = flip + (1 - 2 * flip) * q
         slope = (y / seen - (1 - y) / (1 - seen)) * (1 - 2 * flip) * (1 - q)
-        grad = (slope[bag][:, None] * p).T @ x / len(bags)
+        step = slope[bag][:, None] * p
+        grad = np.stack([np.bincount(at, step[row, c] * value, w.shape[1]) for c in range(len(CATEGORIES))]) / len(bags)
         w += rate * (grad * 10 - hold * (w - w0))
     return w
 
 
-def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    finder = automaton()
-    for pdf in frames:
-        rows = []
-        for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True):
-            if isinstance(t, str) and t:
-                for _, _, s, cues in sentences(t, finder):
-                    named, hashed = features(s, cues)
-                    rows.append((i, float(y), named, hashed))
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
+def _bags(per_document: int):
+    """Features of the cue-bearing sentences of labelled documents, the likeliest by the prior first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder, w0 = automaton(), prior()
+        for pdf in frames:
+            rows = []
+            for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True):
+                if isinstance(t, str) and t:
+                    own = [features(s, cues) for _, _, s, cues in sentences(t, finder)]
+                    own.sort(key=lambda f: (-float(w0[:, f[0]].sum(axis=1).max()), f))
+                    rows += [(i, float(y), named, hashed) for named, hashed in own[:per_document]]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
+
+    return run
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> np.ndarray:
-    """Weights from the labels of at most ``max_labelled`` documents, chosen by a hash of the id.
+def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000, per_document: int = 40) -> np.ndarray:
+    """Weights from the labels of at most ``max_labelled`` documents, chosen by a hash of the id, and at most
+    ``per_document`` of their sentences.
 
-    This bound is the one sample in the operator; the rows that reach the driver are feature numbers of the
+    These bounds are the one sample in the operator; the rows that reach the driver are feature numbers of the
     cue-bearing sentences of those documents.
     """
     mean = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     sample = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(_bags, "doc_id bigint, toxic double, named array<int>, hashed array<int>").collect()
-    bags: dict[int, tuple[list[np.ndarray], float]] = {}
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(_bags(per_document), "doc_id bigint, toxic double, named array<int>, hashed array<int>").collect()
+    bags: dict[int, tuple[list[tuple[list[int], list[int]]], float]] = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.named, r.hashed)):
-        bags.setdefault(r.doc_id, ([], r.toxic))[0].append(vector(r.named, r.hashed))
+        bags.setdefault(r.doc_id, ([], r.toxic))[0].append((r.named, r.hashed))
     return train(list(bags.values()))
 
 

@@ -384,12 +384,19 @@ def test_training_learns_from_document_labels():
         out = []
         for s in [f"{rnd.choice(WORDS)} {rnd.choice(WORDS)} women walk."] + ([f"{extra} women {rnd.choice(WORDS)}."] if extra else []):
             for _, _, x, cues in toxicity.sentences(s, finder):
-                out.append(toxicity.vector(*toxicity.features(x, cues)))
+                out.append(toxicity.features(x, cues))
         return out
 
     train = [(bag("zorgblat"), 1.0) for _ in range(40)] + [(bag(None), 0.0) for _ in range(40)]
     w = toxicity.train(train, rounds=600)
-    score = lambda b: max(1 - np.prod(1 - 1 / (1 + np.exp(-(np.stack(b) @ w.T))), axis=0))
+
+    def score(b):
+        keep = np.ones(len(toxicity.CATEGORIES))
+        for named, hashed in b:
+            z = w[:, named].sum(axis=1) + w[:, [len(toxicity.FEATURES) + h for h in hashed]].sum(axis=1) / max(1, len(hashed)) ** 0.5
+            keep *= 1 - 1 / (1 + np.exp(-z))
+        return max(1 - keep)
+
     held = [score(bag("zorgblat")) for _ in range(20)], [score(bag(None)) for _ in range(20)]
     assert min(held[0]) > max(held[1])
 
