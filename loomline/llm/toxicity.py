@@ -3,10 +3,11 @@
 A document is a bag of sentences. A sentence has cue features (which kinds of cue it holds, and which of them
 together) and its own words and word pairs, hashed. A logistic score per category gives each sentence a
 probability; a noisy-or over sentences and categories gives the document's. The weights start from a prior on
-the cues and are trained from document labels only, on at most ``max_labelled`` documents, so that the model
-is small and fits the driver; the scoring is a narrow map over all documents and whole texts. Sentences without
-any cue share one constant score below every threshold and needn't be looked at: an Aho-Corasick automaton finds
-the others.
+the cues and from the words and word pairs that the labels mark beyond chance where no cue explains the label; they
+are trained from document labels only, on at most ``max_labelled`` documents, so that the model is small and fits
+the driver; the scoring is a narrow map over all documents and whole texts. Every sentence counts in training and
+scoring; one without any cue starts low enough that length alone flags no text, and counts for its likeliest
+category only, as document labels don't name one.
 
 Disguises are undone first: look-alike letters, invisible characters, digits for letters, letters repeated,
 spaced, dotted or starred out.
@@ -19,13 +20,14 @@ no rows.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +94,13 @@ for _t in sorted(SINGLE, key=lambda t: (t not in KIND_OF, t)):
     BY_SHAPE.setdefault(len(_t), []).append(_t)
 
 # Named features of a sentence, and the prior weight of each for each category.
-FEATURES = ["bias", *KINDS, "address", "insult+address", "threat+address", "two threats", "silence+address", "group+degrade", "two degrades", "two sexual", "three sexual", "sexual+porn", "insult twice"]
+FEATURES = ["bias", "plain", *KINDS, "address", "insult+address", "threat+address", "two threats", "silence+address", "group+degrade", "two degrades", "two sexual", "three sexual", "sexual+porn", "insult twice"]
 AT = {f: i for i, f in enumerate(FEATURES)}
-HASHED = 1024
+HASHED = 1 << 18
 PRIOR = {
-    "abusive": {"bias": -4.0, "insult+address": 6.0, "threat+address": 4.5, "two threats": 2.0, "silence": 6.0, "insult": 0.7, "insult twice": 1.0, "typical": 1.5, "condemn": -6.0, "self": -6.0, "medical": -2.0, "degrade": -1.0},
-    "hateful": {"bias": -4.0, "degrade": 2.0, "group": 0.5, "group+degrade": 5.5, "two degrades": 3.0, "condemn": -9.0, "medical": -3.0},
-    "sexual": {"bias": -4.0, "porn": 5.5, "sexual": 1.2, "two sexual": 5.0, "three sexual": 2.0, "sexual+porn": 3.0, "medical": -7.0},
+    "abusive": {"bias": -4.0, "plain": -8.0, "insult+address": 6.0, "threat+address": 4.5, "two threats": 2.0, "silence": 6.0, "insult": 0.7, "insult twice": 1.0, "typical": 1.5, "condemn": -6.0, "self": -6.0, "medical": -2.0, "degrade": -1.0},
+    "hateful": {"bias": -4.0, "plain": -8.0, "degrade": 2.0, "group": 0.5, "group+degrade": 5.5, "two degrades": 3.0, "condemn": -9.0, "medical": -3.0},
+    "sexual": {"bias": -4.0, "plain": -8.0, "porn": 5.5, "sexual": 1.2, "two sexual": 5.0, "three sexual": 2.0, "sexual+porn": 3.0, "medical": -7.0},
 }
 
 LOOKALIKE = str.maketrans("аеорсухіјѕԁӏɡνοαερτικ", "aeopcyxijsdlgvoaeptik")
@@ -187,29 +189,53 @@ def automaton():
 
 
 def sentences(text: str, finder) -> list[tuple[int, int, str, dict[str, set[int]]]]:
-    """(start, end, sentence, cues by kind) of each sentence that holds a cue, in the normalised text."""
+    """(start, end, sentence, cues by kind) of each sentence that holds a word, in the normalised text."""
     t = normal(text)
-    hits = []
-    for end, (size, kinds) in finder.iter(t):
-        a, b = end - size + 1, end + 1
-        if (a == 0 or not t[a - 1].isalnum()) and (b == len(t) or not t[b].isalnum()):
-            hits.append((a, kinds))
-    if not hits:
-        return []
     ends = [m.end() for m in _END.finditer(t)]
     if not ends or ends[-1] < len(t):
         ends.append(len(t))
     out: dict[int, dict[str, set[int]]] = {}
-    for a, kinds in hits:
-        cues = out.setdefault(bisect.bisect_right(ends, a), {})
-        for k in kinds:
-            cues.setdefault(k, set()).add(a)
-    return [((ends[i - 1] if i else 0), ends[i], t[(ends[i - 1] if i else 0) : ends[i]], cues) for i, cues in sorted(out.items())]
+    for end, (size, kinds) in finder.iter(t):
+        a, b = end - size + 1, end + 1
+        if (a == 0 or not t[a - 1].isalnum()) and (b == len(t) or not t[b].isalnum()):
+            cues = out.setdefault(bisect.bisect_right(ends, a), {})
+            for k in kinds:
+                cues.setdefault(k, set()).add(a)
+    spans = zip([0, *ends], ends, strict=False)
+    return [(a, b, t[a:b], out.get(i, {})) for i, (a, b) in enumerate(spans) if _WORD.search(t, a, b)]
 
 
-def features(sentence: str, cues: dict[str, set[int]]) -> tuple[list[int], list[int]]:
-    """Named features and hashed words and word pairs of a sentence."""
-    words = _WORD.findall(sentence)
+class _Codes(dict):
+    """Hash of each word, remembered; emptied when it grows beyond a million words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word)
+        return h
+
+
+_CODES = _Codes()
+
+
+def grams(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the sentence, hashed word or word pair), once each and in order, of the words of each sentence."""
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    h = np.array([_CODES[w] for p in parts for w in p], dtype=np.uint64)
+    at = np.repeat(np.arange(len(parts)), size)
+    inside = at[1:] == at[:-1]
+    with np.errstate(over="ignore"):
+        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[inside] * np.uint64(0xC4CEB9FE1A85EC53)
+        one = h * np.uint64(0xFF51AFD7ED558CCD)
+    code = (np.concatenate([one, pair]) >> np.uint64(40)).astype(np.int64) % HASHED
+    key = np.unique(np.concatenate([at, at[1:][inside]]) * HASHED + code)
+    return key // HASHED, key % HASHED
+
+
+def named_features(words: list[str], cues: dict[str, set[int]]) -> list[int]:
+    """Named features of a sentence: its cues, and which of them together."""
+    if not cues:
+        return [AT["bias"], AT["plain"]]
     n = {k: len(v) for k, v in cues.items()}
     you = not ADDRESS.isdisjoint(words)
     on = ["bias", *cues]
@@ -230,8 +256,13 @@ def features(sentence: str, cues: dict[str, set[int]]) -> tuple[list[int], list[
         on.append("three sexual")
     if "sexual" in n and "porn" in n:
         on.append("sexual+porn")
-    grams = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    return [AT[f] for f in on], sorted({zlib.crc32(g.encode()) % HASHED for g in grams})
+    return [AT[f] for f in on]
+
+
+def features(sentence: str, cues: dict[str, set[int]]) -> tuple[list[int], list[int]]:
+    """Named features and hashed words and word pairs of a sentence."""
+    words = _WORD.findall(sentence)
+    return named_features(words, cues), grams([words])[1].tolist()
 
 
 def prior() -> np.ndarray:
@@ -242,73 +273,133 @@ def prior() -> np.ndarray:
     return w
 
 
+def _tail(k: int, n: int, r: float) -> float:
+    """Chance of ``k`` or more of ``n`` at rate ``r``."""
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(r) + (n - i) * math.log1p(-r)) for i in range(k, n + 1))
+
+
+def _marked(gram: np.ndarray, bag: np.ndarray, y: np.ndarray, open_: np.ndarray, size: int, flip: float, wrong: float = 0.05, most: float = 8.0) -> np.ndarray:
+    """Start weight of each word and word pair: the log-likelihood ratio of the labels of its documents if it is toxic and if
+    it is not, where the labels mark it beyond chance (at most a share ``wrong`` of the marked ones by chance, after
+    Benjamini and Hochberg; those of the same documents are one case), else zero. ``open_`` is the share of each
+    document's label that its cues leave unexplained; no weight exceeds ``most``, so that one word alone makes no sentence toxic."""
+    key = np.unique(gram.astype(np.int64) * len(y) + bag)
+    gram, bag = key // len(y), key % len(y)
+    for_ = np.bincount(gram, (open_ * y)[bag], size)
+    against = np.bincount(gram, (1 - y)[bag], size)
+    r = float((open_ * y).sum() / max(1e-9, (open_ * y + 1 - y).sum()))
+    r = min(max(r, flip), 0.5)
+    ratio = for_ * np.log((1 - flip) / r) + against * np.log(flip / (1 - r))
+    several = np.flatnonzero(np.bincount(gram, minlength=size) > 1)
+    _, case = np.unique(np.bincount(gram, np.random.default_rng(0).random(len(y))[bag], size)[several].round(9), return_inverse=True)
+    chance = np.ones(size)
+    for g in several[ratio[several] > 0]:
+        k, n = int(for_[g] + 0.05), int(np.ceil(for_[g] + against[g] - 0.05))
+        chance[g] = _tail(k, n, r)
+    each = np.ones(case.max(initial=-1) + 1)
+    np.minimum.at(each, case, chance[several])
+    ranked = np.sort(each)
+    good = ranked[ranked <= wrong * np.arange(1, len(ranked) + 1) / len(ranked)]
+    return np.where(chance <= (good[-1] if len(good) else -1.0), np.minimum(ratio, most), 0.0)
+
+
 def train(bags: list[tuple[list[tuple[list[int], list[int]]], float]], rounds: int = 150, rate: float = 0.5, hold: float = 0.02, flip: float = 0.05) -> np.ndarray:
-    """Noisy-or multiple-instance learning: ascent on the likelihood of the document labels, held to the prior.
+    """Noisy-or multiple-instance learning: ascent on the likelihood of the document labels, held to the start.
 
     ``bags`` has the sentences (named features, hashed features) and the label of each document; they are kept as
-    sparse rows. ``flip`` is the share of labels taken to be wrong, ``hold`` the pull back to the prior.
+    sparse rows, equal sentences once. ``flip`` is the share of labels taken to be wrong, ``hold`` the pull back to the start.
     """
-    w0 = prior()
+    start = prior()
     bags = [(x, y) for x, y in bags if x]
     if not bags:
-        return w0
-    at, value, row, bag = [], [], [], []
+        return start
+    known: dict[tuple[bytes, bytes], int] = {}
+    member, bag = [], []  # sentence and document of each occurrence
     for b, (own, _) in enumerate(bags):
         for named, hashed in own:
-            at += named + [len(FEATURES) + h for h in hashed]
-            value += [1.0] * len(named) + [1.0 / max(1.0, len(hashed)) ** 0.5] * len(hashed)
-            row += [len(bag)] * (len(named) + len(hashed))
+            key = np.asarray(named, dtype=np.int32).tobytes(), np.asarray(hashed, dtype=np.int32).tobytes()
+            member.append(known.setdefault(key, len(known)))
             bag.append(b)
-    at, value, row, bag = np.array(at, dtype=np.int32), np.array(value), np.array(row, dtype=np.int32), np.array(bag, dtype=np.int32)
+    member, bag = np.array(member, dtype=np.int32), np.array(bag, dtype=np.int32)
     y = np.array([label for _, label in bags])
+    at = [np.r_[np.frombuffer(n, np.int32), np.frombuffer(h, np.int32) + len(FEATURES)] for n, h in known]
+    value = np.concatenate([np.r_[np.ones(len(n) // 4), np.full(len(h) // 4, 1.0 / max(1, len(h) // 4) ** 0.5)] for n, h in known])
+    row = np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at])
+    used, at = np.unique(np.concatenate(at), return_inverse=True)
+    w0 = start[:, used]
+
+    def chances(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = np.stack([np.bincount(row, w[c, at] * value, len(known)) for c in range(len(CATEGORIES))], axis=1)
+        p = 1.0 / (1.0 + np.exp(-z))
+        none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1)[member], len(bags))
+        return p, 1.0 - np.exp(none)  # that the bag holds something
+
+    # words and word pairs of sentences without a cue that the labels mark
+    plain = np.zeros(len(known), dtype=bool)
+    plain[row[used[at] == AT["plain"]]] = True
+    order = np.argsort(member, kind="stable")
+    spread = np.bincount(member, minlength=len(known))
+    mine = plain[row] & (used[at] >= len(FEATURES))
+    first = np.r_[0, np.cumsum(spread)]
+    each = spread[row[mine]]
+    gram = np.repeat(at[mine], each)
+    place = np.repeat(first[row[mine]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    w0 = w0 + _marked(gram, bag[order][place], y, 1.0 - chances(w0)[1], len(used), flip)
     w = w0.copy()
     for _ in range(rounds):
-        z = np.stack([np.bincount(row, w[c, at] * value, len(bag)) for c in range(len(CATEGORIES))], axis=1)
-        p = 1.0 / (1.0 + np.exp(-z))
-        none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1), len(bags))
-        q = 1.0 - np.exp(none)  # that the bag holds something
+        p, q = chances(w)
         seen = flip + (1 - 2 * flip) * q
         slope = (y / seen - (1 - y) / (1 - seen)) * (1 - 2 * flip) * (1 - q)
-        step = slope[bag][:, None] * p
-        grad = np.stack([np.bincount(at, step[row, c] * value, w.shape[1]) for c in range(len(CATEGORIES))]) / len(bags)
+        step = np.bincount(member, slope[bag], len(known))[:, None] * p
+        grad = np.stack([np.bincount(at, step[row, c] * value, len(used)) for c in range(len(CATEGORIES))]) / len(bags)
         w += rate * (grad * 10 - hold * (w - w0))
-    return w
-
+    start[:, used] = w
+    return start
 
-def _bags(per_document: int):
-    """Features of the cue-bearing sentences of labelled documents, the likeliest by the prior first."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder, w0 = automaton(), prior()
-        for pdf in frames:
-            rows = []
-            for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True):
-                if isinstance(t, str) and t:
-                    own = [features(s, cues) for _, _, s, cues in sentences(t, finder)]
-                    own.sort(key=lambda f: (-float(w0[:, f[0]].sum(axis=1).max()), f))
-                    rows += [(i, float(y), named, hashed) for named, hashed in own[:per_document]]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
 
-    return run
+def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of all sentences of labelled documents, packed."""
+    finder = automaton()
+    for pdf in frames:
+        rows = []
+        for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True):
+            if isinstance(t, str) and t:
+                own = (features(s, cues) for _, _, s, cues in sentences(t, finder))
+                rows += [(i, float(y), np.array(named, np.int32).tobytes(), np.array(hashed, np.int32).tobytes()) for named, hashed in own]
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000, per_document: int = 40) -> np.ndarray:
-    """Weights from the labels of at most ``max_labelled`` documents, chosen by a hash of the id, and at most
-    ``per_document`` of their sentences.
+def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> np.ndarray:
+    """Weights from the labels of at most ``max_labelled`` documents, chosen by a hash of the id, and all their sentences.
 
-    These bounds are the one sample in the operator; the rows that reach the driver are feature numbers of the
-    cue-bearing sentences of those documents.
+    This bound is the one sample in the operator; the rows that reach the driver are packed feature numbers of the
+    sentences of those documents.
     """
     mean = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     sample = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(_bags(per_document), "doc_id bigint, toxic double, named array<int>, hashed array<int>").collect()
-    bags: dict[int, tuple[list[tuple[list[int], list[int]]], float]] = {}
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(_bags, "doc_id bigint, toxic double, named binary, hashed binary").collect()
+    bags: dict[int, tuple[list[tuple[np.ndarray, np.ndarray]], float]] = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.named, r.hashed)):
-        bags.setdefault(r.doc_id, ([], r.toxic))[0].append((r.named, r.hashed))
+        bags.setdefault(r.doc_id, ([], r.toxic))[0].append((np.frombuffer(r.named, np.int32), np.frombuffer(r.hashed, np.int32)))
     return train(list(bags.values()))
 
 
+def sentence_scores(found: list[tuple[int, int, str, dict[str, set[int]]]], weights: np.ndarray) -> np.ndarray:
+    """Probability of each sentence (row) for each category."""
+    words = [_WORD.findall(s) for _, _, s, _ in found]
+    at, gram = grams(words)
+    size = np.sqrt(np.maximum(1, np.bincount(at, minlength=len(found))))
+    z = np.stack([np.bincount(at, w[gram + len(FEATURES)], len(found)) / size for w in weights], axis=1)
+    quiet = weights[:, [AT["bias"], AT["plain"]]].sum(axis=1)
+    for i, (_, _, _, cues) in enumerate(found):
+        z[i] += weights[:, named_features(words[i], cues)].sum(axis=1) if cues else quiet
+    p = 1.0 / (1.0 + np.exp(-z))
+    plain = np.array([not cues for *_, cues in found])
+    likeliest = np.arange(len(CATEGORIES)) == z.argmax(axis=1)[:, None]  # the first of equal ones
+    return np.where(plain[:, None] & ~likeliest, 0.0, p)
+
+
 def _score(weights: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = automaton()
@@ -316,19 +407,13 @@ def _score(weights: np.ndarray):
             out = []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 keep = np.ones(len(CATEGORIES))
-                worst = [(0.0, -1, -1)] * len(CATEGORIES)
-                if isinstance(t, str) and t:
-                    for a, b, s, cues in sentences(t, finder):
-                        named, hashed = features(s, cues)
-                        z = weights[:, named].sum(axis=1)
-                        if hashed:
-                            z = z + weights[:, [len(FEATURES) + h for h in hashed]].sum(axis=1) / len(hashed) ** 0.5
-                        p = 1.0 / (1.0 + np.exp(-z))
-                        keep *= 1.0 - p
-                        for c in range(len(CATEGORIES)):
-                            if p[c] > worst[c][0]:
-                                worst[c] = (float(p[c]), a, b)
-                out.append((i, *(1.0 - keep).tolist(), *(int(x) for c in worst for x in c[1:])))
+                worst = [(-1, -1)] * len(CATEGORIES)
+                found = sentences(t, finder) if isinstance(t, str) and t else []
+                if found:
+                    p = sentence_scores(found, weights)
+                    keep = np.prod(1.0 - p, axis=0)
+                    worst = [found[k][:2] if p[k, c] > 0 else (-1, -1) for c, k in enumerate(p.argmax(axis=0))]
+                out.append((i, *(1.0 - keep).tolist(), *(int(x) for c in worst for x in c)))
             yield pd.DataFrame(out, columns=["doc_id", *CATEGORIES, *(f"{c}_{e}" for c in CATEGORIES for e in ("from", "to"))])
 
     return run

@@ -401,6 +401,26 @@ def test_training_learns_from_document_labels():
     assert min(held[0]) > max(held[1])
 
 
+def test_sentences_without_cues_are_learnt_and_scored(spark):
+    """A sentence that only labels mark, without any cue, is learnt and found in texts without labels; length alone flags nothing."""
+    rnd = random.Random(2)
+    bad = "Crawl back to zorgland, glimmer toad."
+    words = [f"{a}{b}{c}" for a in ("bal", "dor", "fim", "gun") for b in ("ka", "lo", "mi", "nu") for c in ("rt", "sk", "pf", "nd")]
+
+    def plain(n):
+        return " ".join(f"{' '.join(rnd.choice(words) for _ in range(8))}." for _ in range(n))
+
+    rows = [(i, plain(10) + (f" {bad}" if i % 10 == 0 else "")) for i in range(400)]
+    rows.append((1000, plain(3000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
+    scored = toxicity.scores(df, labels)
+    assert {r.doc_id for r in toxicity.flagged(scored).collect()} == {i for i in range(400) if i % 10 == 0}
+    top = max(scored.filter("doc_id = 390").collect()[0].asDict().items(), key=lambda kv: kv[1] if kv[0] in toxicity.CATEGORIES else -1)[0]
+    row = scored.filter("doc_id = 390").collect()[0]
+    assert toxicity.normal(rows[390][1])[row[f"{top}_from"] : row[f"{top}_to"]].strip() == bad.lower()
+
+
 @pytest.mark.parametrize("text", ["a" * 1_000_000, "\n" * 300_000, "a-" + "\n" * 200_000, " " * 300_000 + "x", ("- " * 200_000), "ab" * 400_000 + " aaa", "[" * 200_000, "00:10 " * 100_000, "<b" * 100_000, "*" * 200_000, "i d " * 100_000])
 def test_no_text_takes_long(text):
     """Runs of one thing, however long, are read in time proportional to their length."""
