@@ -7,9 +7,9 @@
 2. Copies of one word sequence count as one text: each task gives its band rows once, and copies from
    several tasks lie side by side in a band and are folded there.
 3. Bands of min-hashes bring together passages that may be alike. In a band of up to ``window`` texts all meet;
-   in a larger one each text meets the first ``window`` until it has found four that are alike, which ties it
-   to its group without all pairs of the group; texts alike to none of those are compared with the whole band
-   in a second round, as a stated query set.
+   in a larger one each text first meets the first ``window`` until it has found four that are alike. After
+   verification a second round, in slices of the band, compares all texts of the band that aren't verified links
+   of one and the same head, so that only pairs already in one group are left out.
 4. Pivot table: the Hamming distances of a fingerprint to ``pivots`` reference fingerprints are computed
    once per row that has company in its band. A pair whose greatest coordinate difference exceeds the radius can't lie within the
    radius (triangle inequality) and is discarded; then the fingerprints themselves are compared.
@@ -202,7 +202,6 @@ def _meet(window: int, radius: int, pivots: int, enough: int = 4):
                 pairs(i, i + d)
             # rows beyond the window meet the first rows of their band, up to ``enough`` that are alike
             far = np.flatnonzero((place >= window) & (np.arange(n) >= start))
-            alone = np.zeros(n, dtype=bool)
             if len(far):
                 met = np.zeros(len(far), dtype=np.int64)
                 for k in range(window):
@@ -210,18 +209,17 @@ def _meet(window: int, radius: int, pivots: int, enough: int = 4):
                     if not open_.any():
                         break
                     met[open_] += pairs(first[far[open_]] + k, far[open_])
-                alone[far[met == 0]] = True
             # rows of a band beyond the window go on to the second round; those held back before it grew are sent now
             large = np.flatnonzero((length[np.searchsorted(head, first)] > window) & ((np.arange(n) >= start) | (was <= window)))
             res = []
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 keep = a != b
-                res.append(pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates(["a", "b"]).assign(band=pd.Series(dtype="Int64"), alone=False))
+                res.append(pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates(["a", "b"]).assign(band=pd.Series(dtype="Int64"), head=False))
             if len(large):
-                res.append(pd.DataFrame({"a": cols[1][large], "fp1": cols[2][large, 0].view(np.int64), "fp2": cols[2][large, 1].view(np.int64), "band": pd.array(band[large], dtype="Int64"), "alone": alone[large]}))
+                res.append(pd.DataFrame({"a": cols[1][large], "fp1": cols[2][large, 0].view(np.int64), "fp2": cols[2][large, 1].view(np.int64), "band": pd.array(band[large], dtype="Int64"), "head": place[large] < window}))
             for r in res:
-                yield r.reindex(columns=["a", "b", "band", "fp1", "fp2", "alone"]).astype({"b": "Int64", "band": "Int64", "fp1": "Int64", "fp2": "Int64"})
+                yield r.reindex(columns=["a", "b", "band", "fp1", "fp2", "head"]).astype({"b": "Int64", "band": "Int64", "fp1": "Int64", "fp2": "Int64"})
             h, m = int(head[-1]), int(length[-1])
             seen = m if h or start == 0 else was + m - start
             keep = np.arange(h, min(n, h + window))
@@ -247,6 +245,42 @@ def _verify(share: float):
     return run
 
 
+def second_round(large: DataFrame, links: DataFrame, radius: int, slice_rows: int) -> DataFrame:
+    """(a, b): alike pairs of the rows (band, a, fp1, fp2, head) of large bands, but those that verified links already tie to one head.
+
+    Texts of the commonest head of a band needn't meet each other, so one side holds the others only. Both sides are cut into
+    slices of about ``slice_rows``, each pair of slices is a group of its own, and no pair of rows is emitted unless alike.
+    """
+    large = large.dropDuplicates(["band", "a"])
+    both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    heads = large.filter("head").select("band", F.col("a").alias("b"))
+    tied = large.select("band", "a").join(both_ways, "a").join(heads, ["band", "b"]).groupBy("band", "a").agg(F.min("b").alias("tied"))
+    tag = F.when(F.col("head"), F.least("a", "tied")).otherwise(F.coalesce("tied", "a"))
+    rows = written(large.join(tied, ["band", "a"], "left").select("band", "a", "fp1", "fp2", tag.alias("tag")), "large")
+    common = rows.groupBy("band", "tag").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("tag", F.struct("n", "tag")).alias("common"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
+    slices = [F.greatest(F.lit(1), F.ceil(n / slice_rows)).cast("int") for n in (F.col("n") - F.col("most"), F.col("n"))]
+    rows = rows.join(common.select("band", "common", slices[0].alias("ln"), slices[1].alias("rn")), "band")
+
+    def cut(df: DataFrame, own: str, other: str, count: str, others: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("a"), F.col(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("band", "ls", "rs", "a", "fp1", "fp2", "tag")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [np.empty((0, 2), dtype=np.int64)]
+        right = right.rename(columns=lambda c: c.rstrip("_"))
+        la, ra, lt, rt = (d[c].to_numpy(np.int64) for c in ("a", "tag") for d in (left, right))
+        lf, rf = (d[["fp1", "fp2"]].to_numpy(np.int64).view(np.uint64) for d in (left, right))
+        for at in range(0, len(la), 256):
+            part = slice(at, at + 256)
+            far = np.bitwise_count(lf[part, None, 0] ^ rf[None, :, 0]) + np.bitwise_count(lf[part, None, 1] ^ rf[None, :, 1])
+            i, j = np.nonzero((far <= radius) & (lt[part, None] != rt[None, :]))
+            out.append(np.stack([np.minimum(la[part][i], ra[j]), np.maximum(la[part][i], ra[j])], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    left, right = cut(rows.filter("tag != common"), "ls", "rs", "ln", "rn"), cut(rows, "rs", "ls", "rn", "ln")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # both come of the same rows
+    return left.groupBy("band", "ls", "rs").cogroup(right.groupBy("band_", "ls_", "rs_")).applyInPandas(meet, "a bigint, b bigint").distinct()
+
+
 def groups(
     passages: DataFrame,
     id_col: str = "id",
@@ -258,6 +292,7 @@ def groups(
     pivots: int = 16,
     radius: int = 50,
     window: int = 32,
+    slice_rows: int = 4096,
 ) -> DataFrame:
     """(id, text_key, group_key, links): a row for each passage of at least ``least_words`` words.
 
@@ -268,16 +303,17 @@ def groups(
     sketch = written(source.mapInPandas(_sketch(least_words), "id string, text_key bigint, grams binary"), "sketch")
     members = sketch.select("id", "text_key").distinct()
     banded = sketch.select("text_key", "grams").mapInPandas(_bands(bands, rows), "band bigint, text_key bigint, fp1 bigint, fp2 bigint")
-    met = written(banded.repartition("band").sortWithinPartitions("band", "text_key").mapInPandas(_meet(window, radius, pivots), "a bigint, b bigint, band bigint, fp1 bigint, fp2 bigint, alone boolean"), "met")
+    met = written(banded.repartition("band").sortWithinPartitions("band", "text_key").mapInPandas(_meet(window, radius, pivots), "a bigint, b bigint, band bigint, fp1 bigint, fp2 bigint, head boolean"), "met")
     pairs = met.filter("band IS NULL").select("a", "b")
-    large = met.filter("band IS NOT NULL").select("band", "a", "fp1", "fp2", "alone")
-    left, right = large.filter("alone").select("band", F.col("a").alias("qa"), F.col("fp1").alias("q1"), F.col("fp2").alias("q2")), large.drop("alone")
-    far = F.bit_count(F.col("fp1").bitwiseXOR(F.col("q1"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("q2")))
-    second = left.join(right, "band").filter((F.col("a") != F.col("qa")) & (far <= radius)).select(F.least("qa", "a").alias("a"), F.greatest("qa", "a").alias("b"))
-    pairs = pairs.unionByName(second).distinct()
     grams = sketch.select("text_key", "grams").dropDuplicates(["text_key"])
-    both = pairs.join(grams.select(F.col("text_key").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("text_key").alias("b"), F.col("grams").alias("gb")), "b")
-    links = cut_lineage(both.mapInPandas(_verify(share), "a bigint, b bigint"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(grams.select(F.col("text_key").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("text_key").alias("b"), F.col("grams").alias("gb")), "b")
+        return cut_lineage(both.mapInPandas(_verify(share), "a bigint, b bigint"))
+
+    links = verified(pairs.distinct())
+    more = second_round(met.filter("band IS NOT NULL").select("band", "a", "fp1", "fp2", "head"), links, radius, slice_rows)
+    links = links.unionByName(verified(more.join(links, ["a", "b"], "left_anti")))
     comp = components(links).withColumnRenamed("node", "text_key")
     degree = links.select(F.col("a").alias("text_key")).unionByName(links.select(F.col("b").alias("text_key"))).groupBy("text_key").agg(F.count("*").alias("links"))
     known = comp.join(degree, "text_key", "left")
