@@ -47,9 +47,12 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def knn_join(corpus: DataFrame, queries: DataFrame, k: int, exclude_same: bool = False, query_block: int = 4096, corpus_block: int = 50_000) -> DataFrame:
+def knn_join(corpus: DataFrame, queries: DataFrame, k: int, exclude_same: bool = False, query_block: int = 4096, corpus_block: int = 50_000, by_label: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k nearest of corpus (id, vec) to each of queries (qid, vec), exact.
 
+    ``by_label``: both sides have a ``label``, and the result a column ``same``; the k nearest of the same and the k
+    nearest of another label are kept for each query. A null label on either side makes neither.
+
     Both sides are cut into blocks of bounded size; each pair of blocks is one task of a block nested-loop
     product that keeps k candidates per query, and a window ranks the survivors. No pair of rows is emitted.
     """
@@ -62,19 +65,26 @@ def knn_join(corpus: DataFrame, queries: DataFrame, k: int, exclude_same: bool =
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), **({"same": pd.Series(dtype="bool")} if by_label else {})})
         right = right.sort_values("id")
         s = np.round(_unit(left["vec"]) @ _unit(right["vec"]).T, 6)
         ids, qids = right["id"].to_numpy(), left["qid"].to_numpy()
         if exclude_same:
             s[qids[:, None] == ids[None, :]] = -np.inf
+        if not by_label:
+            return nearest(s, ids, qids)
+        a, b = left["label"].to_numpy()[:, None], right["label"].to_numpy()[None, :]
+        known = left["label"].notna().to_numpy()[:, None] & right["label"].notna().to_numpy()[None, :]
+        return pd.concat([nearest(np.where(known & ((a == b) == same), s, -np.inf), ids, qids).assign(same=same) for same in (True, False)])
+
+    def nearest(s: np.ndarray, ids: np.ndarray, qids: np.ndarray) -> pd.DataFrame:
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(s, top, axis=1)
         out = pd.DataFrame({"qid": np.repeat(qids, top.shape[1]), "id": ids[top].ravel(), "score": score.ravel()})
         return out[np.isfinite(out["score"])]
 
-    best = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(block, "qid bigint, id bigint, score double")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    best = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(block, "qid bigint, id bigint, score double" + (", same boolean" if by_label else ""))
+    order = Window.partitionBy("qid", *(["same"] if by_label else [])).orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

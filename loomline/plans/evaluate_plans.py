@@ -77,16 +77,15 @@ def confidence_tier(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH k AS (SELECT q.vec_id AS qid, q.label AS ql, e.vec_id AS id, e.label AS l, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
 SELECT qid, arg_max(id, {{'s': score, 'i': -id}}) FILTER (WHERE l = ql) AS positive, arg_max(id, {{'s': score, 'i': -id}}) FILTER (WHERE l <> ql) AS negative, round(max(score) FILTER (WHERE l = ql) - max(score) FILTER (WHERE l <> ql), 6) AS gap FROM k GROUP BY qid""")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest of the same and of another label for each of the query set, from two exact block joins."""
+    """Nearest of the same and of another label for each of the query set, from one exact block join that keeps both."""
     from loomline.operators.vector import knn_join
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
-    own = e.select("id", "label")
-    q = e.filter("id % 100 = 0").select(F.col("id").alias("qid"), "vec")
-    k = knn_join(e.select("id", "vec"), q, 200, True).join(own, "id").join(own.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid")
+    q = e.filter("id % 100 = 0").select(F.col("id").alias("qid"), "label", "vec")
+    k = knn_join(e, q, 1, True, by_label=True)
+    met = q.filter("qid IS NOT NULL AND vec IS NOT NULL").select("qid")  # a query without either has a row as well
     order = F.struct("score", (-F.col("id")).alias("i"))
-    same, other = F.col("label") == F.col("ql"), F.col("label") != F.col("ql")
-    g = k.groupBy("qid").agg(F.max(F.when(same, order)).alias("p"), F.max(F.when(other, order)).alias("n"))
+    g = k.select("qid", "same", "score", "id").unionByName(met, allowMissingColumns=True).groupBy("qid").agg(F.max(F.when(F.col("same"), order)).alias("p"), F.max(F.when(~F.col("same"), order)).alias("n"))
     return g.select("qid", (-F.col("p.i")).alias("positive"), (-F.col("n.i")).alias("negative"), F.round(F.col("p.score") - F.col("n.score"), 6).alias("gap"))
 
 

@@ -68,6 +68,17 @@ def test_predicate_rejects_unknown_operators():
         vector.predicate({"a": {"$regex": "x"}})
 
 
+def test_hard_negatives_beyond_any_neighbourhood(spark, tmp_path):
+    """A query whose nearest 299 rows all have its own label still gets its negative."""
+    from loomline.plans.evaluate_plans import hard_negatives
+
+    rows = [(i, 0, [1.0, i / 1000]) for i in range(300)] + [(300, 1, [0.0, 1.0]), (301, 1, [-1.0, 0.0]), (400, None, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.qid: (r.positive, r.negative) for r in hard_negatives(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 300), 100: got[100], 200: got[200], 300: (301, 299), 400: (None, None)}
+    assert got[100][1] == got[200][1] == 300 and got[100][0] in (99, 101)
+
+
 def test_empty_vectors(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     q = spark.createDataFrame([([1.0, 0.0],)], "q array<float>")
