@@ -5,7 +5,7 @@ totals are a Spark cube over small columns. The language is voted for by the sto
 
 Nulls: a null or empty text has 0 tokens and language ``unknown``; a missing topic is ``unknown``; a
 missing kind is taken from the file's row in ``source_files``, else ``unknown``. A passage that comes
-twice under one id counts once. Extra columns are ignored; an empty table gives no rows.
+twice under one id counts once; each passage with a null id counts as one of its own. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ def _measure(path: str):
 def measured(passages: DataFrame, source_files: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
     """(id, source_type, lang, topic, tokens): one row per passage, with kinds and topics in one spelling."""
     rows = passages.select("id", clean_path(F.col("source_file")).alias("source_file"), "source_type", F.col("primary_topic").alias("topic"), F.col("ray_peat_response").alias("text"))
-    counts = rows.mapInPandas(_measure(tokenizer_path), "id string, source_file string, source_type string, topic string, tokens bigint, lang string").dropDuplicates(["id"])
+    counts = rows.mapInPandas(_measure(tokenizer_path), "id string, source_file string, source_type string, topic string, tokens bigint, lang string")
+    counts = counts.withColumn("own", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["id", "own"])  # each row without an id stays
     files = source_files.groupBy(clean_path(F.col("source_file")).alias("source_file")).agg(F.max(one_kind(F.col("source_type"))).alias("file_type"))
     joined = counts.join(broadcast_if_small(files, 100_000), "source_file", "left")
     kind = F.when(F.col("source_file").startswith("01_Audio_Transcripts/"), F.lit("transcript")).otherwise(F.coalesce(one_kind(F.col("source_type")), F.col("file_type"), F.lit("unknown")))
@@ -74,5 +75,5 @@ def budget(counts: DataFrame) -> DataFrame:
     """Totals of every slice of the cube; ``all`` stands for a dimension that is summed over."""
     dims = ("source_type", "lang", "topic")
     return counts.cube(*dims).agg(
-        *[F.grouping(d).alias(f"g_{d}") for d in dims], F.count("id").alias("passages"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.coalesce(F.max("tokens"), F.lit(0)).alias("max_tokens")
+        *[F.grouping(d).alias(f"g_{d}") for d in dims], F.count("*").alias("passages"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.coalesce(F.max("tokens"), F.lit(0)).alias("max_tokens")
     ).select(*[F.when(F.col(f"g_{d}") == 1, F.lit("all")).otherwise(F.col(d)).alias(d) for d in dims], "passages", "total_tokens", "max_tokens")

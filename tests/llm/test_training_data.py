@@ -161,6 +161,15 @@ def test_template_bands_lose_no_true_pair(spark):
 # Problem 3
 
 
+def test_token_budget_counts_rows_without_id(spark):
+    schema = "id string, source_file string, source_type string, primary_topic string, ray_peat_response string"
+    rows = [(None, None, None, None, "salt"), (None, None, None, None, "salt"), (None, None, None, None, "salt and milk"), ("1", None, None, None, "salt"), ("1", None, None, None, "salt")]
+    files = spark.createDataFrame([], "source_file string, source_type string")
+    m = token_budget.measured(spark.createDataFrame(rows, schema), files)
+    total = token_budget.budget(m).filter("source_type = 'all' AND lang = 'all' AND topic = 'all'").first()
+    assert (total.passages, total.total_tokens) == (4, sum(token_budget.count_tokens(["salt", "salt", "salt and milk", "salt"], token_budget.TOKENIZER)))
+
+
 def test_token_budget(spark):
     schema = "id string, source_file string, source_type string, primary_topic string, ray_peat_response string, tokens int, lang string, text string"
     rows = [
