@@ -1,8 +1,15 @@
 """Speech transcripts into clean speaker turns.
 
-Each text goes through a finite-state parser in one narrow map: label sites are found by layout, names are
-resolved to roles, persons of the speakers table or numbers, and the text between two sites is one block.
-Blocks are ordered by time if each has one, stripped of annotations and hesitation, and joined by speaker.
+Each text is read line by line by a finite-state parser. Its states are BETWEEN (nothing open), CUE (a cue number or a
+time has been read and its text is due), SPEECH (text of a block) and COMMENT (header or comment block of a caption file,
+up to the next blank line). The layouts known are caption files (SRT; WebVTT with voice tags, cue settings, headers and
+comments), and transcripts with labels in brackets, before a colon or before a dash, several on a line or none, with the
+time before the label, behind it or on a line of its own. Labels are resolved to roles, persons of the speakers table or
+numbers; a line without a label goes on with the block before. Each block is stripped of times, annotations and
+hesitation; blocks without speech are dropped and neighbours of one speaker joined.
+
+A label has at most as many words as the longest known name and eight more (title, place, number). Any bracketed remark
+is an annotation, whatever its length.
 
 Nulls: a null id, text or text without speaker labels gives no turns. The speakers table may be empty (roles
 and numbers are still known); names that are null are ignored. Repeated rows give their turns once. Extra
@@ -13,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +39,7 @@ ROLES = {
         "guest expert doctor dr a answer antwort reponse respuesta gast experte expertin arzt arztin doktor doktorin invitado invitada experto experta doctora medico medica invite invitee experte docteur docteure medecin"
     ).split(),
     "caller": (
-        "caller listener anrufer anruferin hoerer hoererin horer horerin zuhorer zuhorerin oyente llamante radioyente auditeur auditrice appelant appelante appelante"
+        "caller listener anrufer anruferin hoerer hoererin horer horerin zuhorer zuhorerin oyente llamante radioyente auditeur auditrice appelant appelante"
     ).split(),
 }
 ROLE_OF = {w: r for r, ws in ROLES.items() for w in ws}
@@ -41,30 +49,50 @@ FILLERS = (
     "you know|i mean|sort of|kind of|tu vois|vous voyez|weisst du|weiszt du|weißt du|sozusagen|o sea|es decir|digamos|enfin|bueno|este|pues|also|"
     "u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|m+|a+h+|o+h+|a+h+m+|e+u+h+|h+e+u+|e+h+m*|e+m+|ahm|ah|oh|aeh|aehm|ähm?|öhm?|ben|bah"
 )
-WORDS = re.compile(r"[^\W_]+")
-FILLER_WORDS = frozenset("uh uhh uhm um er erm hm hmm mm mmm mhm ah oh euh heu eh ehm em äh ähm öh you know i mean sort of kind tu vois enfin weißt du sozusagen digamos o sea es decir".split())
-FILLER = re.compile(rf"\b(?:{FILLERS})\b", re.I)
-SOUND = r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|mm+|e+u+h+|h+e+u+|ä+h+m*|e+h+m*|e+m+|you know|I mean|sort of|tu vois|enfin|weißt du|sozusagen|digamos|o sea)"
-NOTE = re.compile(r"\(\([^()]*\)\)|\[[^\[\]\n]{1,60}\]|\([^()\n]{1,60}\)|\{[^{}\n]{1,60}\}|<[^<>\n]{1,60}>|(?<!\*)\*(?!\*)[^*\n]{1,60}\*(?!\*)|[♪🎶][^♪🎶\n]{0,60}[♪🎶]|[♪🎶]")
-
-TIME = r"(?:[\[(<]\s*)?(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?!\d)(?:\s*[\])>])?"
+FILLER = re.compile(rf"\b(?:{FILLERS})\b")
+FILLER_PART = re.compile("|".join(dict.fromkeys(p for f in FILLERS.split("|") for p in f.split())))
+WORD = re.compile(r"[^\W_]+")
+# The same sounds and phrases as they stand in running speech, with both cases spelt out: a pattern that begins with a class of letters is
+# searched fast. The look-behind asks for a blank or a comma before the sound.
+SOUND = (
+    r"[UuEeHhMmÄäYyIiSsTtWwDdOo](?<![^\s,].)(?:(?<=[Uu])[Uu]*(?:[Hh]+[Mm]*|[Mm]+)|(?<=[Ee])[Ee]*(?:[Rr]+[Mm]*|[Uu]+[Hh]+|[Hh]+[Mm]*|[Mm]+)|(?<=[Hh])[Hh]*(?:[Mm]+|[Ee]+[Uu]+)|(?<=[Mm])[Mm]*(?:[Hh]+[Mm]+|[Mm])"
+    r"|(?<=[Ää])[Ää]*[Hh]+[Mm]*|(?<=[Yy])ou know|(?<=[Ii]) mean|(?<=[Ss])ort of|(?<=[Tt])u vois|(?<=[Ee])nfin|(?<=[Ww])eißt du|(?<=[Ss])ozusagen|(?<=[Dd])igamos|(?<=[Oo]) sea)"
+)
+SOUNDS = re.compile(SOUND + r"\b(?:\.\.\.|[,.…])?(?=\s|$)")
+BETWEEN_DASHES = re.compile(rf"[—–-]\s+{SOUND}\s+[—–-]\s+")
+ENDS_IN_SOUND = re.compile(SOUND + r"[,.…]*$")
+NOTE = re.compile(r"\(\([^()]*\)\)|\[[^\[\]\n]*\]|\([^()\n]*\)|\{[^{}\n]*\}|</?[^\W\d_][^<>\n]*>|(?<!\*)\*(?!\*)[^*\n]+\*(?!\*)|[♪🎶][^♪🎶\n]*[♪🎶]|[♪🎶]")
+OPENS_NOTE = re.compile(r"[\[({<*♪🎶]")
+BLANKS = re.compile(r"\s+")
+BEFORE_MARK = re.compile(r"\s+([,.;:!?])")
+
+TIME = r"(?:[\[(<] ?)?(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?!\d)(?: ?[\])>])?"
 TIME_RE = re.compile(TIME)
+TIME_END = re.compile(rf"{TIME}$")
 CLOCK = re.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d{1,3}))?")
-NAME = r"[^\W\d_][^\s:\[\]()<>*]*(?:[ \t][^\s:\[\]()<>*]+){0,3}?"
-SUFFIX = r"(?:[ \t]*\([^\d()]{1,12}\d{1,2}\))?"
-BRACKET = re.compile(rf"(?:\[(?P<a>{NAME}{SUFFIX})(?:[ \t]+(?P<ta>{TIME}))?\]|<(?P<b>{NAME}{SUFFIX})>)[ \t]*:?(?=\s|$)")
-COLON = re.compile(r"[:：](?=(?:\*\*|__)?(?:\s|$))")
-DASH = re.compile(r"(?<=[ \t\])])[-–](?=\s|$)")
+CUE_TIMES = re.compile(rf"({TIME})\s*(?:-->|→)\s*{TIME}((?:\s+[a-z]+:\S+)*)")
+HEADER = re.compile(r"\ufeff?WEBVTT\b")
+COMMENT = re.compile(r"(?:NOTE|STYLE|REGION)\b")
+LINES = re.compile(r"\r\n|\r|\n")
+NAME = r"[^\W\d_][^\s:\[\]()<>*]*(?:[ \t]+[^\s:\[\]()<>*]+)*?"
+SUFFIX = r"(?:[ \t]*\([^\d()]*\d{1,3}\))?"
+VOICE = re.compile(r"<v(?:\.[^\s<>.]+)*[ \t]+([^<>\n]+)>")
+BRACKET = re.compile(rf"(?:\[({NAME}{SUFFIX})(?:[ \t]+({TIME}))?\]|<({NAME}{SUFFIX})>)[ \t]*:?(?=\s|$)")
+MARK = re.compile(r"[:：](?=(?:\*\*|__)?(?:\s|$))|(?<=[ \t\])])[-–](?=\s|$)")
 STARTS = re.compile(r"(?:(?<=[\s*_>\])])|^)[^\W_]")
-TIME_END = re.compile(rf"{TIME}$")
 NUMBERED = re.compile(r"^(?:speaker|sprecher|sprecherin|hablante|locuteur|locutrice|intervenant|spk|s|voice|stimme|voix|voz|orador|locutor)[\s_#-]*0*(\d{1,3})$")
-BEFORE_TIME = re.compile(rf"({TIME})[ \t]*(?:\r?\n)?[ \t]*(?:[-–—>|]+[ \t]*)?(?:\*\*|__)?[ \t]*$")
-BEFORE_OK = re.compile(r"(?:^|[\r\n])[ \t>|\-–—*_#]*$|[.!?…:;\]\)\}>*_♪🎶\"”»][ \t]*(?:[-–—]+[ \t]*|>>+[ \t]*|\*\*|__)*$|" + SOUND + r"[,.]*[ \t]+(?:[-–—]+[ \t]*|>>+[ \t]*|\*\*|__)*$", re.I)
+CALLER_FROM = re.compile(r"^(\w+)\s+(?:(?:from|on line|line|de|du|des|aus|von|depuis|desde|en)\s+[\w' -]+|#?\s*\d+)$")
+MARKS = " \t>|-–—*_#"
+FREE_AFTER = set(".!?…:;])}>*_♪🎶\"”»")
+
+BETWEEN, CUE, SPEECH, COMMENT_BLOCK = range(4)
 
 
 def fold(s: str) -> str:
-    t = unicodedata.normalize("NFKD", s.lower().replace("ß", "ss"))
-    return "".join(c for c in t if not unicodedata.combining(c))
+    t = s.lower().replace("ß", "ss")
+    if t.isascii():
+        return t
+    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
 def near(a: str, b: str) -> bool:
@@ -90,6 +118,7 @@ class Names:
             if name and role:
                 words = fold(name).split()
                 self.people.append((words, role))
+        self.label_words = 8 + max((len(w) for w, _ in self.people), default=2)
         self.seen: dict[str, str | None] = {}
 
     def speaker(self, label: str) -> str | None:
@@ -107,7 +136,7 @@ class Names:
             return f"speaker {int(m.group(1))}"
         if t in ROLE_OF:
             return ROLE_OF[t]
-        m = re.match(r"^(\w+)\s+(?:from|on line|line|de|du|des|aus|von|depuis|desde|en|#)?\s*[\w -]+$", t)
+        m = CALLER_FROM.match(t)
         if m and ROLE_OF.get(m.group(1)) == "caller":
             return "caller"
         m = re.match(r"^(\w+)\s*[-_#]?\s*\d+$", t)
@@ -144,114 +173,167 @@ def clock(text: str) -> float:
     return int(h) * 3600 + int(m) * 60 + int(s) + int((ms or "0").ljust(3, "0")) / 1000
 
 
-def sites(text: str, names: Names) -> list[tuple[int, int, str, float | None]]:
-    """(start, end, speaker, time) of each speaker label."""
-    found: list[tuple[int, int, str, float | None]] = []
+def back_over_marks(line: str, low: int, at: int) -> int:
+    while at > low and line[at - 1] in MARKS:
+        at -= 1
+    return at
 
-    def add(start: int, end: int, speaker: str, inner: str | None) -> None:
-        at = None
+
+def time_before(line: str, low: int, at: int) -> tuple[int, str] | None:
+    """Place and text of a time that stands right before ``at``, but for marks."""
+    k = back_over_marks(line, low, at)
+    close = 1 if line[k : k + 1] == ">" else 0  # the bracket of a time is also a mark
+    m = TIME_END.search(line[max(low, k - 24) : k + close]) or TIME_END.search(line[max(low, k - 24) : k])
+    return (max(low, k - 24) + m.start(), m.group(0)) if m else None
+
+
+def is_free(line: str, low: int, at: int) -> bool:
+    """A label may begin here: at the head of a line, after a sentence, a mark, an annotation or a sound."""
+    k = back_over_marks(line, low, at)
+    if k == 0 or line[k - 1] in FREE_AFTER or any(c in ">*_" for c in line[k:at]):
+        return True
+    head = line[max(low, k - 32) : k]
+    return k < at and bool(ENDS_IN_SOUND.search(head))
+
+
+def labels(line: str, names: Names) -> list[tuple[int, int, str, str | None]]:
+    """(start, end, speaker, time) of each speaker label of a line; the start takes in a time before the label."""
+    found: list[tuple[int, int, str, str | None]] = []
+    if "<v" in line:
+        for m in VOICE.finditer(line):
+            s = names.speaker(m.group(1))
+            if s:
+                found.append((m.start(), m.end(), s, None))
+    if "[" in line or "<" in line:
+        low = 0
+        for m in BRACKET.finditer(line):
+            s = names.speaker(m.group(1) or m.group(3))
+            before = s and time_before(line, low, m.start())
+            if s and (before or is_free(line, low, m.start())):
+                found.append((before[0] if before and not m.group(2) else m.start(), m.end(), s, m.group(2) or (before[1] if before else None)))
+                low = m.end()
+    starts: list[int] | None = None
+    low = 0
+    for mark in MARK.finditer(line):
+        at, end, dash = mark.start(), mark.end(), mark.group(0) in "-–"
+        stop = back_over_marks(line, low, at) if line[at - 1 : at] in ("*", "_", " ", "\t") else at
+        inner = TIME_END.search(line[max(low, stop - 24) : stop])
         if inner:
-            at = clock(inner)
-        else:
-            m = BEFORE_TIME.search(text, max(0, start - 40), start)
-            if m:
-                at, start = clock(m.group(1)), m.start()
-        found.append((start, end, speaker, at))
-
-    if "[" in text or "<" in text:
-        for m in BRACKET.finditer(text):
-            s = names.speaker(m.group("a") or m.group("b"))
-            if s and (BEFORE_OK.search(text, max(0, m.start() - 60), m.start()) or BEFORE_TIME.search(text, max(0, m.start() - 40), m.start())):
-                add(m.start(), m.end(), s, m.group("ta"))
-    marks = []
-    if ":" in text or "：" in text:
-        marks += [(m.start(), m.end(), False) for m in COLON.finditer(text)]
-    if " - " in text or " -\n" in text or " -\r" in text or " – " in text or text.endswith(" -"):
-        marks += [(m.start(), m.end(), True) for m in DASH.finditer(text)]
-        marks.sort()
-    pos = 0
-    for at, end, dash in marks:
-        line = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
-        lo = max(line, pos, at - 75)
-        body = text[lo:at].rstrip()
-        if body.endswith(("**", "__")):
-            body = body[:-2].rstrip()
-        inner = None
-        t = TIME_END.search(body)
-        if t and t.start() > 0:
-            inner, body = t.group(0), body[: t.start()].rstrip()
-            if body.endswith(("**", "__")):
-                body = body[:-2].rstrip()
-        for k in list(STARTS.finditer(body))[-5:]:
-            st = k.start()
-            label = body[st:]
-            if len(label) > 48:
+            stop = back_over_marks(line, low, max(low, stop - 24) + inner.start())
+        if stop <= low:
+            continue
+        if starts is None:
+            starts = [m.start() for m in STARTS.finditer(line)]
+        j = bisect_left(starts, stop)
+        for st in starts[max(0, j - names.label_words) : j]:
+            if st < low:
                 continue
+            label = line[st:stop]
             s = names.speaker(label)
             if not s:
                 continue
-            free = BEFORE_OK.search(text, max(0, lo + st - 60), lo + st) or BEFORE_TIME.search(text, max(0, lo + st - 40), lo + st)
-            if free or (not dash and label[0].isupper() and len(label) > 2):
-                if text.startswith(("**", "__"), end):
+            before = time_before(line, low, st)
+            if before or is_free(line, low, st) or (not dash and label[0].isupper() and len(label) > 2):
+                if line.startswith(("**", "__"), end):
                     end += 2
-                add(lo + st, end, s, inner)
-                pos = end
+                found.append((before[0] if before and not inner else st, end, s, inner.group(0) if inner else before[1] if before else None))
+                low = end
                 break
-    found.sort()
-    out: list[tuple[int, int, str, float | None]] = []
-    for x in found:
-        if out and x[0] < out[-1][1]:
+    if len(found) > 1:
+        found.sort()
+        kept = found[:1]
+        for x in found[1:]:
+            if x[0] >= kept[-1][1]:
+                kept.append(x)
+        return kept
+    return found
+
+
+def blocks(text: str, names: Names) -> list[tuple[float | None, str, str]]:
+    """(time, speaker, raw text) of each labelled block, in order of appearance."""
+    state, captions, due = BETWEEN, False, None  # ``due``: a time that waits for its label
+    out: list[tuple[float | None, str, list[str]]] = []
+    lines = LINES.split(text)
+    for n, line in enumerate(lines):
+        bare = line.strip()
+        if not bare:
+            state = BETWEEN
+            continue
+        cue = CUE_TIMES.match(bare) if ">" in bare or "→" in bare else None
+        if state == COMMENT_BLOCK and not cue:
+            continue
+        if cue:
+            state, due, line = CUE, cue.group(1), bare[cue.end() :]
+            if not line.strip():
+                continue
+        elif HEADER.match(bare) and not out:
+            state, captions = COMMENT_BLOCK, True
+            continue
+        elif captions and state == BETWEEN and COMMENT.match(bare):
+            state = COMMENT_BLOCK
             continue
-        out.append(x)
-    return out
+        elif (bare.isdigit() or (captions and state == BETWEEN)) and n + 1 < len(lines) and CUE_TIMES.match(lines[n + 1].strip()):
+            state = CUE  # number or name of a cue
+            continue
+        elif bare[-1] in "0123456789])>" and TIME_RE.fullmatch(bare):
+            state, due = CUE, bare
+            continue
+        state = SPEECH
+        at = labels(line, names) if ":" in line or "[" in line or "<" in line or "-" in line or "–" in line or "：" in line else []
+        if not at:
+            if out:
+                out[-1][2].append(line)
+        else:
+            if out:
+                out[-1][2].append(line[: at[0][0]])
+            for k, (start, end, speaker, time) in enumerate(at):
+                if time is None and k == 0 and due is not None and not line[:start].strip(MARKS):
+                    time = due
+                out.append((clock(time) if time else None, speaker, [line[end : at[k + 1][0] if k + 1 < len(at) else len(line)]]))
+        tail = TIME_END.search(line[-24:].rstrip()) if line[-1:] in "0123456789])> \t" else None
+        due = tail.group(0) if tail else None
+    return [(time, speaker, "\n".join(parts)) for time, speaker, parts in out]
 
 
 def clean(block: str) -> str:
     """Speech without annotations, times and hesitation."""
-    t = re.sub(r"\s+", " ", TIME_RE.sub(" ", NOTE.sub(" ", block)))
-    t = re.sub(rf"\s*[—–-]\s+{SOUND}\s+[—–-]\s+", " ", t, flags=re.I)
-    t = re.sub(rf"(?:(?<=^)|(?<=[\s,]))(?:{SOUND})\b(?:\.\.\.|[,.…])?(?=\s|$)", " ", t, flags=re.I)
-    t = re.sub(r"\*\*|__", "", t)
-    t = re.sub(r"\s+", " ", t)
-    return re.sub(r"\s+([,.;:!?])", r"\1", t).strip(" ,-–—>")
+    t = NOTE.sub(" ", block) if OPENS_NOTE.search(block) else block
+    if ":" in t:
+        t = TIME_RE.sub(" ", t)
+    t = BLANKS.sub(" ", t)
+    if " — " in t or " - " in t or " – " in t:
+        t = BETWEEN_DASHES.sub(" ", t)
+    t = SOUNDS.sub(" ", t)
+    if "**" in t or "__" in t:
+        t = t.replace("**", "").replace("__", "")
+    t = BLANKS.sub(" ", t)
+    return BEFORE_MARK.sub(r"\1", t).strip(" ,-–—>")
 
 
 def has_speech(cleaned: str) -> bool:
-    return bool(re.search(r"[^\W_]", FILLER.sub(" ", fold(cleaned))))
-
-
-def speaks(raw: str) -> bool:
-    """Whether a raw block has speech. Most blocks show it in their first words; the rest are cleaned as a whole."""
-    head = raw[:240]
-    if len(raw) > 240:
-        head = head[:170] if NOTE.search(head, 110) else head
-    words = WORDS.findall(NOTE.sub(" ", head))
-    if sum(w.lower() not in FILLER_WORDS for w in words) > 3:
+    """A word is left that is no hesitation: one that no filler has, or one beyond the fillers."""
+    if any(not FILLER_PART.fullmatch(fold(m.group(0))) for m in WORD.finditer(cleaned)):
         return True
-    return has_speech(clean(raw))
+    return bool(WORD.search(FILLER.sub(" ", fold(cleaned))))
 
 
-def turns(text: str | None, names: Names, with_text: bool = True) -> list[tuple[int, str, str]]:
+def turns(text: str | None, names: Names) -> list[tuple[int, str, str]]:
     """(turn number from 1, speaker, speech) of a text."""
     if not text:
         return []
-    at = sites(text, names)
-    blocks = []
-    for k, (_, end, speaker, time) in enumerate(at):
-        until = at[k + 1][0] if k + 1 < len(at) else len(text)
-        blocks.append((time, speaker, text[end:until]))
-    if blocks and all(b[0] is not None for b in blocks):
-        blocks.sort(key=lambda b: b[0])
+    found = blocks(text, names)
+    if found and all(b[0] is not None for b in found):
+        found.sort(key=lambda b: b[0])
     out: list[list] = []
-    for _, speaker, raw in blocks:
-        speech = clean(raw) if with_text else ""
-        if not (has_speech(speech) if with_text else speaks(raw)):
+    for _, speaker, raw in found:
+        speech = clean(raw)
+        if not has_speech(speech):
             continue
         if out and out[-1][1] == speaker:
-            out[-1][2] += " " + speech
+            out[-1][2].append(speech)
         else:
-            out.append([len(out) + 1, speaker, speech])
-    return [tuple(x) for x in out]
+            out.append([len(out) + 1, speaker, [speech]])
+    return [(n, speaker, " ".join(parts)) for n, speaker, parts in out]
 
 
 def _parse(people: list[tuple[str, str]], with_text: bool):
@@ -262,7 +344,7 @@ def _parse(people: list[tuple[str, str]], with_text: bool):
             for col in ("ray_peat_response", "context"):
                 for i, t in zip(pdf["id"], pdf[col], strict=True):
                     if isinstance(t, str):
-                        rows += [(i, col, n, s, *([x] if with_text else [])) for n, s, x in turns(t, names, with_text)]
+                        rows += [(i, col, n, s, *([x] if with_text else [])) for n, s, x in turns(t, names)]
             yield pd.DataFrame(rows, columns=["id", "col_name", "turn_no", "speaker", *(["speech"] if with_text else [])])
 
     return run
@@ -271,7 +353,8 @@ def _parse(people: list[tuple[str, str]], with_text: bool):
 def speaker_turns(search_results: DataFrame, speakers: DataFrame, with_text: bool = False, max_people: int = 100_000) -> DataFrame:
     """(id, col_name, turn_no, speaker[, speech]) of the passages whose file is an audio transcript.
 
-    The speakers table is sent to the tasks; above ``max_people`` rows this raises rather than cut it short.
+    ``with_text`` only adds the column of the speech; the turns are the same with and without. The speakers table is sent to the
+    tasks; above ``max_people`` rows this raises rather than cut it short.
     """
     people = [tuple(r) for r in speakers.filter("full_name IS NOT NULL").select("full_name", "speaker_role").distinct().limit(max_people + 1).collect()]
     if len(people) > max_people:

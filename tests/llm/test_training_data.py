@@ -269,7 +269,85 @@ PEOPLE = [("Mirel Oskander", "host"), ("Sunniva Threlk", "guest"), ("Quenby Stro
 def test_turns(text, want):
     names = transcripts.Names([p for p in PEOPLE if p[0]])
     assert [(n, s) for n, s, _ in transcripts.turns(text, names)] == want
-    assert [(n, s) for n, s, _ in transcripts.turns(text, names, False)] == want
+
+
+SRT = """1
+00:00:05,000 --> 00:00:07,000
+HOST: Welcome to the show.
+
+2
+00:00:07,000 --> 00:00:09,000
+It is about salt.
+
+3
+00:00:01,500 --> 00:00:03,000
+GUEST: 2 grams of it,
+um, a day.
+"""
+VTT = """\ufeffWEBVTT - a show
+
+NOTE Host: this is
+no speech
+
+STYLE
+::cue { color: red }
+
+intro
+00:01.000 --> 00:04.000 align:start position:0%
+<v.loud Mirel Oskander>Welcome <00:02.000><c>to</c> the show.</v>
+
+00:04.500 --> 00:06.000
+and all of you
+
+00:06.000 --> 00:07.000
+<v Dr. Threlk>Thank you.</v>
+"""
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\r"])
+def test_caption_layouts(newline):
+    names = transcripts.Names(PEOPLE[:3])
+    assert transcripts.turns(SRT.replace("\n", newline), names) == [(1, "guest", "2 grams of it, a day."), (2, "host", "Welcome to the show. It is about salt.")]
+    assert transcripts.turns(VTT.replace("\n", newline), names) == [(1, "host", "Welcome to the show. and all of you"), (2, "guest", "Thank you.")]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Guest: yes\n7\nsold", [(1, "guest", "yes 7 sold")]),  # a number that no time follows is speech
+        ("[00:10]\n\nHost: Salt.", [(1, "host", "Salt.")]),
+        ("Host: one [a remark " + "that goes on and on " * 20 + "] two (sighs)", [(1, "host", "one two")]),
+        ("Host: " + "x" * 300 + ". Caller from a very long way down the coast road: hello", [(1, "host", "x" * 300 + "."), (2, "caller", "hello")]),
+        ("said mean-while, host: no label\nGuest: yes", [(1, "guest", "yes")]),
+    ],
+)
+def test_layout_details(text, want):
+    assert transcripts.turns(text, transcripts.Names(PEOPLE[:3])) == want
+
+
+def test_turns_of_random_blocks():
+    """Blocks of times, sounds, notes and words: a block has a turn exactly if a word that is no filler is in it."""
+    rnd = random.Random(4)
+    names = transcripts.Names(PEOPLE[:3])
+    silent = ["00:01:02.500", "uh", "Um,", "[noise in the hall]", "mm...", "(pause)", "♪ la ♪", "you know,", "*coughs*"]
+    for _ in range(400):
+        parts, want = [], []
+        for k in range(rnd.randint(1, 6)):
+            speaker = f"speaker {k}"
+            words = [rnd.choice(silent) for _ in range(rnd.randint(0, 12))]
+            if rnd.random() < 0.5:
+                words.insert(rnd.randint(0, len(words)), "salt")
+                want.append(speaker)
+            parts.append(f"S{k}: {' '.join(words)}")
+        got = transcripts.turns("\n".join(parts), names)
+        assert [s for _, s, _ in got] == want
+        assert all(x == "salt" for *_, x in got)
+
+
+def test_found_is_turns_without_speech(spark, data):
+    passages, people = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("search_results", "speakers"))
+    found = {tuple(r) for r in transcripts.speaker_turns(passages, people).collect()}
+    assert found and found == {tuple(r)[:4] for r in transcripts.speaker_turns(passages, people, with_text=True).collect()}
 
 
 def test_speech_is_clean():
