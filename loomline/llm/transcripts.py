@@ -173,9 +173,12 @@ def clock(text: str) -> float:
     return int(h) * 3600 + int(m) * 60 + int(s) + int((ms or "0").ljust(3, "0")) / 1000
 
 
-def back_over_marks(line: str, low: int, at: int) -> int:
+def back_over_marks(line: str, low: int, at: int, seen: tuple[int, int] = (-1, -1)) -> int:
+    """Where the run of marks and blanks before ``at`` begins; ``seen`` is a place with its answer, so that no run is read twice."""
     while at > low and line[at - 1] in MARKS:
         at -= 1
+        if at == seen[0]:
+            return max(low, seen[1])
     return at
 
 
@@ -213,10 +216,11 @@ def labels(line: str, names: Names) -> list[tuple[int, int, str, str | None]]:
                 found.append((before[0] if before and not m.group(2) else m.start(), m.end(), s, m.group(2) or (before[1] if before else None)))
                 low = m.end()
     starts: list[int] | None = None
-    low = 0
+    low, seen = 0, (-1, -1)
     for mark in MARK.finditer(line):
         at, end, dash = mark.start(), mark.end(), mark.group(0) in "-–"
-        stop = back_over_marks(line, low, at) if line[at - 1 : at] in ("*", "_", " ", "\t") else at
+        stop = back_over_marks(line, low, at, seen) if line[at - 1 : at] in ("*", "_", " ", "\t") else at
+        seen = at, stop
         inner = TIME_END.search(line[max(low, stop - 24) : stop])
         if inner:
             stop = back_over_marks(line, low, max(low, stop - 24) + inner.start())
