@@ -8,11 +8,21 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting the rows; beyond ``max_rows`` Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast only after adding up the bytes of the rows; beyond ``max_bytes`` Spark joins by shuffle. The plan of ``df`` runs
+    once more for this: hand in a table that is cheap to read again."""
+
+    def size(f: StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+        return F.length(F.to_json(F.struct(c))) * 4 if isinstance(f.dataType, (ArrayType, StructType, MapType)) else F.lit(8)
+
+    total = df.agg(F.sum(sum((size(f) for f in df.schema), F.lit(16))).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if (total or 0) <= max_bytes else df
 
 
 def clean_path(path: Column) -> Column:

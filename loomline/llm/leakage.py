@@ -75,7 +75,7 @@ def index(documents: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
     return written(rows.mapInPandas(_postings(vocabulary), "doc_id bigint, terms array<bigint>, places array<int>"), "postings")
 
 
-def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: int = 4, max_vocabulary: int = 200_000, max_anchor_rows: int = 2_000_000) -> DataFrame:
+def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: int = 4, max_vocabulary: int = 200_000) -> DataFrame:
     """(doc_id, item_id, field, longest_run, matched_words, first_pos): exact runs of at least ``length`` words."""
     terms = cut_lineage(test_terms(items))
     words = [r[0] for r in terms.select("word").distinct().limit(max_vocabulary + 1).collect()]
@@ -86,15 +86,15 @@ def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: in
     first = F.slice(F.array_sort(F.collect_list("entry").over(run)), 1, rarest)  # of ``length`` entries
     chosen = ranked.withColumn("best", first).withColumn("words", F.count("*").over(run)).filter(F.col("words") == length).filter(F.col("best")[0]["df"] > 0)
     anchors = chosen.select("item_id", "field", F.explode("best").alias("b")).select("item_id", "field", F.col("b.term").alias("term"), F.col("b.tpos").alias("tpos")).distinct()
-    anchors = broadcast_if_small(cut_lineage(anchors), max_anchor_rows)
+    anchors = broadcast_if_small(cut_lineage(anchors))
     lists = postings.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
     windows = chosen.groupBy("item_id", "field").agg(F.collect_set(F.array_sort(F.transform("best", lambda x: x["tpos"]))).alias("windows"))  # as many as an item has words
     met = lists.join(anchors, "term").groupBy("doc_id", "item_id", "field", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.collect_set("tpos").alias("at")).filter(F.size("at") >= rarest)
     whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("at"))) == 0)
-    offsets = cut_lineage(met.join(broadcast_if_small(cut_lineage(windows), 200_000), ["item_id", "field"]).filter(whole).select("doc_id", "item_id", "field", "shift"))
-    hit = postings.join(broadcast_if_small(offsets.select("doc_id").distinct(), 1_000_000), "doc_id", "left_semi")
+    offsets = cut_lineage(met.join(broadcast_if_small(cut_lineage(windows)), ["item_id", "field"]).filter(whole).select("doc_id", "item_id", "field", "shift"))
+    hit = postings.join(broadcast_if_small(offsets.select("doc_id").distinct()), "doc_id", "left_semi")
     of_hits = hit.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
-    expected = offsets.join(broadcast_if_small(terms.drop("word"), max_anchor_rows), ["item_id", "field"]).withColumn("pos", F.col("tpos") + F.col("shift"))
+    expected = offsets.join(broadcast_if_small(terms.drop("word")), ["item_id", "field"]).withColumn("pos", F.col("tpos") + F.col("shift"))
     met = expected.join(of_hits, ["doc_id", "term", "pos"]).select("doc_id", "item_id", "field", "shift", "tpos").distinct()
     line = Window.partitionBy("doc_id", "item_id", "field", "shift").orderBy("tpos")
     runs = (

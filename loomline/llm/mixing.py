@@ -68,7 +68,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     epochs = F.when(F.col("available_tokens") > 0, F.floor(F.col("budget_tokens") / F.col("available_tokens"))).otherwise(0)
     plan = cut_lineage(plan.withColumn("epochs", epochs.cast("bigint")).withColumn("rest_tokens", F.col("budget_tokens") - F.col("epochs") * F.col("available_tokens")))
     repeats = F.col("epochs") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("rest_tokens"), 1).otherwise(0)
-    chosen = order.join(broadcast_if_small(plan.select("source", "epochs", "rest_tokens"), 100_000), "source").select("doc_id", "source", "tokens", repeats.cast("int").alias("repeats")).filter("repeats > 0")
+    chosen = order.join(broadcast_if_small(plan.select("source", "epochs", "rest_tokens")), "source").select("doc_id", "source", "tokens", repeats.cast("int").alias("repeats")).filter("repeats > 0")
     used = chosen.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.sum("repeats").cast("bigint").alias("used_records"), F.count("*").alias("distinct_records"), F.max("repeats").alias("most_repeats")
     )

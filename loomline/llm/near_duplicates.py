@@ -1,19 +1,19 @@
 """Near-duplicate passages with small edits.
 
-1. One pass over the texts makes of each passage its words (lower case, no accents, no marks), the hashes
-   of its sequences of three words with repeats, and a key of the whole word sequence; from the hashes comes a
-   fingerprint, one bit of each of ``BITS`` min-hashes, so that the Hamming distance of two fingerprints falls
-   with overlap.
-2. Copies of one word sequence count as one text: each task gives its band rows once, and copies from
-   several tasks lie side by side in a band and are folded there.
-3. Bands of min-hashes bring together passages that may be alike. In a band of up to ``window`` texts all meet;
-   in a larger one each text first meets the first ``window`` until it has found four that are alike. After
-   verification a second round, in slices of the band, compares all texts of the band that aren't verified links
-   of one and the same head, so that only pairs already in one group are left out.
-4. Pivot table: the Hamming distances of a fingerprint to ``pivots`` reference fingerprints are computed
-   once per row that has company in its band. A pair whose greatest coordinate difference exceeds the radius can't lie within the
-   radius (triangle inequality) and is discarded; then the fingerprints themselves are compared.
-5. Survivors are verified on the exact sequences; links become groups by connected components.
+1. One pass over the texts makes of each passage its words (lower case, no accents, no marks), the 32-bit hashes of its
+   sequences of three words in order, and a key of the whole word sequence. Words are hashed in whole batches of texts.
+2. Copies of one word sequence count as one text.
+3. ``hashes`` min-hashes of the sequences give each text a fingerprint of ``SYMBOLS`` symbols of two bits, so that the Hamming distance
+   of two fingerprints falls with overlap, and its band keys: ``bands`` of ``rows`` min-hashes each, and ``long_bands`` of
+   one min-hash each over runs of ten words, which small edits leave whole. Keys are spread over buckets of bounded size; a key that is
+   frequent in a task is salted over many buckets, with some of its texts in the unsalted bucket too.
+4. Pivot table: the Hamming distances of a fingerprint to ``pivots`` reference fingerprints are computed once per text that has
+   company under a key. A pair whose greatest coordinate difference exceeds the radius can't lie within the radius (triangle
+   inequality) and is discarded; then the fingerprints themselves are compared. Under a key of up to ``window``
+   texts all meet; beyond, each text first meets the first ``window`` until four are alike.
+5. Survivors are verified on the exact sequences. A second round, in slices, compares under each larger key all
+   texts that verified links haven't put into one component; only pairs already in one group are left out.
+6. Links become groups by connected components.
 
 Nulls: rows with a null id or text, and passages under ``least_words`` words, are in no group. A repeated
 id is taken once. Extra columns are ignored. An empty table gives no rows.
@@ -24,23 +24,26 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import broadcast_if_small
 from loomline.llm.components import components
 from loomline.session import cut_lineage, written
 
-BITS = 128
+SYMBOLS = 128
+LONG = 8  # sequences of three words that make a run of ten words
 WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_FNV = np.uint64(0x100000001B3)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower case words without accents, marks and line ends."""
+    """Lower case words without accents, marks and line ends. ``sequences`` hashes the same words without making a list of them."""
     t = (text or "").lower()
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t)
@@ -49,7 +52,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mixing function, so that min-hashes of one gram are independent of each other."""
+    """A 64-bit mixing function."""
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
     x = x ^ (x >> np.uint64(33))
@@ -57,173 +60,245 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def reference_fingerprints(pivots: int) -> np.ndarray:
-    """Reference fingerprints (two words of 64 bits each), the same in each task."""
-    return _mix(np.arange(1, 2 * pivots + 1, dtype=np.uint64) * _PRIME).reshape(pivots, 2)
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points belong to words, and which are combining marks."""
+    planes = 0x20000
+    word = np.zeros(0x110000, dtype=bool)
+    word[:planes] = [chr(c).isalnum() for c in range(planes)]
+    word[planes:0xE0000] = True
+    mark = np.zeros(0x110000, dtype=bool)
+    mark[:planes] = [unicodedata.combining(chr(c)) > 0 for c in range(planes)]
+    return word, mark
+
+
+def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a batch of texts: (words of each text, key of each word sequence, hashes of all sequences of three words in order, text of each)."""
+    word, mark = _characters()
+    plain = [t if t.isascii() else unicodedata.normalize("NFKD", t) for t in map(str.lower, texts)]
+    codes = np.frombuffer("\n".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in plain])
+    if not all(map(str.isascii, plain)):
+        keep = ~mark[codes]
+        ends = np.cumsum(keep)[ends - 1]
+        codes = codes[keep]
+    inside = word[codes]
+    first = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    counts = np.diff(np.r_[0, np.searchsorted(first, ends)])
+    if not len(first):
+        return counts, np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(inside)
+    start = np.searchsorted(at, first)
+    place = at - np.repeat(first, np.diff(np.r_[start, len(at)]))
+    with np.errstate(over="ignore"):
+        h = _mix(np.add.reduceat(_mix(codes[at].astype(np.uint64) + place.astype(np.uint64) * _PRIME), start))
+        text = np.repeat(np.arange(len(texts)), counts)
+        offset = np.cumsum(counts) - counts
+        order = (np.arange(len(h)) - offset[text]).astype(np.uint64)
+        key = np.zeros(len(texts), dtype=np.uint64)
+        some = counts > 0
+        key[some] = np.add.reduceat(_mix(h + order * _FNV), offset[some])
+        g = (_mix(h[:-2] * np.uint64(3) + h[1:-1] * _FNV + h[2:] * _PRIME) >> np.uint64(32)).astype(np.uint32)
+    whole = text[:-2] == text[2:]
+    return counts, _mix(key).view(np.int64), g[whole], text[:-2][whole]
+
+
+def _batches(pdf: pd.DataFrame, size: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
+    """Parts of a frame of about ``most`` in size each."""
+    part = np.cumsum(size) // most
+    for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+        if len(at):
+            yield pdf.iloc[at]
 
 
-class _Hashes(dict):
-    """Hash of each word, remembered; emptied when it grows beyond a million words."""
+def _sketch(least_words: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for pdf in _batches(whole, whole["text"].str.len().to_numpy(np.int64), 1_000_000):
+                counts, key, grams, text = sequences(pdf["text"].tolist())
+                cut = np.searchsorted(text, np.arange(len(pdf) + 1))
+                keep = np.flatnonzero(counts >= least_words)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "text_key": key[keep], "grams": [grams[cut[k] : cut[k + 1]].tobytes() for k in keep]})
+
+    return run
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint32)
 
 
-def grams_of(words: list[str], memo: _Hashes) -> np.ndarray:
-    """Hashes (24 bit) of the sequences of three consecutive words, repeats kept, in order of hash."""
-    h = np.array([memo[w] for w in words], dtype=np.uint64)
+def minima(grams: list[np.ndarray], hashes: int, long_bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Min-hashes of the sequences of each text, and of its runs of ``LONG`` sequences."""
+    seeds = _mix(np.arange(1, hashes + long_bands + 1, dtype=np.uint64) + np.uint64(0xABCDEF12345)) | np.uint64(1)
+    size = np.array([len(g) for g in grams])
+    start = np.cumsum(size) - size
+    g = np.concatenate(grams)
     with np.errstate(over="ignore"):
-        g = _mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x100000001B3) + h[2:] * _PRIME)
-    return np.sort((g >> np.uint64(40)).astype("<u4"))
+        run = np.zeros(len(g), dtype=np.uint64)
+        for k in range(LONG):  # runs that leave their text hash only what is left of it
+            run[: len(g) - k] = run[: len(g) - k] * _FNV + g[k:]
+        over = np.arange(len(g)) + LONG > np.repeat(start + size, size)
+        run = np.where(over & (np.arange(len(g)) != np.repeat(start, size)), np.uint64(0xFFFFFFFF), _mix(run) >> np.uint64(32)).astype(np.uint32)
+        short, long_ = np.empty((len(grams), hashes), dtype=np.uint32), np.empty((len(grams), long_bands), dtype=np.uint32)
+        for k in range(hashes):
+            short[:, k] = np.minimum.reduceat(_spread(g, seeds[k]), start)
+        for k in range(long_bands):
+            x = _spread(run, seeds[hashes + k])
+            x[run == 0xFFFFFFFF] = 0xFFFFFFFF
+            long_[:, k] = np.minimum.reduceat(x, start)
+    return short, long_
+
+
+def _spread(g: np.ndarray, seed: np.uint64) -> np.ndarray:
+    x = g * np.uint32(seed & np.uint64(0xFFFFFFFF)) + np.uint32(seed >> np.uint64(32))
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    return x
+
+
+def fingerprints(mins: np.ndarray) -> np.ndarray:
+    """Two bits of each of ``SYMBOLS`` min-hashes, as four words of 64 bits: two of low and two of high bits."""
+    place = np.arange(64, dtype=np.uint64)
+    x = _mix(mins[:, :SYMBOLS].astype(np.uint64) + np.uint64(1))
+    bits = [(x >> np.uint64(s)) & np.uint64(1) for s in (40, 41)]
+    return np.stack([(b[:, at : at + 64] << place).sum(axis=1, dtype=np.uint64) for b in bits for at in (0, 64)], axis=1)
 
 
-def pack(grams: np.ndarray) -> bytes:
-    """Three bytes a hash."""
-    return grams.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols in which fingerprints differ (last axis: the four words)."""
+    x = a ^ b
+    return np.bitwise_count(x[..., 0] | x[..., 2]).astype(np.int16) + np.bitwise_count(x[..., 1] | x[..., 3])
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 3, 4), dtype=np.uint8)
-    out[:, :3] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
+def reference_fingerprints(pivots: int) -> np.ndarray:
+    """Reference fingerprints, the same in each task."""
+    with np.errstate(over="ignore"):
+        return _mix(np.arange(1, 4 * pivots + 1, dtype=np.uint64) * _PRIME).reshape(pivots, 4)
 
 
-def _sketch(least_words: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Hashes()
-        for pdf in frames:
-            ids, keys, grams = [], [], []
-            for i, t in zip(pdf["id"], pdf["text"], strict=True):
-                w = words_of(t)
-                if len(w) < least_words:
-                    continue
-                ids.append(i)
-                keys.append(xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63))
-                grams.append(pack(grams_of(w, memo)))
-            yield pd.DataFrame({"id": ids, "text_key": pd.Series(keys, dtype="int64"), "grams": grams})
+def band_keys(mins: np.ndarray, long_mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of a text, even numbers. Each band takes ``rows`` of the min-hashes, chosen once and for all."""
+    rnd = np.random.default_rng(1)
+    chosen = np.array([rnd.choice(mins.shape[1], rows, replace=False) for _ in range(bands)])
+    with np.errstate(over="ignore"):
+        keys = np.zeros((len(mins), bands), dtype=np.uint64)
+        for r in range(rows):
+            keys = _mix(keys + mins[:, chosen[:, r]] + np.uint64(r + 1))
+        keys = np.concatenate([keys, _mix(long_mins.astype(np.uint64) + (np.uint64(1) << np.uint64(40)))], axis=1)
+        keys = _mix(keys + np.arange(keys.shape[1], dtype=np.uint64) * _PRIME)
+    return keys & ~np.uint64(1)
 
-    return run
 
+def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, window: int, salts: int = 64, part: int = 20_000):
+    """Rows (bucket, keys, texts, text_keys, fps): the keys of a part of the texts that fall into a bucket, the number of the text of
+    each, and key and fingerprint of those texts, packed. A key of more than ``window`` texts of a part is salted."""
 
-def _bands(bands: int, rows: int):
-    """Band rows of each passage: band key, text key and fingerprint. A text that a task has met before gives no more rows."""
-    n = max(bands * rows, BITS)
-    seeds = (_mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(0xABCDEF12345)) | np.uint64(1)).astype(np.uint32)
-    place = np.arange(64, dtype=np.uint64)
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        for pdf in frames:
+            for small in _batches(pdf, pdf["grams"].str.len().to_numpy(np.int64), 2_000_000):
+                mins, long_mins = minima([unpack(g) for g in small["grams"]], hashes, long_bands)
+                held.append([small["text_key"].to_numpy(np.int64), fingerprints(mins), band_keys(mins, long_mins, bands, rows)])
+                if sum(len(h[0]) for h in held) >= part:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: set[int] = set()
-        for pdf in frames:
-            pdf = pdf.drop_duplicates("text_key")
-            pdf = pdf[[k not in met for k in pdf["text_key"]]]
-            if len(met) > 1_000_000:
-                met.clear()
-            met.update(pdf["text_key"])
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                count = len(part)
-                mins = np.empty((count, n), dtype=np.uint32)
-                with np.errstate(over="ignore"):
-                    for i, g in enumerate(part["grams"]):
-                        x = (np.unique(unpack(g))[:, None] + np.uint32(1)) * seeds[None, :]
-                        x ^= x >> np.uint32(15)
-                        x *= np.uint32(0x846CA68B)
-                        x ^= x >> np.uint32(13)
-                        mins[i] = x.min(axis=0)
-                    mins = mins.astype(np.uint64)
-                    bits = (_mix(mins[:, :BITS] + np.uint64(1)) >> np.uint64(40)) & np.uint64(1)
-                    fp1 = (bits[:, :64] << place).sum(axis=1, dtype=np.uint64)
-                    fp2 = (bits[:, 64:] << place).sum(axis=1, dtype=np.uint64)
-                    keys = np.zeros((count, bands), dtype=np.uint64)
-                    for r in range(rows):
-                        keys = _mix(keys + mins[:, r : r + bands * rows : rows][:, :bands] + np.uint64(r + 1))
-                    keys = keys * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
-                yield pd.DataFrame(
-                    {
-                        "band": keys.ravel().view(np.int64),
-                        "text_key": np.repeat(part["text_key"].to_numpy(np.int64), bands),
-                        "fp1": np.repeat(fp1.view(np.int64), bands),
-                        "fp2": np.repeat(fp2.view(np.int64), bands),
-                    }
-                )
+        for text_key, fp, keys in parts(frames):
+            _, once = np.unique(text_key, return_index=True)
+            text_key, fp, keys = text_key[once], fp[once], keys[once]
+            text, key = np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel()
+            short = (key >> np.uint64(44)).astype(np.int64)
+            maybe = np.flatnonzero(np.bincount(short, minlength=1 << 20)[short] > window)
+            _, inverse, often = np.unique(key[maybe], return_inverse=True, return_counts=True)
+            hot = maybe[often[inverse] > window]
+            salt = np.zeros(len(key), dtype=np.uint64)
+            if len(hot):
+                salt[hot] = np.uint64(1) + _mix(text_key[text[hot]].view(np.uint64)) % np.uint64(salts)
+                by = hot[np.argsort(key[hot], kind="stable")]
+                begin = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+                rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.r_[begin, len(by)]))
+                both = by[rank <= window]  # these stand for the salted ones in the unsalted bucket
+                key[hot] |= np.uint64(1)
+                text, key, salt = np.r_[text, text[both]], np.r_[key, key[both] & ~np.uint64(1)], np.r_[salt, np.zeros(len(both), dtype=np.uint64)]
+            with np.errstate(over="ignore"):
+                bucket = (_mix((key & ~np.uint64(1)) + salt * _PRIME) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets <= len(order) else None
+            found = np.unique(bucket) if cut is None else np.flatnonzero(np.diff(cut))
+            out = []
+            for b in found:
+                at = order[cut[b] : cut[b + 1]] if cut is not None else order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, "right")]
+                own, number = np.unique(text[at], return_inverse=True)
+                out.append((int(b), key[at].tobytes(), number.astype(np.uint32).tobytes(), text_key[own].tobytes(), fp[own].tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "keys", "texts", "text_keys", "fps"])
 
     return run
 
 
-def _alike(fa, fb, ta, tb, radius: int) -> np.ndarray:
+def _alike(fa: np.ndarray, fb: np.ndarray, ta: np.ndarray, tb: np.ndarray, radius: int) -> np.ndarray:
     """Which pairs survive the pivot table and then the distance of the fingerprints."""
     ok = (np.abs(ta - tb) <= radius).all(axis=1)
-    ok[ok] = np.bitwise_count(fa[ok] ^ fb[ok]).sum(axis=1) <= radius
+    ok[ok] = distance(fa[ok], fb[ok]) <= radius
     return ok
 
 
 def _meet(window: int, radius: int, pivots: int, enough: int = 4):
-    """Candidate pairs from band rows sorted by band and text. Holds the first ``window`` rows of a band that goes on."""
+    """Candidate pairs (a, b) of a bucket, and the rows (a, band, fp) of its large or salted keys, which go on to the second round."""
     refs = reference_fingerprints(pivots)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] | None = None  # first rows of the band that goes on
-        seen = 0  # rows of that band so far
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            cols = [pdf["band"].to_numpy(np.int64), pdf["text_key"].to_numpy(np.int64), pdf[["fp1", "fp2"]].to_numpy(np.int64).view(np.uint64)]
-            start, was = 0, 0
-            if held is not None and held[0][0] == cols[0][0]:
-                start, was = len(held[0]), seen
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]  # copies of a text lie side by side
-            new[:start] = True
-            if not new.all():
-                cols = [c[new] for c in cols]
-            band, n = cols[0], len(cols[0])
-            head = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            length = np.diff(np.r_[head, n])
-            first = np.repeat(head, length)
-            many = np.flatnonzero(np.repeat(length, length) > 1)
-            table = np.zeros((n, pivots), dtype=np.int16)
-            table[many] = np.bitwise_count(cols[2][many, None, :] ^ refs[None, :, :]).sum(axis=2)
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def pairs(i: np.ndarray, j: np.ndarray, cols=cols, table=table, out=out) -> np.ndarray:
-                ok = _alike(cols[2][i], cols[2][j], table[i], table[j], radius)
-                a, b = cols[1][i[ok]], cols[1][j[ok]]
-                out.append((np.minimum(a, b), np.maximum(a, b)))
-                return ok
-
-            place = np.arange(n) - first
-            for d in range(1, min(window, n)):
-                i = np.flatnonzero((band[d:] == band[:-d]) & (place[d:] < window) & (np.arange(d, n) >= start))
-                if not len(i):
-                    break
-                pairs(i, i + d)
-            # rows beyond the window meet the first rows of their band, up to ``enough`` that are alike
-            far = np.flatnonzero((place >= window) & (np.arange(n) >= start))
-            if len(far):
-                met = np.zeros(len(far), dtype=np.int64)
-                for k in range(window):
-                    open_ = met < enough
-                    if not open_.any():
-                        break
-                    met[open_] += pairs(first[far[open_]] + k, far[open_])
-            # rows of a band beyond the window go on to the second round; those held back before it grew are sent now
-            large = np.flatnonzero((length[np.searchsorted(head, first)] > window) & ((np.arange(n) >= start) | (was <= window)))
-            res = []
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                keep = a != b
-                res.append(pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates(["a", "b"]).assign(band=pd.Series(dtype="Int64"), head=False))
-            if len(large):
-                res.append(pd.DataFrame({"a": cols[1][large], "fp1": cols[2][large, 0].view(np.int64), "fp2": cols[2][large, 1].view(np.int64), "band": pd.array(band[large], dtype="Int64"), "head": place[large] < window}))
-            for r in res:
-                yield r.reindex(columns=["a", "b", "band", "fp1", "fp2", "head"]).astype({"b": "Int64", "band": "Int64", "fp1": "Int64", "fp2": "Int64"})
-            h, m = int(head[-1]), int(length[-1])
-            seen = m if h or start == 0 else was + m - start
-            keep = np.arange(h, min(n, h + window))
-            held = [c[keep] for c in cols]
+    kinds = {"a": "int64", "b": "Int64", "band": "Int64", "fp": "object"}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = np.array([len(x) // 8 for x in pdf["text_keys"]])
+        shift = np.cumsum(sizes) - sizes
+        key = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+        text = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + s for x, s in zip(pdf["texts"], shift, strict=True)])
+        text_key = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["text_keys"]])
+        fp = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 4) for x in pdf["fps"]])
+        by = np.argsort(key)
+        same = key[by][1:] == key[by][:-1]
+        by = by[np.r_[False, same] | np.r_[same, False]]  # texts that have company
+        by = by[np.lexsort((text_key[text[by]], key[by]))]
+        key, text = key[by], text[by]
+        tk = text_key[text]
+        new = np.r_[True, (key[1:] != key[:-1]) | (tk[1:] != tk[:-1])][: len(key)]  # copies of a text lie side by side
+        key, text, tk = key[new], text[new], tk[new]
+        n = len(key)
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:n])
+        length = np.repeat(np.diff(np.r_[head, n]), np.diff(np.r_[head, n]))
+        place = np.arange(n) - np.repeat(head, np.diff(np.r_[head, n]))
+        used, number = np.unique(text, return_inverse=True)
+        f = fp[used]
+        table = distance(f[:, None, :], refs[None, :, :])
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = _alike(f[number[i]], f[number[j]], table[number[i]], table[number[j]], radius)
+            out.append((np.minimum(tk[i[ok]], tk[j[ok]]), np.maximum(tk[i[ok]], tk[j[ok]])))
+            return ok
+
+        active = np.arange(n)
+        for d in range(1, window):
+            active = active[place[active] + d < np.minimum(length[active], window)]
+            if not len(active):
+                break
+            for at in range(0, len(active), 200_000):
+                pairs(active[at : at + 200_000], active[at : at + 200_000] + d)
+        far = np.flatnonzero(place >= window)
+        met = np.zeros(len(far), dtype=np.int64)
+        for k in range(window if len(far) else 0):
+            open_ = np.flatnonzero(met < enough)
+            if not len(open_):
+                break
+            met[open_] += pairs(far[open_] - place[far[open_]] + k, far[open_])
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        res = [pd.DataFrame({"a": a, "b": b}).drop_duplicates().assign(band=None, fp=None)]
+        large = np.flatnonzero((length > window) | (key & np.uint64(1) > 0))
+        if len(large):
+            res.append(pd.DataFrame({"a": tk[large], "b": None, "band": (key[large] & ~np.uint64(1)).view(np.int64), "fp": [x.tobytes() for x in f[number[large]]]}))
+        return pd.concat([r.astype(kinds) for r in res])
 
     return run
 
@@ -236,6 +311,8 @@ def _verify(share: float):
             ok = np.zeros(len(pdf), dtype=bool)
             for i, (x, y) in enumerate(zip(pdf["ga"], pdf["gb"], strict=True)):
                 x, y = unpack(x), unpack(y)
+                if min(len(x), len(y)) < share * max(len(x), len(y)):
+                    continue
                 ux, cx = np.unique(x, return_counts=True)
                 uy, cy = np.unique(y, return_counts=True)
                 _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
@@ -245,35 +322,31 @@ def _verify(share: float):
     return run
 
 
-def second_round(large: DataFrame, links: DataFrame, radius: int, slice_rows: int) -> DataFrame:
-    """(a, b): alike pairs of the rows (band, a, fp1, fp2, head) of large bands, but those that verified links already tie to one head.
+def second_round(large: DataFrame, comp: DataFrame, radius: int, slice_rows: int) -> DataFrame:
+    """(a, b): alike pairs of the rows (band, a, fp) of large keys, but those of one component (node, component).
 
-    Texts of the commonest head of a band needn't meet each other, so one side holds the others only. Both sides are cut into
+    Texts of the commonest component of a key needn't meet each other, so one side holds the others only. Both sides are cut into
     slices of about ``slice_rows``, each pair of slices is a group of its own, and no pair of rows is emitted unless alike.
     """
-    large = large.dropDuplicates(["band", "a"])
-    both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    heads = large.filter("head").select("band", F.col("a").alias("b"))
-    tied = large.select("band", "a").join(both_ways, "a").join(heads, ["band", "b"]).groupBy("band", "a").agg(F.min("b").alias("tied"))
-    tag = F.when(F.col("head"), F.least("a", "tied")).otherwise(F.coalesce("tied", "a"))
-    rows = written(large.join(tied, ["band", "a"], "left").select("band", "a", "fp1", "fp2", tag.alias("tag")), "large")
+    tagged = large.dropDuplicates(["band", "a"]).join(comp.select(F.col("node").alias("a"), "component"), "a", "left")
+    rows = written(tagged.select("band", "a", "fp", F.coalesce("component", "a").alias("tag")), "large")
     common = rows.groupBy("band", "tag").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("tag", F.struct("n", "tag")).alias("common"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
     slices = [F.greatest(F.lit(1), F.ceil(n / slice_rows)).cast("int") for n in (F.col("n") - F.col("most"), F.col("n"))]
     rows = rows.join(common.select("band", "common", slices[0].alias("ln"), slices[1].alias("rn")), "band")
 
     def cut(df: DataFrame, own: str, other: str, count: str, others: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("a"), F.col(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("band", "ls", "rs", "a", "fp1", "fp2", "tag")
+        return df.withColumn(own, F.pmod(F.xxhash64("a"), F.col(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("band", "ls", "rs", "a", "fp", "tag")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty((0, 2), dtype=np.int64)]
         right = right.rename(columns=lambda c: c.rstrip("_"))
-        la, ra, lt, rt = (d[c].to_numpy(np.int64) for c in ("a", "tag") for d in (left, right))
-        lf, rf = (d[["fp1", "fp2"]].to_numpy(np.int64).view(np.uint64) for d in (left, right))
-        for at in range(0, len(la), 256):
-            part = slice(at, at + 256)
-            far = np.bitwise_count(lf[part, None, 0] ^ rf[None, :, 0]) + np.bitwise_count(lf[part, None, 1] ^ rf[None, :, 1])
-            i, j = np.nonzero((far <= radius) & (lt[part, None] != rt[None, :]))
-            out.append(np.stack([np.minimum(la[part][i], ra[j]), np.maximum(la[part][i], ra[j])], axis=1))
+        if len(left) and len(right):
+            la, ra, lt, rt = (d[c].to_numpy(np.int64) for c in ("a", "tag") for d in (left, right))
+            lf, rf = (np.frombuffer(b"".join(d["fp"]), np.uint64).reshape(-1, 4) for d in (left, right))
+            for at in range(0, len(la), 256):
+                part = slice(at, at + 256)
+                i, j = np.nonzero((distance(lf[part, None], rf[None]) <= radius) & (lt[part, None] != rt[None, :]))
+                out.append(np.stack([np.minimum(la[part][i], ra[j]), np.maximum(la[part][i], ra[j])], axis=1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     left, right = cut(rows.filter("tag != common"), "ls", "rs", "ln", "rn"), cut(rows, "rs", "ls", "rn", "ln")
@@ -281,42 +354,62 @@ def second_round(large: DataFrame, links: DataFrame, radius: int, slice_rows: in
     return left.groupBy("band", "ls", "rs").cogroup(right.groupBy("band_", "ls_", "rs_")).applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
+def _joined(links: DataFrame, more: DataFrame, comp: DataFrame) -> DataFrame:
+    """Components after more links: those links, taken between components, are a small graph of their own."""
+    name = comp.select("node", "component")
+    of = lambda c: more.select(c).distinct().join(name.withColumnRenamed("node", c), c, "left").select(c, F.coalesce("component", c).alias(f"{c}_in"))
+    over = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")))
+    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    nodes = name.unionByName(ends.join(name, "node", "left_anti").select("node", F.col("node").alias("component")))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return nodes.join(over, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def groups(
     passages: DataFrame,
     id_col: str = "id",
     text_col: str = "ray_peat_response",
     share: float = 0.5,
     least_words: int = 20,
-    bands: int = 48,
+    bands: int = 96,
     rows: int = 4,
+    hashes: int = 192,
+    long_bands: int = 24,
     pivots: int = 16,
-    radius: int = 50,
-    window: int = 32,
+    radius: int = 77,
+    window: int = 64,
     slice_rows: int = 4096,
+    bucket_keys: int = 1_000_000,
 ) -> DataFrame:
     """(id, text_key, group_key, links): a row for each passage of at least ``least_words`` words.
 
     ``text_key`` names the class of passages with the same words, ``group_key`` the group of linked classes,
     ``links`` counts the classes found to be linked to it directly. Production parameters are the defaults.
     """
+    spark = passages.sparkSession
     source = passages.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     sketch = written(source.mapInPandas(_sketch(least_words), "id string, text_key bigint, grams binary"), "sketch")
     members = sketch.select("id", "text_key").distinct()
-    banded = sketch.select("text_key", "grams").mapInPandas(_bands(bands, rows), "band bigint, text_key bigint, fp1 bigint, fp2 bigint")
-    met = written(banded.repartition("band").sortWithinPartitions("band", "text_key").mapInPandas(_meet(window, radius, pivots), "a bigint, b bigint, band bigint, fp1 bigint, fp2 bigint, head boolean"), "met")
-    pairs = met.filter("band IS NULL").select("a", "b")
-    grams = sketch.select("text_key", "grams").dropDuplicates(["text_key"])
+    buckets = max(spark.sparkContext.defaultParallelism, -(-sketch.count() * (bands + long_bands) // bucket_keys))
+    banded = sketch.select("text_key", "grams").mapInPandas(_bands(bands, rows, hashes, long_bands, buckets, window), "bucket bigint, keys binary, texts binary, text_keys binary, fps binary")
+    met = written(banded.groupBy("bucket").applyInPandas(_meet(window, radius, pivots), "a bigint, b bigint, band bigint, fp binary"), "met")
+    pairs = met.filter("band IS NULL").select("a", "b").distinct()
+    grams = sketch.select("text_key", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(grams.select(F.col("text_key").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("text_key").alias("b"), F.col("grams").alias("gb")), "b")
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+        own = grams.join(broadcast_if_small(ends), "text_key", "left_semi").dropDuplicates(["text_key"])
+        both = pairs.join(own.select(F.col("text_key").alias("a"), F.col("grams").alias("ga")), "a").join(own.select(F.col("text_key").alias("b"), F.col("grams").alias("gb")), "b")
         return cut_lineage(both.mapInPandas(_verify(share), "a bigint, b bigint"))
 
-    links = verified(pairs.distinct())
-    more = second_round(met.filter("band IS NOT NULL").select("band", "a", "fp1", "fp2", "head"), links, radius, slice_rows)
-    links = links.unionByName(verified(more.join(links, ["a", "b"], "left_anti")))
-    comp = components(links).withColumnRenamed("node", "text_key")
+    links = verified(pairs)
+    comp = cut_lineage(components(links))
+    more = verified(second_round(met.filter("band IS NOT NULL").select("band", "a", "fp"), comp, radius, slice_rows).join(links, ["a", "b"], "left_anti"))
+    comp = _joined(links, more, comp)
+    links = links.unionByName(more)
     degree = links.select(F.col("a").alias("text_key")).unionByName(links.select(F.col("b").alias("text_key"))).groupBy("text_key").agg(F.count("*").alias("links"))
-    known = comp.join(degree, "text_key", "left")
+    known = comp.withColumnRenamed("node", "text_key").join(degree, "text_key", "left")
     return members.join(known, "text_key", "left").select("id", "text_key", F.coalesce("component", "text_key").alias("group_key"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -128,7 +128,7 @@ def oversized(search_results: DataFrame, chunk_metadata: DataFrame, documents: D
     )
     large = chunk_metadata.filter(F.col("end_pos") - F.col("start_pos") > chunk_limit).select("doc_id", "chunk_id", "start_pos", "end_pos").distinct()
     texts = documents.select("doc_id", F.col("text").alias("doc_text"))
-    chunks = texts.join(broadcast_if_small(large, 200_000), "doc_id").select(
+    chunks = texts.join(broadcast_if_small(large), "doc_id").select(
         F.concat_ws(":", "doc_id", "chunk_id").alias("item_id"),
         F.expr("substring(doc_text, start_pos + 1, end_pos - start_pos)").alias("text"),
         F.lit(chunk_limit).alias("size_limit"),

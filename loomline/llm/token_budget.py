@@ -65,7 +65,7 @@ def measured(passages: DataFrame, source_files: DataFrame, tokenizer_path: str =
     counts = rows.mapInPandas(_measure(tokenizer_path), "id string, source_file string, source_type string, topic string, tokens bigint, lang string")
     counts = counts.withColumn("own", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["id", "own"])  # each row without an id stays
     files = source_files.groupBy(clean_path(F.col("source_file")).alias("source_file")).agg(F.max(one_kind(F.col("source_type"))).alias("file_type"))
-    joined = counts.join(broadcast_if_small(files, 100_000), "source_file", "left")
+    joined = counts.join(broadcast_if_small(files), "source_file", "left")
     kind = F.when(F.col("source_file").startswith("01_Audio_Transcripts/"), F.lit("transcript")).otherwise(F.coalesce(one_kind(F.col("source_type")), F.col("file_type"), F.lit("unknown")))
     topic = F.coalesce(F.nullif(F.lower(F.trim("topic")), F.lit("")), F.lit("unknown"))
     return joined.select("id", kind.alias("source_type"), "lang", topic.alias("topic"), "tokens")
