@@ -5,7 +5,7 @@
 2. Copies of one word sequence count as one text.
 3. ``hashes`` min-hashes of the sequences give each text a fingerprint of ``SYMBOLS`` symbols of two bits, so that the Hamming distance
    of two fingerprints falls with overlap, and its band keys: ``bands`` of ``rows`` min-hashes each, and ``long_bands`` of
-   one min-hash each over runs of ten words, which small edits leave whole. Keys are spread over buckets of bounded size; a key that is
+   one min-hash each over runs of eight words, of which small edits leave some whole. Keys are spread over buckets of bounded size; a key that is
    frequent in a task is salted over many buckets, with some of its texts in the unsalted bucket too.
 4. Pivot table: the Hamming distances of a fingerprint to ``pivots`` reference fingerprints are computed once per text that has
    company under a key. A pair whose greatest coordinate difference exceeds the radius can't lie within the radius (triangle
@@ -36,7 +36,7 @@ from loomline.llm.components import components
 from loomline.session import cut_lineage, written
 
 SYMBOLS = 128
-LONG = 8  # sequences of three words that make a run of ten words
+LONG = 6  # sequences of three words that make a run of eight words
 WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FNV = np.uint64(0x100000001B3)
@@ -177,7 +177,7 @@ def reference_fingerprints(pivots: int) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray, long_mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Keys of a text, even numbers. Each band takes ``rows`` of the min-hashes, chosen once and for all."""
+    """Keys of a text, multiples of 4 below 2^48 (1 marks a salted key, 2 a text that stands for salted ones in the unsalted bucket). Each band takes ``rows`` of the min-hashes, chosen once and for all."""
     rnd = np.random.default_rng(1)
     chosen = np.array([rnd.choice(mins.shape[1], rows, replace=False) for _ in range(bands)])
     with np.errstate(over="ignore"):
@@ -186,12 +186,23 @@ def band_keys(mins: np.ndarray, long_mins: np.ndarray, bands: int, rows: int) ->
             keys = _mix(keys + mins[:, chosen[:, r]] + np.uint64(r + 1))
         keys = np.concatenate([keys, _mix(long_mins.astype(np.uint64) + (np.uint64(1) << np.uint64(40)))], axis=1)
         keys = _mix(keys + np.arange(keys.shape[1], dtype=np.uint64) * _PRIME)
-    return keys & ~np.uint64(1)
+    return keys & np.uint64((1 << 48) - 4)
 
 
-def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, window: int, salts: int = 64, part: int = 20_000):
+def _six(keys: np.ndarray) -> bytes:
+    """Keys have 48 bits."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _eight(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, hot: int, salts: int = 64, part: int = 20_000):
     """Rows (bucket, keys, texts, text_keys, fps): the keys of a part of the texts that fall into a bucket, the number of the text of
-    each, and key and fingerprint of those texts, packed. A key of more than ``window`` texts of a part is salted."""
+    each, and key and fingerprint of those texts, packed. A key of more than ``hot`` texts of a part is salted."""
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
         held: list[list[np.ndarray]] = []
@@ -210,21 +221,21 @@ def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, wi
             _, once = np.unique(text_key, return_index=True)
             text_key, fp, keys = text_key[once], fp[once], keys[once]
             text, key = np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel()
-            short = (key >> np.uint64(44)).astype(np.int64)
-            maybe = np.flatnonzero(np.bincount(short, minlength=1 << 20)[short] > window)
+            short = (key >> np.uint64(28)).astype(np.int64)
+            maybe = np.flatnonzero(np.bincount(short, minlength=1 << 20)[short] > hot)
             _, inverse, often = np.unique(key[maybe], return_inverse=True, return_counts=True)
-            hot = maybe[often[inverse] > window]
+            many = maybe[often[inverse] > hot]
             salt = np.zeros(len(key), dtype=np.uint64)
-            if len(hot):
-                salt[hot] = np.uint64(1) + _mix(text_key[text[hot]].view(np.uint64)) % np.uint64(salts)
-                by = hot[np.argsort(key[hot], kind="stable")]
+            if len(many):
+                salt[many] = np.uint64(1) + _mix(text_key[text[many]].view(np.uint64)) % np.uint64(salts)
+                by = many[np.argsort(key[many], kind="stable")]
                 begin = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
                 rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.r_[begin, len(by)]))
-                both = by[rank <= window]  # these stand for the salted ones in the unsalted bucket
-                key[hot] |= np.uint64(1)
-                text, key, salt = np.r_[text, text[both]], np.r_[key, key[both] & ~np.uint64(1)], np.r_[salt, np.zeros(len(both), dtype=np.uint64)]
+                both = by[rank <= hot]  # these stand for the salted ones in the unsalted bucket
+                key[many] |= np.uint64(1)
+                text, key, salt = np.r_[text, text[both]], np.r_[key, key[both] ^ np.uint64(3)], np.r_[salt, np.zeros(len(both), dtype=np.uint64)]
             with np.errstate(over="ignore"):
-                bucket = (_mix((key & ~np.uint64(1)) + salt * _PRIME) % np.uint64(buckets)).astype(np.int64)
+                bucket = (_mix((key & ~np.uint64(3)) + salt * _PRIME) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets <= len(order) else None
             found = np.unique(bucket) if cut is None else np.flatnonzero(np.diff(cut))
@@ -232,7 +243,7 @@ def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, wi
             for b in found:
                 at = order[cut[b] : cut[b + 1]] if cut is not None else order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, "right")]
                 own, number = np.unique(text[at], return_inverse=True)
-                out.append((int(b), key[at].tobytes(), number.astype(np.uint32).tobytes(), text_key[own].tobytes(), fp[own].tobytes()))
+                out.append((int(b), _six(key[at]), number.astype(np.uint32 if len(own) > 1 << 16 else np.uint16).tobytes(), text_key[own].tobytes(), fp[own].tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "keys", "texts", "text_keys", "fps"])
 
     return run
@@ -253,22 +264,25 @@ def _meet(window: int, radius: int, pivots: int, enough: int = 4):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = np.array([len(x) // 8 for x in pdf["text_keys"]])
         shift = np.cumsum(sizes) - sizes
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        text = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + s for x, s in zip(pdf["texts"], shift, strict=True)])
+        key = np.concatenate([_eight(x) for x in pdf["keys"]])
+        text = np.concatenate([np.frombuffer(x, np.uint32 if n > 1 << 16 else np.uint16).astype(np.int64) + s for x, n, s in zip(pdf["texts"], sizes, shift, strict=True)])
         text_key = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["text_keys"]])
         fp = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 4) for x in pdf["fps"]])
+        stands = key & np.uint64(2) > 0
+        key = key & ~np.uint64(2)
         by = np.argsort(key)
         same = key[by][1:] == key[by][:-1]
         by = by[np.r_[False, same] | np.r_[same, False]]  # texts that have company
         by = by[np.lexsort((text_key[text[by]], key[by]))]
-        key, text = key[by], text[by]
+        key, text, stands = key[by], text[by], stands[by]
         tk = text_key[text]
         new = np.r_[True, (key[1:] != key[:-1]) | (tk[1:] != tk[:-1])][: len(key)]  # copies of a text lie side by side
-        key, text, tk = key[new], text[new], tk[new]
+        key, text, tk, stands = key[new], text[new], tk[new], stands[new]
         n = len(key)
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:n])
         length = np.repeat(np.diff(np.r_[head, n]), np.diff(np.r_[head, n]))
         place = np.arange(n) - np.repeat(head, np.diff(np.r_[head, n]))
+        salted = (key & np.uint64(1) > 0) | np.repeat(np.logical_or.reduceat(stands, head) if n else stands, np.diff(np.r_[head, n]))
         used, number = np.unique(text, return_inverse=True)
         f = fp[used]
         table = distance(f[:, None, :], refs[None, :, :])
@@ -295,9 +309,9 @@ def _meet(window: int, radius: int, pivots: int, enough: int = 4):
             met[open_] += pairs(far[open_] - place[far[open_]] + k, far[open_])
         a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         res = [pd.DataFrame({"a": a, "b": b}).drop_duplicates().assign(band=None, fp=None)]
-        large = np.flatnonzero((length > window) | (key & np.uint64(1) > 0))
+        large = np.flatnonzero((length > window) | salted)
         if len(large):
-            res.append(pd.DataFrame({"a": tk[large], "b": None, "band": (key[large] & ~np.uint64(1)).view(np.int64), "fp": [x.tobytes() for x in f[number[large]]]}))
+            res.append(pd.DataFrame({"a": tk[large], "b": None, "band": (key[large] & ~np.uint64(3)).view(np.int64), "fp": [x.tobytes() for x in f[number[large]]]}))
         return pd.concat([r.astype(kinds) for r in res])
 
     return run
@@ -371,13 +385,14 @@ def groups(
     text_col: str = "ray_peat_response",
     share: float = 0.5,
     least_words: int = 20,
-    bands: int = 96,
-    rows: int = 4,
-    hashes: int = 192,
+    bands: int = 32,
+    rows: int = 3,
+    hashes: int = 128,
     long_bands: int = 24,
-    pivots: int = 16,
-    radius: int = 77,
-    window: int = 64,
+    pivots: int = 8,
+    radius: int = 75,
+    window: int = 1024,
+    hot: int = 200,
     slice_rows: int = 4096,
     bucket_keys: int = 1_000_000,
 ) -> DataFrame:
@@ -391,7 +406,7 @@ def groups(
     sketch = written(source.mapInPandas(_sketch(least_words), "id string, text_key bigint, grams binary"), "sketch")
     members = sketch.select("id", "text_key").distinct()
     buckets = max(spark.sparkContext.defaultParallelism, -(-sketch.count() * (bands + long_bands) // bucket_keys))
-    banded = sketch.select("text_key", "grams").mapInPandas(_bands(bands, rows, hashes, long_bands, buckets, window), "bucket bigint, keys binary, texts binary, text_keys binary, fps binary")
+    banded = sketch.select("text_key", "grams").mapInPandas(_bands(bands, rows, hashes, long_bands, buckets, hot), "bucket bigint, keys binary, texts binary, text_keys binary, fps binary")
     met = written(banded.groupBy("bucket").applyInPandas(_meet(window, radius, pivots), "a bigint, b bigint, band bigint, fp binary"), "met")
     pairs = met.filter("band IS NULL").select("a", "b").distinct()
     grams = sketch.select("text_key", "grams")

@@ -188,7 +188,7 @@ def test_salted_keys_lose_no_pair(spark):
     hot = text_of(rnd, 60)
     rows = [(f"h{i}", varied(rnd, hot, rnd.randint(0, 3))) for i in range(400)] + [(f"s{i}", text_of(rnd, 60)) for i in range(800)]
     df = spark.createDataFrame(rows, "id string, ray_peat_response string").repartition(3)
-    got = {r.id: r.group_key for r in near_duplicates.groups(df, window=6, bucket_keys=3000, slice_rows=100).collect()}
+    got = {r.id: r.group_key for r in near_duplicates.groups(df, window=6, hot=6, bucket_keys=3000, slice_rows=100).collect()}
     assert len({got[f"h{i}"] for i in range(400)}) == 1 and len(set(got.values())) == 801
 
 
