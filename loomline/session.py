@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -53,12 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a local folder only where none is named, as in tests."""
+    """Use the shared folder that the cluster names. Where none is named a local folder serves a local master, as in tests; on a cluster
+    the executors would each write to a disk of their own, so this raises."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "loomline-checkpoints")
         os.makedirs(root, exist_ok=True)
         named = tempfile.mkdtemp(dir=root)
@@ -77,4 +81,24 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_PLACES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables, once all that is derived from them has been written or checkpointed itself."""
+    for df in tables:
+        known, path = _PLACES.pop(id(df), (None, None))
+        if known is not None and known() is df:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
