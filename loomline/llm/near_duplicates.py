@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import broadcast_if_small
 from loomline.llm.components import components
-from loomline.session import cut_lineage, written
+from loomline.session import cut_lineage, discard, written
 
 SYMBOLS = 128
 LONG = 6  # sequences of three words that make a run of eight words
@@ -394,7 +394,7 @@ def groups(
     window: int = 1024,
     hot: int = 200,
     slice_rows: int = 4096,
-    bucket_keys: int = 1_000_000,
+    bucket_keys: int = 3_000_000,
 ) -> DataFrame:
     """(id, text_key, group_key, links): a row for each passage of at least ``least_words`` words.
 
@@ -416,11 +416,14 @@ def groups(
         ends = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
         own = grams.join(broadcast_if_small(ends), "text_key", "left_semi").dropDuplicates(["text_key"])
         both = pairs.join(own.select(F.col("text_key").alias("a"), F.col("grams").alias("ga")), "a").join(own.select(F.col("text_key").alias("b"), F.col("grams").alias("gb")), "b")
-        return cut_lineage(both.mapInPandas(_verify(share), "a bigint, b bigint"))
+        links = cut_lineage(both.mapInPandas(_verify(share), "a bigint, b bigint"))
+        discard(pairs)
+        return links
 
     links = verified(pairs)
     comp = cut_lineage(components(links))
     more = verified(second_round(met.filter("band IS NOT NULL").select("band", "a", "fp"), comp, radius, slice_rows).join(links, ["a", "b"], "left_anti"))
+    discard(met)
     comp = _joined(links, more, comp)
     links = links.unionByName(more)
     degree = links.select(F.col("a").alias("text_key")).unionByName(links.select(F.col("b").alias("text_key"))).groupBy("text_key").agg(F.count("*").alias("links"))
