@@ -7,28 +7,28 @@ import re
 # Stopwords that speak for one language. Words common to two lists vote for both.
 STOPWORDS = {
     "en": (
-        "the of and in is it that to a an are was were but which when what with for from on at by as this these those than then "
-        "not no yes or if who how why does do did can has have had been be they their there here you your i my we our she he his her "
-        "its about into over under between after before during through while once only most often people day may should would could "
-        "will more less every any some such whereas because without until since near too very also grams connected expected really please just still"
+        "the of and in is it that to a an are was were am but which when what with for from on at by as this these those than then "
+        "not no yes or if who whom whose how why does do did can has have had having been be being they them their theirs there here you your yours i my mine me we our ours us she he him his her hers "
+        "its about into over under between after before during through while once only most often may might should would could must shall "
+        "will more less every each any some such whereas because without until unless since near too very also just still though although whether upon within against among both few many much own same so other another"
     ).split(),
     "fr": (
-        "le la les un une des du de et en est que qui dans pour par sur avec sans mais ou où ne pas plus ce cette ces se sa son ses "
-        "au aux il elle ils elles je nous vous votre vos mon ma mes d l c s n qu j quand parce comme tout toute toutes tous très bien "
-        "entre pendant avant après sous chez même seulement alors dont été être sont ont ai avez cela oui non si vraiment souvent puis "
-        "depuis jour environ lors lorsque aussi fait peut puis prendre grammes lien pourquoi froid vrai prends semaines normal quel quelle"
+        "le la les un une des du de et en est que qui quoi dont dans pour par sur avec sans mais ou où ne pas plus ce cet cette ces ceci cela ça se sa son ses "
+        "au aux il elle on ils elles je tu te toi nous vous votre vos notre nos leur leurs lui mon ma mes ton ta tes d l c s n qu j m t y quand parce comme tout toute toutes tous très bien "
+        "entre pendant avant après sous chez vers contre selon malgré depuis même seulement alors être été suis es sommes êtes sont était étaient soit serait ont ai as a avons avez avait avaient aura oui non si souvent puis donc car ni "
+        "lors lorsque aussi fait faire peut peux peuvent faut doit pourquoi comment combien quel quelle quels quelles lequel laquelle chaque plusieurs autre autres moins encore déjà toujours jamais ainsi afin"
     ).split(),
     "de": (
         "der die das den dem des ein eine einer eines einem einen und ist im in zu auf mit von für aber nicht nur auch es sich wie wenn "
-        "dass ob bei nach vor über unter zwischen während sehr wird werden wurde sind hat haben ich wir sie er ihr ihre mein meine am um "
-        "als oder denn doch so zum zur aus bis durch ohne gegen noch schon da dort hier ja nein kein keine etwa man oft selten gilt den "
-        "jede jeder jedem viele alte alten warum wer was ist seit darf gramm nehmen nehme stimmt hängen haengen zusammen wichtiger friere lese wochen normal"
+        "dass ob bei beim nach vor über unter zwischen während sehr wird werden wurde wurden sind bin bist seid war waren wäre hat haben habe hast hatte hatten ich wir sie er du ihr ihre ihren ihrem ihnen ihm ihn mein meine meinen dein deine sein seine seinen unser unsere um am mich dich mir dir uns euch "
+        "als oder denn doch so zum zur aus bis durch ohne gegen noch schon da dort hier ja nein kein keine keinen etwa man oft selten den "
+        "jede jeder jedem jeden jedes manche alle alles etwas nichts niemand warum weshalb wieso wer was wann wo seit darf kann können konnte muss müssen soll sollte will wollen mag möchte weil damit bevor nachdem obwohl trotz wegen statt je also dann welche welcher welches dieser diese dieses diesen diesem ans ins vom"
     ).split(),
     "es": (
-        "el la los las un una unos unas de del y en es que por para con sin pero o no sí se su sus al lo le les me mi mis nos yo él ella "
-        "ellos ellas este esta estos estas ese esa como cuando porque más muy ya también entre durante antes después bajo sobre hasta "
-        "desde según hay ha han fue son está están ser casi día unos cada otro otra mientras solo eso esto cuál qué quién dónde cómo "
-        "tras tan todo toda todos todas puedo tomar tomo gramos relación importa verdad tengo frío semanas normal"
+        "el la los las lo un una uno unos unas de del y e en es que por para con sin pero o u no sí si se su sus al le les me te mi mis tu tus nos yo tú él ella usted ustedes "
+        "ellos ellas este esta estos estas ese esa esos esas esto eso aquel aquella aquellos como cuando porque pues más muy ya también tampoco entre durante antes después bajo sobre hasta "
+        "desde según hacia contra mediante hay ha han he has hemos había son soy eres somos fue era eran ser sea está están estoy estar estaba tiene tienen puede pueden puedo debe deben debo cada otro otra otros otras mientras solo sólo cuál cuáles qué quién quiénes dónde cómo cuánto cuántos "
+        "tras tan tanto todo toda todos todas algún alguna algunos algunas ningún ninguna nada nadie algo siempre nunca ni aunque sino luego así aquí allí ahora nuestro nuestra"
     ).split(),
 }
 WORD = re.compile(r"[^\W\d_]+")

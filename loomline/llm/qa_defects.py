@@ -3,7 +3,7 @@
 Each row is judged on its own, so the operator is one narrow map over the rows of
 the question log: no shuffle but the last distinct. A suffix automaton of the
 question measures how much of the answer is copied from it, an Aho-Corasick
-automaton of refusal phrases finds answers that decline, a stack of delimiters
+automaton of the parts of refusals finds answers that decline, a stack of delimiters
 finds what was opened and not closed, and stopword votes compare the languages.
 
 Nulls: a null answer is ``empty``; a null question makes echo and language
@@ -23,38 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.languages import CODES, NAME_TO_CODE, votes
+from loomline.llm.refusals import declines
 
 DEFECTS = ("empty", "refusal", "echo", "truncated", "wrong_language")
 
 # What stands where an answer should be.
 PLACEHOLDERS = {"n/a", "na", "none", "null", "nil", "nan", "tbd", "todo", "undefined", "no answer", "answer", "antwort", "réponse", "respuesta", "response", "reply", "keine antwort", "sin respuesta", "aucune réponse", "pas de réponse"}
 
-# Phrases (folded to lower case without accents) by which an answer declines or reports that nothing can be said.
-REFUSALS = [
-    # English
-    "that is a topic i stay away from", "i would rather not guess", "to work with", "no passage came close enough", "there is no reliable basis",
-    "we were unable to locate", "unable to locate anything", "the evidence on hand is too thin", "there will be no reply", "nothing in the indexed material",
-    "i have to decline", "i can't give advice", "i cannot give advice", "passages do not cover", "passages don't cover", "please ask a clinician", "i won't answer",
-    "you would have to look elsewhere", "i have been asked to leave", "falls outside what i may discuss", "it would be irresponsible of me",
-    "i cannot help with", "i can't help with", "i am unable to", "i'm unable to", "i am not able to", "i'm not able to", "i must decline", "i do not have enough", "i don't have enough",
-    "i cannot answer", "i can't answer", "i cannot comment", "i can't comment", "no information on", "not able to answer", "sources are silent", "i prefer not to", "i'd rather not",
-    "i cannot discuss", "i can't discuss", "i may not discuss", "i could not find", "i couldn't find", "we could not find", "i cannot provide", "i can't provide",
-    # French
-    "je ne peux pas vous conseiller", "les passages ne traitent pas", "rien dans le fonds ne permet", "je prefere ne pas me prononcer", "je ne peux pas repondre", "je ne suis pas en mesure", "je ne saurais repondre",
-    "aucune base fiable", "je dois refuser", "je ne peux pas vous aider",
-    # German
-    "darauf mochte ich nicht eingehen", "im bestand fehlt jede grundlage", "die gefundenen stellen sagen dazu nichts", "dazu darf ich keinen rat geben", "dazu kann ich nichts sagen", "kann ich nicht beantworten",
-    "ich kann dazu keine", "darf ich nicht", "dazu mochte ich nichts sagen", "da kann ich nicht helfen",
-    # Spanish
-    "no puedo aconsejar", "los pasajes no tratan", "nada en el archivo permite", "prefiero no pronunciarme", "no puedo responder", "no puedo ayudar", "no estoy en condiciones", "debo rechazar",
-]
-
 # Sentences of courtesy, which are no answer by themselves.
 COURTESY = [
-    "could you rephrase", "try asking about something else", "consult a professional", "thank you for your question", "i appreciate the detail you give", "please rephrase", "please consult", "good question",
-    "pouvez-vous reformuler", "merci pour votre question", "consultez un professionnel", "essayez une autre question",
-    "bitte anders fragen", "danke fur die frage", "bitte fragen sie", "fragen sie einen arzt",
-    "intente otra pregunta", "gracias por la pregunta", "consulte a un profesional", "puede reformular", "podria reformular",
+    "rephrase", "ask something else", "asking about something else", "another question", "consult a", "see a doctor", "ask a doctor", "ask your doctor", "ask a clinician", "speak to a doctor", "thank you for", "thanks for", "i appreciate", "good question", "i am sorry", "my apologies", "i apologise", "i apologize", "hope you understand",
+    "reformuler", "merci pour", "merci de", "consultez", "une autre question", "je suis desole", "mes excuses", "adressez-vous a", "demandez a un medecin",
+    "anders fragen", "andere frage", "danke fur", "fragen sie einen", "fragen sie bitte", "wenden sie sich", "tut mir leid", "bitte um verstandnis", "entschuldigung",
+    "otra pregunta", "gracias por", "consulte a", "reformular", "lo siento", "disculpe", "pregunte a un medico", "acuda a un",
 ]
 
 # How an answer repeats that it was asked something.
@@ -62,7 +43,7 @@ ASKED = ["you want to know about this", "you asked", "you are asking", "your que
 
 # Announced numbers and the words that count the points.
 NUMBERS = {
-    "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "six_fr": 6,
+    "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "seis": 6, "sechs": 6,
     "zwei": 2, "drei": 3, "vier": 4, "funf": 5, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5,
 }
 POINTS = r"(?:things?|points?|reasons?|steps?|factors?|choses|raisons|etapes|facteurs|punkte|dinge|grunde|schritte|cosas|puntos|razones|pasos|factores)"
@@ -77,21 +58,22 @@ ORDINALS = [
 ANNOUNCED = re.compile(rf"^\W*(?:here are |there are |voici |il y a |es gibt |hay )?({'|'.join(NUMBERS)})\s+(?:\w+\s+)?{POINTS}\b")
 ORDINAL_RE = [re.compile(rf"(?:^|[.:;!?]\s+|\n)\W*(?:{x})\b") for x in ORDINALS]
 
-LAST_CITATION = re.compile(r"(?:\[\d[\d, ]{0,30}\]|\((?:source|quelle|fuente)\s+\d+\))$", re.I)
+CITED = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]|\((?:source|quelle|fuente)\s+\d+\)", re.I)
 CITATIONS = re.compile(r"\[\d+(?:\s*,\s*\d+)*\]|\((?:source|quelle|fuente)\s+\d+\)", re.I)
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•–])\s+\S")
 BARE_ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s*$")
 HEADING = re.compile(r"^\s*(?:\*\*[^*\n]+\*\*|__[^_\n]+__|#{1,6}\s+[^\n]+|[^\n.!?]{1,40}:)\s*$")
 TAG = re.compile(r"<[^<>\n]{0,300}>|&nbsp;")
 INVISIBLE = re.compile("[​-‏⁠﻿­]")
-SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|(?<=:)\s*\n+")
+# Sentences, and what is set against the first half of one: the second half may be an answer after regret or reserve.
+CLAUSE = re.compile(r"(?<=[.!?…])\s+|\n+|[,;:–—]\s+(?=(?:but|however|aber|jedoch|mais|cependant|pero|sin embargo)\b)")
 WORD = re.compile(r"[^\W_]+")
 LANGUAGE_ASKED = re.compile(r"\b(?:in|auf|en)\s+(" + "|".join(sorted(NAME_TO_CODE, key=len, reverse=True)) + r")\b")
 
 
 def fold(text: str) -> str:
     """Lower case without accents, with plain apostrophes."""
-    t = unicodedata.normalize("NFKD", text.lower().replace("’", "'"))
+    t = unicodedata.normalize("NFKD", text.lower().replace("’", "'").replace("ß", "ss"))
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
@@ -179,13 +161,13 @@ def is_empty(answer: str | None) -> bool:
     return bool(HEADING.match(t)) and "?" not in t and len(words) <= 8 and (t[0] in "*_#" or t.endswith(":"))
 
 
-def is_refusal(answer: str, refusals, courtesy, asked) -> bool:
-    """A refusal phrase occurs, and no sentence is left that says something else."""
+def is_refusal(answer: str, courtesy, asked) -> bool:
+    """A sentence declines, and none is left that says something else."""
     found = False
-    for s in SENTENCE.split(fold(answer)):
+    for s in CLAUSE.split(fold(answer)):
         if not WORD.search(CITATIONS.sub("", s)):
             continue
-        if next(refusals.iter(s), None):
+        if declines(s):
             found = True
         elif not next(courtesy.iter(s), None) and not next(asked.iter(s), None) and len(WORD.findall(s)) > 3:
             return False
@@ -208,9 +190,12 @@ def is_echo(question: str, answer: str, least: int = 3, coverage: float = 0.8) -
 
 
 def without_last_citations(text: str) -> str:
-    """The text without citation numbers and blanks at its end."""
+    """The text without citation numbers and blanks at its end, however many sources they name."""
     t = text.rstrip()
-    while m := LAST_CITATION.search(t, max(0, len(t) - 48)):
+    while t.endswith(("]", ")")):
+        m = CITED.fullmatch(t, t.rfind("[" if t.endswith("]") else "("))
+        if not m:
+            break
         t = t[: m.start()].rstrip()
     return t
 
@@ -256,12 +241,7 @@ def is_truncated(answer: str, few: int = 5) -> bool:
     if open_delimiters(t):
         return True
     folded = fold(t)
-    m = ANNOUNCED.match(folded)
-    if not m:
-        for line in folded.splitlines()[:3]:
-            m = ANNOUNCED.match(line)
-            if m:
-                break
+    m = next((m for m in map(ANNOUNCED.match, folded.splitlines()) if m), None)
     if not m:
         head = re.search(rf"(?:^|[.!?:]\s+)({'|'.join(NUMBERS)})\s+{POINTS}\s+(?:matter|count|comptent|zahlen|importan|cuentan)\b", folded)
         m = head
@@ -295,7 +275,7 @@ def is_wrong_language(question: str, answer: str, margin: float = 1.5, least: fl
 
 
 def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    refusals, courtesy, asked = _automaton(REFUSALS), _automaton(COURTESY), _automaton(ASKED)
+    courtesy, asked = _automaton(COURTESY), _automaton(ASKED)
     for pdf in frames:
         kinds = []
         for q, a in zip(pdf["question"], pdf["answer"], strict=True):
@@ -303,7 +283,7 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a = a if isinstance(a, str) else None
             if is_empty(a):
                 kinds.append("empty")
-            elif is_refusal(a, refusals, courtesy, asked):
+            elif is_refusal(a, courtesy, asked):
                 kinds.append("refusal")
             elif is_echo(q, a):
                 kinds.append("echo")
