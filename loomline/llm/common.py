@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
@@ -92,3 +94,45 @@ def plain_words(text: str) -> list[str]:
         t = unicodedata.normalize("NFKD", t)
         t = "".join([c for c in t if not unicodedata.combining(c)])
     return _WORD.findall(t)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixing function."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points belong to words, and which are combining marks."""
+    planes = 0x20000
+    word = np.zeros(0x110000, dtype=bool)
+    word[:planes] = [chr(c).isalnum() for c in range(planes)]
+    word[planes:0xE0000] = True
+    mark = np.zeros(0x110000, dtype=bool)
+    mark[:planes] = [unicodedata.combining(chr(c)) > 0 for c in range(planes)]
+    return word, mark
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each text, 64-bit hash of each word in order) of a whole batch, without a list of words. Words are runs of
+    letters and digits; combining marks are left out."""
+    word, mark = _characters()
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    if not all(map(str.isascii, texts)):
+        keep = ~mark[codes]
+        ends = np.cumsum(keep)[ends - 1]
+        codes = codes[keep]
+    inside = word[codes]
+    first = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    counts = np.diff(np.r_[0, np.searchsorted(first, ends)])
+    if not len(first):
+        return counts, np.zeros(0, dtype=np.uint64)
+    at = np.flatnonzero(inside)
+    start = np.searchsorted(at, first)
+    place = (at - np.repeat(first, np.diff(np.r_[start, len(at)]))).astype(np.uint64)
+    return counts, mix(np.add.reduceat(mix(codes[at].astype(np.uint64) + place * np.uint64(0x9E3779B97F4A7C15)), start))

@@ -24,14 +24,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import broadcast_if_small
+from loomline.llm.common import broadcast_if_small, mix, word_hashes
 from loomline.llm.components import components
 from loomline.session import cut_lineage, discard, written
 
@@ -51,56 +50,22 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(t)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mixing function."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@cache
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """Which code points belong to words, and which are combining marks."""
-    planes = 0x20000
-    word = np.zeros(0x110000, dtype=bool)
-    word[:planes] = [chr(c).isalnum() for c in range(planes)]
-    word[planes:0xE0000] = True
-    mark = np.zeros(0x110000, dtype=bool)
-    mark[:planes] = [unicodedata.combining(chr(c)) > 0 for c in range(planes)]
-    return word, mark
-
-
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a batch of texts: (words of each text, key of each word sequence, hashes of all sequences of three words in order, text of each)."""
-    word, mark = _characters()
     plain = [t if t.isascii() else unicodedata.normalize("NFKD", t) for t in map(str.lower, texts)]
-    codes = np.frombuffer("\n".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum([len(t) + 1 for t in plain])
-    if not all(map(str.isascii, plain)):
-        keep = ~mark[codes]
-        ends = np.cumsum(keep)[ends - 1]
-        codes = codes[keep]
-    inside = word[codes]
-    first = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
-    counts = np.diff(np.r_[0, np.searchsorted(first, ends)])
-    if not len(first):
+    counts, h = word_hashes(plain)
+    if not len(h):
         return counts, np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-    at = np.flatnonzero(inside)
-    start = np.searchsorted(at, first)
-    place = at - np.repeat(first, np.diff(np.r_[start, len(at)]))
     with np.errstate(over="ignore"):
-        h = _mix(np.add.reduceat(_mix(codes[at].astype(np.uint64) + place.astype(np.uint64) * _PRIME), start))
         text = np.repeat(np.arange(len(texts)), counts)
         offset = np.cumsum(counts) - counts
         order = (np.arange(len(h)) - offset[text]).astype(np.uint64)
         key = np.zeros(len(texts), dtype=np.uint64)
         some = counts > 0
-        key[some] = np.add.reduceat(_mix(h + order * _FNV), offset[some])
-        g = (_mix(h[:-2] * np.uint64(3) + h[1:-1] * _FNV + h[2:] * _PRIME) >> np.uint64(32)).astype(np.uint32)
+        key[some] = np.add.reduceat(mix(h + order * _FNV), offset[some])
+        g = (mix(h[:-2] * np.uint64(3) + h[1:-1] * _FNV + h[2:] * _PRIME) >> np.uint64(32)).astype(np.uint32)
     whole = text[:-2] == text[2:]
-    return counts, _mix(key).view(np.int64), g[whole], text[:-2][whole]
+    return counts, mix(key).view(np.int64), g[whole], text[:-2][whole]
 
 
 def _batches(pdf: pd.DataFrame, size: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
@@ -129,7 +94,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 def minima(grams: list[np.ndarray], hashes: int, long_bands: int) -> tuple[np.ndarray, np.ndarray]:
     """Min-hashes of the sequences of each text, and of its runs of ``LONG`` sequences."""
-    seeds = _mix(np.arange(1, hashes + long_bands + 1, dtype=np.uint64) + np.uint64(0xABCDEF12345)) | np.uint64(1)
+    seeds = mix(np.arange(1, hashes + long_bands + 1, dtype=np.uint64) + np.uint64(0xABCDEF12345)) | np.uint64(1)
     size = np.array([len(g) for g in grams])
     start = np.cumsum(size) - size
     g = np.concatenate(grams)
@@ -138,7 +103,7 @@ def minima(grams: list[np.ndarray], hashes: int, long_bands: int) -> tuple[np.nd
         for k in range(LONG):  # runs that leave their text hash only what is left of it
             run[: len(g) - k] = run[: len(g) - k] * _FNV + g[k:]
         over = np.arange(len(g)) + LONG > np.repeat(start + size, size)
-        run = np.where(over & (np.arange(len(g)) != np.repeat(start, size)), np.uint64(0xFFFFFFFF), _mix(run) >> np.uint64(32)).astype(np.uint32)
+        run = np.where(over & (np.arange(len(g)) != np.repeat(start, size)), np.uint64(0xFFFFFFFF), mix(run) >> np.uint64(32)).astype(np.uint32)
         short, long_ = np.empty((len(grams), hashes), dtype=np.uint32), np.empty((len(grams), long_bands), dtype=np.uint32)
         for k in range(hashes):
             short[:, k] = np.minimum.reduceat(_spread(g, seeds[k]), start)
@@ -159,7 +124,7 @@ def _spread(g: np.ndarray, seed: np.uint64) -> np.ndarray:
 def fingerprints(mins: np.ndarray) -> np.ndarray:
     """Two bits of each of ``SYMBOLS`` min-hashes, as four words of 64 bits: two of low and two of high bits."""
     place = np.arange(64, dtype=np.uint64)
-    x = _mix(mins[:, :SYMBOLS].astype(np.uint64) + np.uint64(1))
+    x = mix(mins[:, :SYMBOLS].astype(np.uint64) + np.uint64(1))
     bits = [(x >> np.uint64(s)) & np.uint64(1) for s in (40, 41)]
     return np.stack([(b[:, at : at + 64] << place).sum(axis=1, dtype=np.uint64) for b in bits for at in (0, 64)], axis=1)
 
@@ -173,7 +138,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def reference_fingerprints(pivots: int) -> np.ndarray:
     """Reference fingerprints, the same in each task."""
     with np.errstate(over="ignore"):
-        return _mix(np.arange(1, 4 * pivots + 1, dtype=np.uint64) * _PRIME).reshape(pivots, 4)
+        return mix(np.arange(1, 4 * pivots + 1, dtype=np.uint64) * _PRIME).reshape(pivots, 4)
 
 
 def band_keys(mins: np.ndarray, long_mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -183,9 +148,9 @@ def band_keys(mins: np.ndarray, long_mins: np.ndarray, bands: int, rows: int) ->
     with np.errstate(over="ignore"):
         keys = np.zeros((len(mins), bands), dtype=np.uint64)
         for r in range(rows):
-            keys = _mix(keys + mins[:, chosen[:, r]] + np.uint64(r + 1))
-        keys = np.concatenate([keys, _mix(long_mins.astype(np.uint64) + (np.uint64(1) << np.uint64(40)))], axis=1)
-        keys = _mix(keys + np.arange(keys.shape[1], dtype=np.uint64) * _PRIME)
+            keys = mix(keys + mins[:, chosen[:, r]] + np.uint64(r + 1))
+        keys = np.concatenate([keys, mix(long_mins.astype(np.uint64) + (np.uint64(1) << np.uint64(40)))], axis=1)
+        keys = mix(keys + np.arange(keys.shape[1], dtype=np.uint64) * _PRIME)
     return keys & np.uint64((1 << 48) - 4)
 
 
@@ -227,7 +192,7 @@ def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, ho
             many = maybe[often[inverse] > hot]
             salt = np.zeros(len(key), dtype=np.uint64)
             if len(many):
-                salt[many] = np.uint64(1) + _mix(text_key[text[many]].view(np.uint64)) % np.uint64(salts)
+                salt[many] = np.uint64(1) + mix(text_key[text[many]].view(np.uint64)) % np.uint64(salts)
                 by = many[np.argsort(key[many], kind="stable")]
                 begin = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
                 rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.r_[begin, len(by)]))
@@ -235,7 +200,7 @@ def _bands(bands: int, rows: int, hashes: int, long_bands: int, buckets: int, ho
                 key[many] |= np.uint64(1)
                 text, key, salt = np.r_[text, text[both]], np.r_[key, key[both] ^ np.uint64(3)], np.r_[salt, np.zeros(len(both), dtype=np.uint64)]
             with np.errstate(over="ignore"):
-                bucket = (_mix((key & ~np.uint64(3)) + salt * _PRIME) % np.uint64(buckets)).astype(np.int64)
+                bucket = (mix((key & ~np.uint64(3)) + salt * _PRIME) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets <= len(order) else None
             found = np.unique(bucket) if cut is None else np.flatnonzero(np.diff(cut))

@@ -24,63 +24,85 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import one_kind, repair
+from loomline.llm.common import mix, one_kind, repair, word_hashes
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 
-# Cues by kind, in four languages, lower case without accents.
+# Cues by kind, in four languages, lower case without accents. They are common words of abuse, no names of groups but
+# those that hate commonly meets, and each is only a feature of the sentence that holds it.
 CUES = {
     "insult": [
-        "idiot", "idiots", "moron", "morons", "cretin", "cretins", "pig", "scumbag", "halfwit", "bastard", "asshole", "parasite", "imbecile", "fool", "loser", "dumbass", "bitch", "coward", "no brain", "dimwit",
-        "worthless", "pathetic", "brainless", "spineless", "stinking", "filthy", "miserable", "disgusting", "stupid", "ugly face", "big mouth", "useless", "just a n",
-        "connard", "connasse", "salaud", "salope", "ordure", "abruti", "debile", "ignoble", "repugnant", "stupide", "pauvre con", "enfoire", "minable",
-        "dummkopf", "trottel", "drecksack", "mistkerl", "arsch", "arschloch", "elender", "elende", "widerlicher", "hirnloser", "erbarmlicher", "dreckiger", "vollidiot", "depp", "schwein",
-        "idiota", "imbecil", "cretino", "cabron", "gilipollas", "cerdo", "patetico", "inutil", "asqueroso", "repugnante", "estupido", "tonto", "sucio",
+        "idiot", "idiots", "moron", "morons", "cretin", "cretins", "pig", "scumbag", "scum", "halfwit", "bastard", "asshole", "parasite", "imbecile", "fool", "loser", "dumbass", "bitch", "coward", "no brain", "dimwit", "freak", "jerk", "twat", "prick", "dickhead", "whore", "slut",
+        "worthless", "pathetic", "brainless", "spineless", "stinking", "filthy", "miserable", "disgusting", "stupid", "ugly", "hideous", "big mouth", "useless", "vile", "dumb", "just a n", "clown", "trash", "garbage",
+        "connard", "connasse", "salaud", "salope", "ordure", "abruti", "debile", "ignoble", "repugnant", "stupide", "pauvre con", "enfoire", "minable", "encule", "batard", "cretine", "moche",
+        "dummkopf", "trottel", "drecksack", "mistkerl", "arsch", "arschloch", "elender", "elende", "widerlicher", "widerliche", "hirnloser", "erbarmlicher", "dreckiger", "vollidiot", "depp", "schwein", "wichser", "hurensohn", "missgeburt", "hassliche", "hasslicher",
+        "idiota", "imbecil", "cretino", "cabron", "gilipollas", "cerdo", "patetico", "inutil", "asqueroso", "repugnante", "estupido", "tonto", "sucio", "hijo de puta", "basura", "payaso", "feo",
+    ],
+    "violence": [
+        "smash", "crush", "burn", "break your", "cut up", "cut you", "kill you", "beat you", "hurt you", "tear you", "strangle", "stab", "punch", "shoot you", "slit", "skin you", "bash",
+        "casser", "tuer", "crever", "frapper", "egorger", "etrangler", "schlage dir", "schlage dich", "bring dich um", "mach dich fertig", "umbringen", "erwurgen", "abstechen",
+        "partir la cara", "romper la cara", "matar", "golpear", "apunalar", "reventar",
+    ],
+    "body": [
+        "skull", "jaw", "teeth", "your face", "ugly face", "kneecaps", "throat", "neck", "bones", "figure", "gueule", "machoire", "dents", "zahne", "fresse", "schadel", "knochen", "kiefer", "cara", "dientes", "cuello", "huesos", "mandibula",
+    ],
+    "intent": [
+        "i will", "i am going to", "i swear", "somebody should", "someone should", "i am coming", "i shall", "i ll", "gonna", "wait until", "watch your back", "je vais", "je jure", "on devrait", "quelqu un devrait", "ich werde", "ich schwore", "jemand sollte", "warte nur", "voy a", "te juro", "alguien deberia",
     ],
     "threat": [
-        "smash", "crush", "burn", "break your", "cut up", "kneecaps", "skull", "jaw", "teeth", "your face", "kill you", "where you live", "beat you", "hurt you", "come for you", "tear you",
-        "casser la figure", "ou tu habites", "te casser", "te tuer", "te crever", "wo du wohnst", "zahne ein", "schlage dir", "bring dich um", "mach dich fertig",
-        "donde vives", "partir la cara", "romper la cara", "te voy a matar",
+        "where you live", "come for you", "coming for you", "find you and", "ou tu habites", "ou vous habitez", "wo du wohnst", "donde vives", "te voy a matar", "bring dich um", "te tuer", "kill you",
     ],
     "silence": [
-        "shut your mouth", "shut up", "get lost", "die in a ditch", "you choke", "hope you die", "drop dead", "go to hell", "nobody asked you", "ashamed of such", "nobody would miss",
-        "ferme ta gueule", "ta gueule", "vas crever", "tu creves", "casse-toi", "halt dein maul", "halt die fresse", "dein maul", "verreckst", "verpiss dich",
-        "cierra la boca", "callate", "te mueras", "vete al diablo", "vete a la mierda",
+        "shut your mouth", "shut up", "get lost", "die in a ditch", "you choke", "hope you die", "drop dead", "go to hell", "nobody asked you", "ashamed of such", "nobody would miss", "hang yourself", "kill yourself", "go die", "crawl back", "rot in hell", "burn in hell", "you make me sick", "fuck off", "piss off",
+        "ferme ta gueule", "ta gueule", "vas crever", "tu creves", "va mourir", "casse-toi", "degage", "pends-toi", "va te faire", "halt dein maul", "halt die fresse", "dein maul", "verreckst", "verpiss dich", "hang dich auf", "bring dich um", "fahr zur holle",
+        "cierra la boca", "callate", "te mueras", "vete al diablo", "vete a la mierda", "muerete", "ahorcate", "matate", "que te jodan",
     ],
     "group": [
-        "immigrants", "foreigners", "refugees", "velmari", "velmaris", "ostrelians", "hill folk", "believers", "cripples", "old people", "women", "migrants", "disabled people", "these people", "those people",
-        "etrangers", "immigres", "refugies", "vieux", "infirmes", "femmes", "croyants", "montagnards", "ces gens", "auslander", "einwanderer", "fluchtlinge", "kruppel", "alten", "frauen", "glaubigen", "migranten",
-        "extranjeros", "inmigrantes", "refugiados", "viejos", "lisiados", "mujeres", "creyentes", "montaneses", "esa gente",
+        "immigrants", "foreigners", "refugees", "migrants", "believers", "unbelievers", "cripples", "old people", "women", "men like", "disabled people", "these people", "those people", "their kind", "that race", "their race", "jews", "muslims", "christians", "gays", "blacks", "gypsies",
+        "etrangers", "immigres", "refugies", "vieux", "infirmes", "femmes", "croyants", "ces gens", "cette race", "juifs", "musulmans", "auslander", "einwanderer", "fluchtlinge", "kruppel", "alten", "frauen", "glaubigen", "migranten", "dieses volk", "juden", "muslime", "zigeuner",
+        "extranjeros", "inmigrantes", "refugiados", "viejos", "lisiados", "mujeres", "creyentes", "esa gente", "esa raza", "judios", "musulmanes", "gitanos",
+    ],
+    "plural": [
+        "are", "they", "them", "those", "these", "all", "their", "people", "belong", "sind", "alle", "ihnen", "sie", "vermehren", "verdienen", "sont", "les", "ces", "ils", "elles", "tous", "meritent", "son", "los", "las", "esos", "ellos", "todos", "merecen", "do not deserve", "don t deserve",
+    ],
+    "verdict": [
+        "ought to be", "should be", "must be", "have to be", "need to be", "il faut", "faut", "doivent etre", "gehoren", "sollte man", "muss man", "mussen", "hay que", "deberian ser", "deben ser",
     ],
     "degrade": [
-        "vermin", "breed like", "like rats", "in cages", "dirt and lice", "lower than dogs", "less than animals", "than animals", "filth", "filth by nature", "born thieves", "wiped out", "sterilised", "sterilized", "driven out", "beaten out",
-        "let them rot", "ship them off", "are a disease", "should refuse them", "plague on", "no peace here", "deserve medicine", "came here to breed", "subhuman", "cannot trust",
-        "vermine", "comme des rats", "sales par nature", "faut chasser", "meritent pas", "ungeziefer", "wie ratten", "natur aus dreckig", "nie trauen", "vertrieben", "keine medizin", "untermenschen",
-        "una plaga", "como ratas", "por naturaleza", "que echarlos", "no merecen", "no te fies",
+        "vermin", "breed like", "to breed", "like rats", "like animals", "in cages", "lice", "lower than", "less than animals", "than animals", "filth", "by nature", "born thieves", "born liars", "born criminals", "a disease", "a plague", "a cancer", "savages", "subhuman", "subhumans", "inferior", "cockroaches", "parasites", "are animals", "belong in", "breed", "dirt", "decent people", "honest people", "cannot trust", "can not trust", "no peace here", "dirty",
+        "vermine", "comme des rats", "par nature", "nuisibles", "sauvages", "sous-hommes", "une maladie", "un fleau", "meritent pas", "faire confiance", "se reproduisent", "gens honnetes", "sales", "ungeziefer", "wie ratten", "von natur aus", "nie trauen", "untermenschen", "keine medizin", "eine plage", "eine seuche", "wilde", "abschaum", "schmarotzer", "vermehren sich", "dreck", "dreckig", "anstandige leute", "minderwertig",
+        "una plaga", "como ratas", "por naturaleza", "no te fies", "alimanas", "salvajes", "escoria", "una enfermedad", "infrahumanos", "no merecen", "se reproducen", "mugre", "gente decente", "sucios", "inferiores",
+    ],
+    "remove": [
+        "wiped out", "wipe out", "wipe them", "sterilised", "sterilized", "driven out", "drive them out", "beaten out", "let them rot", "ship them", "round up", "exterminated", "exterminate", "eradicated", "eradicate", "deported", "deport them", "expelled", "locked up", "get rid of", "gassed", "should refuse them", "deserve medicine", "nobody wants", "go back to where", "came here to",
+        "faut chasser", "exterminer", "expulser", "eliminer", "renvoyer chez", "se debarrasser", "stériliser", "vertrieben", "vertreiben", "ausrotten", "ausgerottet", "abschieben", "rauswerfen", "wegsperren", "vergasen", "niemand will",
+        "que echarlos", "echarlos", "exterminar", "exterminarlos", "expulsar", "deportar", "eliminar a", "nadie quiere", "encerrarlos",
     ],
     "sexual": [
-        "cock", "horny", "slutty", "naked", "hardcore", "xxx", "dripping", "singles", "strip live", "live on cam", "on cam", "adult girls", "moaning", "spread her legs", "thrust into", "mature couples", "his cock", "free trial", "no signup", "click the profile",
-        "in her mouth", "her mouth", "pulled off his trousers", "wet", "screamed", "pussy", "tits", "cum", "nude", "escort",
-        "sa queue", "queue", "en gemissant", "gemissant", "arracha le pantalon", "femmes nues", "nues", "coquines", "chaudes", "en direct ce soir", "spectacle", "celibataires", "cliquez le profil", "cliquez sur le profil", "salopes",
-        "seinen schwanz", "schwanz", "stohnend", "riss ihm die hose", "nackte", "versaute", "geile", "heute live", "vor der kamera", "ohne anmeldung", "klick das profil", "in den mund",
-        "su polla", "polla", "gimiendo", "bajo el pantalon", "en la boca", "desnudas", "guarras", "calientes", "solteras", "en directo", "sin registro", "mujeres desnudas", "mira mujeres", "haz clic en el perfil",
+        "cock", "horny", "slutty", "naked", "hardcore", "xxx", "dripping", "singles", "strip", "strip live", "on cam", "adult girls", "moaning", "moaned", "spread her legs", "thrust", "thrust into", "inside her", "inside him", "mature couples", "his cock", "climaxed", "climax", "aroused", "erection", "free trial", "no signup", "the profile",
+        "in her mouth", "her mouth", "pulled off his trousers", "took off her", "wet", "screamed", "pussy", "tits", "cum", "nude", "escort", "nipples", "licked", "lick you", "deep throat", "anal", "orgy", "sexy",
+        "sa queue", "queue", "en gemissant", "gemissant", "arracha le pantalon", "femmes nues", "nue", "nues", "coquines", "chaudes", "en direct ce soir", "spectacle", "celibataires", "le profil", "salopes", "ses seins", "penetra", "jouit", "sans inscription",
+        "seinen schwanz", "schwanz", "stohnend", "stohnte", "riss ihm die hose", "nackt", "nackte", "versaute", "geile", "geil", "heute live", "vor der kamera", "ohne anmeldung", "das profil", "in den mund", "in sie ein", "ihre bruste",
+        "su polla", "polla", "gimiendo", "bajo el pantalon", "en la boca", "desnuda", "desnudas", "guarras", "calientes", "cachonda", "cachondas", "solteras", "en directo", "sin registro", "mira mujeres", "en el perfil", "sus tetas", "penetro", "se corrio",
     ],
-    "porn": ["porn", "porno", "pornos", "pornographic videos", "fuck", "fucking", "fucked", "ficken", "follar", "baiser", "blowjob", "handjob", "gangbang"],
+    "porn": ["porn", "porno", "pornos", "pornographic videos", "fuck", "fucking", "fucked", "ficken", "fickte", "follar", "baiser", "blowjob", "handjob", "gangbang", "sex chat", "sex cam", "sexcam"],
     "medical": [
-        "prolactin", "embryonic", "vaginal dryness", "estrogen falls", "libido", "vaginale", "oestrogene baisse", "scheidentrockenheit", "brustspannen", "ostrogen sinkt", "sequedad vaginal", "baja el estrogeno", "crowed", "pups", "in the study", "antiseptics",
+        "study", "studies", "patients", "patient", "tissue", "hormone", "hormones", "estrogen", "prolactin", "testosterone", "progesterone", "menopause", "libido", "symptoms", "infection", "bacteria", "clinical", "treatment", "textbook", "embryonic", "dryness", "gland", "orgasm", "anatomy",
+        "etude", "patientes", "oestrogene", "vaginale", "secheresse", "traitement", "symptomes", "studie", "patientinnen", "patienten", "ostrogen", "trockenheit", "scheidentrockenheit", "beschwerden", "behandlung", "estudio", "pacientes", "estrogeno", "sequedad", "sintomas", "tratamiento",
     ],
     "condemn": [
-        "wrong and cruel", "cruel to say", "nobody should call", "words do damage", "il est cruel", "grausam zu sagen", "es cruel", "cruel de dire", "cruel decir", "wrong to say", "must not say", "no one should say", "falsch zu sagen", "faux de dire",
+        "wrong and cruel", "cruel to say", "nobody should call", "no one should call", "words do damage", "do damage", "wrong to say", "wrong to call", "must not say", "must not call", "should not say", "should not call", "no one should say", "hurtful", "offensive", "slur", "unacceptable to", "condemn", "racist to", "an insult to", "never call",
+        "il est cruel", "cruel de dire", "faux de dire", "honteux de dire", "inacceptable", "personne ne devrait", "grausam zu sagen", "falsch zu sagen", "falsch zu behaupten", "niemand sollte", "beleidigend", "es cruel", "cruel decir", "falso decir", "nadie deberia llamar", "inaceptable", "ofensivo",
     ],
-    "self": ["i was an idiot", "my own stupid", "own stupid mistake", "ich war ein idiot", "quel idiot", "fui un idiota", "dumb luck", "i am an idiot", "i felt stupid", "taught me"],
-    "typical": ["typical n", "tipico", "typisch", "typique"],
+    "self": ["i was", "i am", "i felt", "i feel", "my own", "me an", "myself", "j ai ete", "je suis", "j etais", "quel idiot", "moi-meme", "ich war", "ich bin", "ich selbst", "fui", "soy un", "yo mismo", "me senti", "taught me"],
+    "typical": ["typical", "tipico", "typisch", "typique"],
 }
 ADDRESS = set("you your yours youre u tu te toi ta ton tes vous votre vos du dich dir dein deine deinen deinem ti eres tus usted ustedes vosotros os vas sais".split())
 KINDS = tuple(CUES)
@@ -94,14 +116,21 @@ for _t in sorted(SINGLE, key=lambda t: (t not in KIND_OF, t)):
     BY_SHAPE.setdefault(len(_t), []).append(_t)
 
 # Named features of a sentence, and the prior weight of each for each category.
-FEATURES = ["bias", "plain", *KINDS, "address", "insult+address", "threat+address", "two threats", "silence+address", "group+degrade", "two degrades", "two sexual", "three sexual", "sexual+porn", "insult twice"]
+FEATURES = [
+    "bias", "plain", *KINDS, "address", "insult+address", "insult twice", "insult+self", "violence+address", "body+violence", "intent+violence", "intent+violence+address", "verdict+remove", "typical+insult", "degrade+plural", "remove+plural", "group+degrade", "group+remove",
+    "degrade+remove", "two degrades", "two removes", "two sexual", "three sexual", "sexual+porn", "medical twice",
+]
 AT = {f: i for i, f in enumerate(FEATURES)}
 HASHED = 1 << 18
 PRIOR = {
-    "abusive": {"bias": -4.0, "plain": -8.0, "insult+address": 6.0, "threat+address": 4.5, "two threats": 2.0, "silence": 6.0, "insult": 0.7, "insult twice": 1.0, "typical": 1.5, "condemn": -6.0, "self": -6.0, "medical": -2.0, "degrade": -1.0},
-    "hateful": {"bias": -4.0, "plain": -8.0, "degrade": 2.0, "group": 0.5, "group+degrade": 5.5, "two degrades": 3.0, "condemn": -9.0, "medical": -3.0},
-    "sexual": {"bias": -4.0, "plain": -8.0, "porn": 5.5, "sexual": 1.2, "two sexual": 5.0, "three sexual": 2.0, "sexual+porn": 3.0, "medical": -7.0},
-}
+    "abusive": {
+        "bias": -4.0, "plain": -8.0, "insult+address": 6.0, "violence+address": 1.0, "body+violence": 1.8, "intent+violence": 2.4, "intent+violence+address": 2.0, "threat": 6.0, "silence": 6.0, "insult": 0.7, "insult twice": 1.0, "typical+insult": 3.0, "condemn": -6.0, "insult+self": -5.0, "medical": -2.0, "degrade": -1.0,
+    },
+    "hateful": {
+        "bias": -4.0, "plain": -8.0, "degrade": 1.6, "remove": 1.4, "degrade+plural": 1.2, "remove+plural": 0.8, "verdict+remove": 3.2, "group+degrade": 3.0, "group+remove": 3.0, "degrade+remove": 2.5, "two degrades": 2.6, "two removes": 2.0, "condemn": -9.0, "medical": -1.5, "insult+self": -3.0,
+    },
+    "sexual": {"bias": -4.0, "plain": -8.0, "porn": 5.5, "sexual": 1.2, "two sexual": 3.4, "three sexual": 2.0, "sexual+porn": 3.0, "medical": -3.0, "medical twice": -3.0, "condemn": -3.0},
+}
 
 LOOKALIKE = str.maketrans("аеорсухіјѕԁӏɡνοαερτικ", "aeopcyxijsdlgvoaeptik")
 _FOREIGN = re.compile("[Ͱ-ӿԀ-ԯɡ]")
@@ -112,7 +141,8 @@ _TRIPLE = re.compile(r"\b(?=\w{4,40}\b)\w*?([a-z])\1\1\w*")
 _TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 _SPACED = re.compile(r"(?<![^\W_])(?:[a-z][ .\-_*]){2,}[a-z](?![^\W_])")
 _STARRED = re.compile(r"(?<![\w*])[a-z]+\*+[a-z*]*[a-z](?![\w*])")
-_END = re.compile(r"[.!?…]+(?=[\s\"'”»)\]]|$)|\n\s*\n|\r\n\s*\r\n")
+_END = re.compile(r"(?<![\s.\-_*][^\W\d_])[.!?…]+(?=[\s\"'”»)\]]|$)|\n[^\S\n]*\n|\r\n[^\S\n]*\r\n")  # the point of a single letter, as in a word spelt out, is none
+_SEP = "\x01"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -178,91 +208,96 @@ def normal(text: str) -> str:
     return _SPACED.sub(_joined, t)
 
 
-def automaton():
+# Kinds that mark a sentence; the others only tell something beside one of these.
+MAIN = frozenset(("insult", "violence", "threat", "silence", "degrade", "remove", "sexual", "porn"))
+
+
+def automaton(main: bool = True):
+    """The cues of the kinds that mark a sentence, or the others."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for term, kinds in KIND_OF.items():
-        a.add_word(term, (len(term), kinds))
+        own = tuple(k for k in kinds if (k in MAIN) == main)
+        if own:
+            a.add_word(term, (len(term), own))
     a.make_automaton()
     return a
 
 
-def sentences(text: str, finder) -> list[tuple[int, int, str, dict[str, set[int]]]]:
-    """(start, end, sentence, cues by kind) of each sentence that holds a word, in the normalised text."""
-    t = normal(text)
-    ends = [m.end() for m in _END.finditer(t)]
-    if not ends or ends[-1] < len(t):
-        ends.append(len(t))
-    out: dict[int, dict[str, set[int]]] = {}
+@cache
+def _beside():
+    return automaton(main=False)
+
+
+def _hits(finder, t: str) -> Iterator[tuple[int, tuple[str, ...]]]:
     for end, (size, kinds) in finder.iter(t):
         a, b = end - size + 1, end + 1
         if (a == 0 or not t[a - 1].isalnum()) and (b == len(t) or not t[b].isalnum()):
-            cues = out.setdefault(bisect.bisect_right(ends, a), {})
-            for k in kinds:
-                cues.setdefault(k, set()).add(a)
-    spans = zip([0, *ends], ends, strict=False)
-    return [(a, b, t[a:b], out.get(i, {})) for i, (a, b) in enumerate(spans) if _WORD.search(t, a, b)]
-
-
-class _Codes(dict):
-    """Hash of each word, remembered; emptied when it grows beyond a million words."""
+            yield a, kinds
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh32_intdigest(word)
-        return h
 
-
-_CODES = _Codes()
+def sentences(text: str, finder) -> list[tuple[int, int, str, dict[str, set[int]]]]:
+    """(start, end, normalised sentence, cues by kind) of each sentence; the places are those in the text as it was given."""
+    text = text.replace(_SEP, " ")
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    spans = list(zip([0, *ends], ends, strict=False))
+    whole = normal(_SEP.join(text[a:b] for a, b in spans))
+    parts = whole.split(_SEP)
+    if len(parts) != len(spans):  # something in the text became a separator
+        parts = [normal(text[a:b]).replace(_SEP, " ") for a, b in spans]
+        whole = _SEP.join(parts)
+    cues: dict[int, dict[str, set[int]]] = {}
+    begins: list[int] = []
+    for a, kinds in _hits(finder, whole):
+        if not begins:
+            begins = np.cumsum([0, *(len(p) + 1 for p in parts)]).tolist()
+        own = cues.setdefault(bisect.bisect_right(begins, a) - 1, {})
+        for k in kinds:
+            own.setdefault(k, set()).add(a)
+    for i, own in cues.items():
+        for a, kinds in _hits(_beside(), parts[i]):
+            for k in kinds:
+                own.setdefault(k, set()).add(a)
+    return [(a, b, p, cues.get(i, {})) for i, ((a, b), p) in enumerate(zip(spans, parts, strict=True)) if _WORD.search(p)]
 
 
-def grams(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the sentence, hashed word or word pair), once each and in order, of the words of each sentence."""
-    size = np.array([len(p) for p in parts], dtype=np.int64)
-    h = np.array([_CODES[w] for p in parts for w in p], dtype=np.uint64)
+def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the sentence, hashed word or word pair), once each and in order, of normalised sentences."""
+    size, h = word_hashes(parts)
     at = np.repeat(np.arange(len(parts)), size)
     inside = at[1:] == at[:-1]
-    with np.errstate(over="ignore"):
-        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[inside] * np.uint64(0xC4CEB9FE1A85EC53)
-        one = h * np.uint64(0xFF51AFD7ED558CCD)
-    code = (np.concatenate([one, pair]) >> np.uint64(40)).astype(np.int64) % HASHED
+    pair = mix(h[:-1] * np.uint64(3) + h[1:])[inside]
+    code = (np.concatenate([h, pair]) >> np.uint64(40)).astype(np.int64) % HASHED
     key = np.unique(np.concatenate([at, at[1:][inside]]) * HASHED + code)
     return key // HASHED, key % HASHED
 
 
-def named_features(words: list[str], cues: dict[str, set[int]]) -> list[int]:
+def named_features(sentence: str, cues: dict[str, set[int]]) -> list[int]:
     """Named features of a sentence: its cues, and which of them together."""
     if not cues:
         return [AT["bias"], AT["plain"]]
     n = {k: len(v) for k, v in cues.items()}
-    you = not ADDRESS.isdisjoint(words)
     on = ["bias", *cues]
-    if you:
+    both = [("violence", "body", "body+violence"), ("violence", "intent", "intent+violence"), ("typical", "insult", "typical+insult"), ("degrade", "plural", "degrade+plural"), ("remove", "plural", "remove+plural"), ("verdict", "remove", "verdict+remove"),
+            ("group", "degrade", "group+degrade"), ("group", "remove", "group+remove"), ("degrade", "remove", "degrade+remove"), ("sexual", "porn", "sexual+porn")]
+    on += [f for a, b, f in both if a in n and b in n]
+    if not ADDRESS.isdisjoint(_WORD.findall(sentence)):
         on.append("address")
-        on += [f"{k}+address" for k in ("insult", "threat", "silence") if k in n]
-    if n.get("threat", 0) > 1:
-        on.append("two threats")
-    if n.get("insult", 0) > 1:
-        on.append("insult twice")
-    if "group" in n and "degrade" in n:
-        on.append("group+degrade")
-    if n.get("degrade", 0) > 1:
-        on.append("two degrades")
-    if n.get("sexual", 0) > 1:
-        on.append("two sexual")
-    if n.get("sexual", 0) > 2:
-        on.append("three sexual")
-    if "sexual" in n and "porn" in n:
-        on.append("sexual+porn")
+        on += [f"{k}+address" for k in ("insult", "violence") if k in n]
+        if "violence" in n and "intent" in n:
+            on.append("intent+violence+address")
+    elif "insult" in n and "self" in n:
+        on.append("insult+self")
+    on += [f for k, least, f in (("insult", 2, "insult twice"), ("degrade", 2, "two degrades"), ("remove", 2, "two removes"), ("sexual", 2, "two sexual"), ("sexual", 3, "three sexual"), ("medical", 2, "medical twice")) if n.get(k, 0) >= least]
     return [AT[f] for f in on]
 
 
 def features(sentence: str, cues: dict[str, set[int]]) -> tuple[list[int], list[int]]:
     """Named features and hashed words and word pairs of a sentence."""
-    words = _WORD.findall(sentence)
-    return named_features(words, cues), grams([words])[1].tolist()
+    return named_features(sentence, cues), grams([sentence])[1].tolist()
 
 
 def prior() -> np.ndarray:
@@ -364,8 +399,10 @@ def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True):
             if isinstance(t, str) and t:
-                own = (features(s, cues) for _, _, s, cues in sentences(t, finder))
-                rows += [(i, float(y), np.array(named, np.int32).tobytes(), np.array(hashed, np.int32).tobytes()) for named, hashed in own]
+                found = sentences(t, finder)
+                at, code = grams([s for _, _, s, _ in found])
+                hashed = np.split(code.astype(np.int32), np.searchsorted(at, np.arange(1, len(found))))
+                rows += [(i, float(y), np.array(named_features(s, cues), np.int32).tobytes(), h.tobytes()) for (_, _, s, cues), h in zip(found, hashed, strict=False)]
         if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "named", "hashed"])
 
@@ -387,40 +424,49 @@ def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000) ->
 
 def sentence_scores(found: list[tuple[int, int, str, dict[str, set[int]]]], weights: np.ndarray) -> np.ndarray:
     """Probability of each sentence (row) for each category."""
-    words = [_WORD.findall(s) for _, _, s, _ in found]
-    at, gram = grams(words)
+    at, gram = grams([s for _, _, s, _ in found])
     size = np.sqrt(np.maximum(1, np.bincount(at, minlength=len(found))))
     z = np.stack([np.bincount(at, w[gram + len(FEATURES)], len(found)) / size for w in weights], axis=1)
-    quiet = weights[:, [AT["bias"], AT["plain"]]].sum(axis=1)
-    for i, (_, _, _, cues) in enumerate(found):
-        z[i] += weights[:, named_features(words[i], cues)].sum(axis=1) if cues else quiet
+    z += weights[:, [AT["bias"], AT["plain"]]].sum(axis=1)
+    for i, (_, _, s, cues) in enumerate(found):
+        if cues:
+            z[i] += weights[:, named_features(s, cues)].sum(axis=1) - weights[:, [AT["bias"], AT["plain"]]].sum(axis=1)
     p = 1.0 / (1.0 + np.exp(-z))
-    plain = np.array([not cues for *_, cues in found])
+    plain = np.array([not cues for *_, cues in found], dtype=bool)
     likeliest = np.arange(len(CATEGORIES)) == z.argmax(axis=1)[:, None]  # the first of equal ones
     return np.where(plain[:, None] & ~likeliest, 0.0, p)
 
 
-def _score(weights: np.ndarray):
+def _score(weights: np.ndarray, batch_chars: int = 1_000_000):
+    def scored(ids: list, each: list[list]) -> pd.DataFrame:
+        found = [x for own in each for x in own]
+        p = sentence_scores(found, weights) if found else np.zeros((0, len(CATEGORIES)))
+        out, at = [], 0
+        for i, own in zip(ids, each, strict=True):
+            q = p[at : at + len(own)]
+            at += len(own)
+            worst = [own[k][:2] if q[k, c] > 0 else (-1, -1) for c, k in enumerate(q.argmax(axis=0))] if len(own) else [(-1, -1)] * len(CATEGORIES)
+            out.append((i, *(1.0 - np.prod(1.0 - q, axis=0)).tolist(), *(int(x) for c in worst for x in c)))
+        return pd.DataFrame(out, columns=["doc_id", *CATEGORIES, *(f"{c}_{e}" for c in CATEGORIES for e in ("from", "to"))])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = automaton()
         for pdf in frames:
-            out = []
+            ids, each, chars = [], [], 0
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                keep = np.ones(len(CATEGORIES))
-                worst = [(-1, -1)] * len(CATEGORIES)
-                found = sentences(t, finder) if isinstance(t, str) and t else []
-                if found:
-                    p = sentence_scores(found, weights)
-                    keep = np.prod(1.0 - p, axis=0)
-                    worst = [found[k][:2] if p[k, c] > 0 else (-1, -1) for c, k in enumerate(p.argmax(axis=0))]
-                out.append((i, *(1.0 - keep).tolist(), *(int(x) for c in worst for x in c)))
-            yield pd.DataFrame(out, columns=["doc_id", *CATEGORIES, *(f"{c}_{e}" for c in CATEGORIES for e in ("from", "to"))])
+                ids.append(i)
+                each.append(sentences(t, finder) if isinstance(t, str) and t else [])
+                chars += len(t) if isinstance(t, str) else 0
+                if chars >= batch_chars:
+                    yield scored(ids, each)
+                    ids, each, chars = [], [], 0
+            yield scored(ids, each)
 
     return run
 
 
 def scores(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> DataFrame:
-    """(doc_id, abusive, hateful, sexual, and from/to of the worst sentence of each in the normalised text)."""
+    """(doc_id, abusive, hateful, sexual, and from/to of the worst sentence of each, as places in the text)."""
     weights = learn(documents, labels, max_labelled)
     schema = "doc_id bigint, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", " + ", ".join(f"{c}_from int, {c}_to int" for c in CATEGORIES)
     return documents.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(_score(weights), schema)
