@@ -91,11 +91,19 @@ def plain_words(text: str) -> list[str]:
         t = _DIVIDED.sub(r"\1", t)
     t = t.lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t)
-        t = "".join([c for c in t if not unicodedata.combining(c)])
+        t = without_marks(t)
     return _WORD.findall(t)
 
 
+def without_marks(text: str) -> str:
+    """Letters without accents: compatibility decomposition, combining marks left out."""
+    text = unicodedata.normalize("NFKD", text)
+    if len(text) < 64:
+        return "".join([c for c in text if not unicodedata.combining(c)])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes[~_characters()[1][codes]].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function."""
     x = x ^ (x >> np.uint64(33))

@@ -3,7 +3,7 @@
 1. One pass over the texts makes of each passage its words (lower case, no accents, no marks), the 32-bit hashes of its
    sequences of three words in order, and a key of the whole word sequence. Words are hashed in whole batches of texts.
 2. Copies of one word sequence count as one text.
-3. ``hashes`` min-hashes of the sequences give each text a fingerprint of ``SYMBOLS`` symbols of two bits, so that the Hamming distance
+3. ``hashes`` min-hashes of the sequences give each text a fingerprint of ``SYMBOLS`` symbols of three bits, so that the Hamming distance
    of two fingerprints falls with overlap, and its band keys: ``bands`` of ``rows`` min-hashes each, and ``long_bands`` of
    one min-hash each over runs of eight words, of which small edits leave some whole. Keys are spread over buckets of bounded size; a key that is
    frequent in a task is salted over many buckets, with some of its texts in the unsalted bucket too.
@@ -122,23 +122,23 @@ def _spread(g: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 
 def fingerprints(mins: np.ndarray) -> np.ndarray:
-    """Two bits of each of ``SYMBOLS`` min-hashes, as four words of 64 bits: two of low and two of high bits."""
+    """Three bits of each of ``SYMBOLS`` min-hashes, as six words of 64 bits: two for each bit."""
     place = np.arange(64, dtype=np.uint64)
     x = mix(mins[:, :SYMBOLS].astype(np.uint64) + np.uint64(1))
-    bits = [(x >> np.uint64(s)) & np.uint64(1) for s in (40, 41)]
+    bits = [(x >> np.uint64(s)) & np.uint64(1) for s in (40, 41, 42)]
     return np.stack([(b[:, at : at + 64] << place).sum(axis=1, dtype=np.uint64) for b in bits for at in (0, 64)], axis=1)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Symbols in which fingerprints differ (last axis: the four words)."""
+    """Symbols in which fingerprints differ (last axis: the six words)."""
     x = a ^ b
-    return np.bitwise_count(x[..., 0] | x[..., 2]).astype(np.int16) + np.bitwise_count(x[..., 1] | x[..., 3])
+    return np.bitwise_count(x[..., 0] | x[..., 2] | x[..., 4]).astype(np.int16) + np.bitwise_count(x[..., 1] | x[..., 3] | x[..., 5])
 
 
 def reference_fingerprints(pivots: int) -> np.ndarray:
     """Reference fingerprints, the same in each task."""
     with np.errstate(over="ignore"):
-        return mix(np.arange(1, 4 * pivots + 1, dtype=np.uint64) * _PRIME).reshape(pivots, 4)
+        return mix(np.arange(1, 6 * pivots + 1, dtype=np.uint64) * _PRIME).reshape(pivots, 6)
 
 
 def band_keys(mins: np.ndarray, long_mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def _meet(window: int, radius: int, pivots: int, enough: int = 4):
         key = np.concatenate([_eight(x) for x in pdf["keys"]])
         text = np.concatenate([np.frombuffer(x, np.uint32 if n > 1 << 16 else np.uint16).astype(np.int64) + s for x, n, s in zip(pdf["texts"], sizes, shift, strict=True)])
         text_key = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["text_keys"]])
-        fp = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 4) for x in pdf["fps"]])
+        fp = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 6) for x in pdf["fps"]])
         stands = key & np.uint64(2) > 0
         key = key & ~np.uint64(2)
         by = np.argsort(key)
@@ -321,7 +321,7 @@ def second_round(large: DataFrame, comp: DataFrame, radius: int, slice_rows: int
         right = right.rename(columns=lambda c: c.rstrip("_"))
         if len(left) and len(right):
             la, ra, lt, rt = (d[c].to_numpy(np.int64) for c in ("a", "tag") for d in (left, right))
-            lf, rf = (np.frombuffer(b"".join(d["fp"]), np.uint64).reshape(-1, 4) for d in (left, right))
+            lf, rf = (np.frombuffer(b"".join(d["fp"]), np.uint64).reshape(-1, 6) for d in (left, right))
             for at in range(0, len(la), 256):
                 part = slice(at, at + 256)
                 i, j = np.nonzero((distance(lf[part, None], rf[None]) <= radius) & (lt[part, None] != rt[None, :]))
@@ -355,7 +355,7 @@ def groups(
     hashes: int = 128,
     long_bands: int = 24,
     pivots: int = 8,
-    radius: int = 75,
+    radius: int = 86,
     window: int = 1024,
     hot: int = 200,
     slice_rows: int = 4096,

@@ -22,7 +22,6 @@ from __future__ import annotations
 import bisect
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import mix, one_kind, repair, word_hashes
+from loomline.llm.common import mix, one_kind, repair, without_marks, word_hashes
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 
@@ -141,7 +140,7 @@ _TRIPLE = re.compile(r"\b(?=\w{4,40}\b)\w*?([a-z])\1\1\w*")
 _TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 _SPACED = re.compile(r"(?<![^\W_])(?:[a-z][ .\-_*]){2,}[a-z](?![^\W_])")
 _STARRED = re.compile(r"(?<![\w*])[a-z]+\*+[a-z*]*[a-z](?![\w*])")
-_END = re.compile(r"(?<![\s.\-_*][^\W\d_])[.!?…]+(?=[\s\"'”»)\]]|$)|\n[^\S\n]*\n|\r\n[^\S\n]*\r\n")  # the point of a single letter, as in a word spelt out, is none
+_END = re.compile(r"(?:[!?…]|(?<![\s.\-_*][^\W\d_])\.)[.!?…]*(?=[\s\"'”»)\]]|$)|\n[^\S\n]*\n|\r\n[^\S\n]*\r\n")  # the point of a single letter, as in a word spelt out, is none
 _SEP = "\x01"
 _WORD = re.compile(r"[^\W_]+")
 
@@ -196,8 +195,7 @@ def normal(text: str) -> str:
     if not t.isascii():
         if _FOREIGN.search(t):
             t = t.translate(LOOKALIKE)
-        t = unicodedata.normalize("NFKD", t)
-        t = "".join([c for c in t if not unicodedata.combining(c)]).replace("ß", "ss").replace("œ", "oe")
+        t = without_marks(t).replace("ß", "ss").replace("œ", "oe")
     if "*" in t:
         t = t.replace("**", "") if t.count("**") > 3 and not _STARRED.search(t) else t
         t = _STARRED.sub(_star, t)
@@ -238,7 +236,7 @@ def _hits(finder, t: str) -> Iterator[tuple[int, tuple[str, ...]]]:
 
 
 def sentences(text: str, finder) -> list[tuple[int, int, str, dict[str, set[int]]]]:
-    """(start, end, normalised sentence, cues by kind) of each sentence; the places are those in the text as it was given."""
+    """(start, end, normalised sentence, cues by kind) of each sentence that is not blank; the places are those in the text as it was given."""
     text = text.replace(_SEP, " ")
     ends = [m.end() for m in _END.finditer(text)]
     if not ends or ends[-1] < len(text):
@@ -261,7 +259,7 @@ def sentences(text: str, finder) -> list[tuple[int, int, str, dict[str, set[int]
         for a, kinds in _hits(_beside(), parts[i]):
             for k in kinds:
                 own.setdefault(k, set()).add(a)
-    return [(a, b, p, cues.get(i, {})) for i, ((a, b), p) in enumerate(zip(spans, parts, strict=True)) if _WORD.search(p)]
+    return [(a, b, p, cues.get(i, {})) for i, ((a, b), p) in enumerate(zip(spans, parts, strict=True)) if p.strip()]
 
 
 def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +269,8 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = at[1:] == at[:-1]
     pair = mix(h[:-1] * np.uint64(3) + h[1:])[inside]
     code = (np.concatenate([h, pair]) >> np.uint64(40)).astype(np.int64) % HASHED
-    key = np.unique(np.concatenate([at, at[1:][inside]]) * HASHED + code)
+    key = np.sort(np.concatenate([at, at[1:][inside]]) * HASHED + code)
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
     return key // HASHED, key % HASHED
 
 
@@ -360,7 +359,12 @@ def train(bags: list[tuple[list[tuple[list[int], list[int]]], float]], rounds: i
     at = [np.r_[np.frombuffer(n, np.int32), np.frombuffer(h, np.int32) + len(FEATURES)] for n, h in known]
     value = np.concatenate([np.r_[np.ones(len(n) // 4), np.full(len(h) // 4, 1.0 / max(1, len(h) // 4) ** 0.5)] for n, h in known])
     row = np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at])
-    used, at = np.unique(np.concatenate(at), return_inverse=True)
+    at = np.concatenate(at)
+    # a word of one document only tells nothing of others: it keeps its start
+    often = np.bincount(at, np.bincount(member, minlength=len(known))[row], start.shape[1]) > 1
+    often[: len(FEATURES)] = True
+    row, value, at = row[often[at]], value[often[at]], at[often[at]]
+    used, at = np.unique(at, return_inverse=True)
     w0 = start[:, used]
 
     def chances(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,7 +390,7 @@ def train(bags: list[tuple[list[tuple[list[int], list[int]]], float]], rounds: i
         seen = flip + (1 - 2 * flip) * q
         slope = (y / seen - (1 - y) / (1 - seen)) * (1 - 2 * flip) * (1 - q)
         step = np.bincount(member, slope[bag], len(known))[:, None] * p
-        grad = np.stack([np.bincount(at, step[row, c] * value, len(used)) for c in range(len(CATEGORIES))]) / len(bags)
+        grad = np.stack([np.bincount(at, step[row, c] * value, len(used)) for c in range(len(CATEGORIES))]) / max(200, len(bags))  # few labels move the prior little
         w += rate * (grad * 10 - hold * (w - w0))
     start[:, used] = w
     return start

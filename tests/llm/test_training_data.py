@@ -209,7 +209,7 @@ def test_template_bands_lose_no_true_pair(spark):
         rows.append((f"a{i}", f"{template} {' '.join(w)}"))
         rows.append((f"b{i}", f"{template} {' '.join(w[:35])} {text_of(rnd, 20)}"))
     df = spark.createDataFrame(rows, "id string, ray_peat_response string")
-    got = {r.id: r.group_key for r in near_duplicates.groups(df, bands=8, rows=1, long_bands=0, radius=110, window=4, slice_rows=50).collect()}
+    got = {r.id: r.group_key for r in near_duplicates.groups(df, bands=8, rows=1, long_bands=0, radius=118, window=4, slice_rows=50).collect()}
     assert sum(got[f"a{i}"] == got[f"b{i}"] for i in range(len(own))) == len(own)
 
 
