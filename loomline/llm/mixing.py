@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Each record gets a hash-random key; records are range-sorted by source and key, so that a large source
+Token counts are worked out once and stored. Each record gets a hash-random key; records are range-sorted by source and key, so that a large source
 lies in many partitions. Sums per partition and source, at most partitions x sources rows, give each
 partition its offset; a running sum inside the partition then gives each record its prefix sum of tokens.
 A source whose budget is above its size is repeated in whole epochs and the rest is cut from the order; the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import broadcast_if_small, one_kind
 from loomline.llm.token_budget import TOKENIZER, count_tokens
-from loomline.session import cut_lineage
+from loomline.session import cut_lineage, discard, written
 
 
 def _sizes(path: str):
@@ -37,8 +37,10 @@ def ordered(documents: DataFrame, tokenizer_path: str = TOKENIZER, seed: int = 7
     """(doc_id, source, tokens, upto): ``upto`` is the running sum of tokens in the random order of the source."""
     rows = documents.filter("doc_id IS NOT NULL").select("doc_id", one_kind(F.col("source")).alias("source"), "text")
     sized = rows.mapInPandas(_sizes(tokenizer_path), "doc_id bigint, source string, tokens bigint").filter("source IS NOT NULL AND tokens > 0")
-    keyed = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
+    counts = written(sized, "counts")  # the range sort reads its input twice: to find the ranges and to sort
+    keyed = counts.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
     placed = cut_lineage(keyed.repartitionByRange("source", "key").withColumn("part", F.spark_partition_id()))
+    discard(counts)
     sums = placed.groupBy("source", "part").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))

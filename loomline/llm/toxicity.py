@@ -75,7 +75,7 @@ CUES = {
         "ought to be", "should be", "must be", "have to be", "need to be", "il faut", "faut", "doivent etre", "gehoren", "sollte man", "muss man", "mussen", "hay que", "deberian ser", "deben ser",
     ],
     "degrade": [
-        "vermin", "breed like", "to breed", "like rats", "like animals", "in cages", "lice", "lower than", "less than animals", "than animals", "filth", "by nature", "born thieves", "born liars", "born criminals", "a disease", "a plague", "a cancer", "savages", "subhuman", "subhumans", "inferior", "cockroaches", "parasites", "are animals", "belong in", "breed", "dirt", "decent people", "honest people", "cannot trust", "can not trust", "no peace here", "dirty",
+        "vermin", "breed like", "to breed", "like rats", "like animals", "in cages", "lice", "lower than", "less than animals", "than animals", "than dogs", "than rats", "filth", "by nature", "born thieves", "born liars", "born criminals", "a disease", "a plague", "a cancer", "savages", "subhuman", "subhumans", "inferior", "cockroaches", "parasites", "are animals", "belong in", "breed", "dirt", "decent people", "honest people", "cannot trust", "can not trust", "no peace here", "dirty",
         "vermine", "comme des rats", "par nature", "nuisibles", "sauvages", "sous-hommes", "une maladie", "un fleau", "meritent pas", "faire confiance", "se reproduisent", "gens honnetes", "sales", "ungeziefer", "wie ratten", "von natur aus", "nie trauen", "untermenschen", "keine medizin", "eine plage", "eine seuche", "wilde", "abschaum", "schmarotzer", "vermehren sich", "dreck", "dreckig", "anstandige leute", "minderwertig",
         "una plaga", "como ratas", "por naturaleza", "no te fies", "alimanas", "salvajes", "escoria", "una enfermedad", "infrahumanos", "no merecen", "se reproducen", "mugre", "gente decente", "sucios", "inferiores",
     ],
@@ -86,7 +86,7 @@ CUES = {
     ],
     "sexual": [
         "cock", "horny", "slutty", "naked", "hardcore", "xxx", "dripping", "singles", "strip", "strip live", "on cam", "adult girls", "moaning", "moaned", "spread her legs", "thrust", "thrust into", "inside her", "inside him", "mature couples", "his cock", "climaxed", "climax", "aroused", "erection", "free trial", "no signup", "the profile",
-        "in her mouth", "her mouth", "pulled off his trousers", "took off her", "wet", "screamed", "pussy", "tits", "cum", "nude", "escort", "nipples", "licked", "lick you", "deep throat", "anal", "orgy", "sexy",
+        "in her mouth", "her mouth", "pulled off his trousers", "took off her", "wet", "screamed", "pussy", "tits", "cum", "nude", "escort", "nipples", "licked", "lick you", "feel you come", "make you come", "inside you", "touch yourself", "all over you", "you all over", "deep throat", "anal", "orgy", "sexy",
         "sa queue", "queue", "en gemissant", "gemissant", "arracha le pantalon", "femmes nues", "nue", "nues", "coquines", "chaudes", "en direct ce soir", "spectacle", "celibataires", "le profil", "salopes", "ses seins", "penetra", "jouit", "sans inscription",
         "seinen schwanz", "schwanz", "stohnend", "stohnte", "riss ihm die hose", "nackt", "nackte", "versaute", "geile", "geil", "heute live", "vor der kamera", "ohne anmeldung", "das profil", "in den mund", "in sie ein", "ihre bruste",
         "su polla", "polla", "gimiendo", "bajo el pantalon", "en la boca", "desnuda", "desnudas", "guarras", "calientes", "cachonda", "cachondas", "solteras", "en directo", "sin registro", "mira mujeres", "en el perfil", "sus tetas", "penetro", "se corrio",
