@@ -8,7 +8,10 @@
    of a possible match, and an offset stays if all anchors of some run agree on it, as those of any exact
    match do.
 3. Intersection: at such offsets the lists of the other terms are joined in, and runs of consecutive
-   positions of at least ``length`` words are exact matches; their total per item is the proximity count.
+   positions of at least ``length`` words are exact matches.
+4. Proximity: the same lists are intersected with slack. Where all but one of the anchors of a run stand at offsets that
+   differ by less than twice ``slack``, the lists of the other terms are joined in, and an item of which ``length`` of some ``near_window``
+   consecutive words stand there, in any order and with other words between them, is a near match.
 
 Nulls: documents or items with a null id or text are left out. Repeated rows count once. Extra columns
 are ignored; an empty side gives no rows. Items of fewer than ``length`` words can't leak.
@@ -75,8 +78,12 @@ def index(documents: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
     return written(rows.mapInPandas(_postings(vocabulary), "doc_id bigint, terms array<bigint>, places array<int>"), "postings")
 
 
-def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: int = 4, max_vocabulary: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, field, longest_run, matched_words, first_pos): exact runs of at least ``length`` words."""
+def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: int = 4, max_vocabulary: int = 200_000, near: bool = False, near_window: int = 15, slack: int = 6) -> DataFrame:
+    """(doc_id, item_id, field, longest_run, matched_words, first_pos): exact runs of at least ``length`` words.
+
+    With ``near`` there are also a ``kind``, exact or near, and the ``share`` of the item's words that stand there; a near match has no
+    exact one of the same item, its ``longest_run`` is null and ``matched_words`` counts the item's words that are met.
+    """
     terms = cut_lineage(test_terms(items))
     words = [r[0] for r in terms.select("word").distinct().limit(max_vocabulary + 1).collect()]
     postings = index(documents, {w: term_id(w) for w in words} if len(words) <= max_vocabulary else None)
@@ -102,7 +109,32 @@ def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: in
         .groupBy("doc_id", "item_id", "field", "shift", "island").agg(F.count("*").alias("words"), F.min(F.col("tpos") + F.col("shift")).alias("first_pos"))
         .filter(F.col("words") >= length)
     )
-    return runs.groupBy("doc_id", "item_id", "field").agg(F.max("words").alias("longest_run"), F.sum("words").alias("matched_words"), F.min("first_pos").alias("first_pos"))
+    exact = runs.groupBy("doc_id", "item_id", "field").agg(F.max("words").alias("longest_run"), F.sum("words").alias("matched_words"), F.min("first_pos").alias("first_pos"))
+    if not near:
+        return exact
+    exact = cut_lineage(exact)
+    sizes = terms.groupBy("item_id", "field").agg(F.count("*").alias("item_words"))
+    found = _near(postings, lists.join(anchors, "term"), terms, windows, length, rarest, near_window, slack).join(exact.select("doc_id", "item_id", "field"), ["doc_id", "item_id", "field"], "left_anti")
+    both = exact.withColumn("kind", F.lit("exact")).unionByName(found.withColumn("longest_run", F.lit(None).cast("bigint")).withColumn("kind", F.lit("near")))
+    return both.join(broadcast_if_small(sizes), ["item_id", "field"]).withColumn("share", F.round(F.least(F.lit(1.0), F.col("matched_words") / F.col("item_words")), 6)).drop("item_words")
+
+
+def _near(postings: DataFrame, met: DataFrame, terms: DataFrame, windows: DataFrame, length: int, rarest: int, near_window: int, slack: int) -> DataFrame:
+    """(doc_id, item_id, field, matched_words, first_pos) of near matches. A band holds the offsets from (band - 1) x slack to below (band + 1) x slack,
+    so that any two offsets less than ``slack`` apart share one."""
+    low = F.floor((F.col("pos") - F.col("tpos")) / slack)
+    banded = met.withColumn("band", F.explode(F.array(low, low + 1))).groupBy("doc_id", "item_id", "field", "band").agg(F.collect_set("tpos").alias("at")).filter(F.size("at") >= rarest - 1)
+    most = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("at"))) <= 1)
+    places = cut_lineage(banded.join(broadcast_if_small(cut_lineage(windows)), ["item_id", "field"]).filter(most).select("doc_id", "item_id", "field", "band"))
+    hit = postings.join(broadcast_if_small(places.select("doc_id").distinct()), "doc_id", "left_semi")
+    of_hits = hit.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
+    expected = places.join(broadcast_if_small(terms.drop("word")), ["item_id", "field"])
+    shift = F.col("pos") - F.col("tpos")
+    inside = expected.join(of_hits, ["doc_id", "term"]).filter((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
+    words = inside.groupBy("doc_id", "item_id", "field", "band", "tpos").agg(F.min("pos").alias("pos"))
+    following = Window.partitionBy("doc_id", "item_id", "field", "band").orderBy("tpos").rangeBetween(0, near_window - 1)
+    dense = words.withColumn("n", F.count("*").over(following)).groupBy("doc_id", "item_id", "field", "band").agg(F.max("n").alias("n"), F.count("*").alias("matched_words"), F.min("pos").alias("first_pos"))
+    return dense.filter(F.col("n") >= length).groupBy("doc_id", "item_id", "field").agg(F.max("matched_words").alias("matched_words"), F.min("first_pos").alias("first_pos"))
 
 
 def leaks(found: DataFrame) -> DataFrame:

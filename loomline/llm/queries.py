@@ -60,7 +60,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.matches(table(spark, d, "documents"), table(spark, d, "eval_questions"))
+    return leakage.matches(table(spark, d, "documents"), table(spark, d, "eval_questions"), near=True)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -460,6 +460,25 @@ def test_leaks_against_brute_force(spark):
     assert leakage.matches(df.limit(0), ev).count() == 0 and leakage.matches(df, ev.limit(0)).count() == 0
 
 
+def test_near_matches(spark):
+    """An item with a word changed every eleven words, with words inserted or two exchanged has no exact run, and comes out as near."""
+    rnd = random.Random(12)
+    text = [rnd.choice(WORDS) for _ in range(44)]
+    changed = [w if k % 11 else "other" for k, w in enumerate(text)]
+    inserted = [x for k, w in enumerate(text) for x in ([w, "well"] if k % 9 == 5 else [w])]
+    exchanged = [text[k + (1, -1)[k % 2]] if k % 10 in (4, 5) else w for k, w in enumerate(text)]
+    shuffled = rnd.sample(text, len(text))
+    filler = [rnd.choice(WORDS) for _ in range(60)]
+    docs = [(k, " ".join(filler + w + filler)) for k, w in enumerate([text, changed, inserted, exchanged, shuffled[:20] + filler * 9 + shuffled[20:], []])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ev = spark.createDataFrame([("e", " ".join(text), None)], "id string, question string, reference_answer string")
+    got = {r.doc_id: r for r in leakage.matches(df, ev, near=True).collect()}
+    assert {k: r.kind for k, r in got.items()} == {0: "exact", 1: "near", 2: "near", 3: "near"}
+    assert got[0].share == 1.0 and all(got[k].matched_words >= 36 and got[k].share > 0.8 for k in (1, 2, 3))
+    assert {r.doc_id for r in leakage.leaks(leakage.matches(df, ev)).collect()} == {0}
+    assert leakage.matches(df.limit(0), ev, near=True).count() == 0 and leakage.matches(df, ev.limit(0), near=True).count() == 0
+
+
 def test_plain_words():
     assert common.plain_words("The <b>Café</b> &amp; mars-\nhland x; qu&#39;il sÃ©ché") == ["the", "cafe", "marshland", "x", "qu", "il", "seche"]
 
