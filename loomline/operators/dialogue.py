@@ -40,10 +40,14 @@ def width(q: Column) -> Column:
 
 
 def gibberish(q: Column) -> Column:
-    """Four equal letters in a row, or at least four letters and no vowel, or five consonants in a row in each long word."""
-    n = F.lower(F.coalesce(q, F.lit("")))
-    long = F.filter(T.letters(n), lambda w: F.length(w) >= 5)
-    return n.rlike(r"(\p{L})\1{3,}") | (n.rlike(r"^[^aeiouyäöüàâéèêëîïôûùáíóúœ]*$") & (F.length(F.regexp_replace(n, r"\P{L}", "")) >= 4)) | ((F.size(long) > 0) & F.forall(long, lambda w: w.rlike(r"[bcdfghjklmnpqrstvwxz]{5,}")))
+    """One character four times or more in a row, or at least four letters a-z and no vowel, or five consonants in a row in any word, or no
+    vowel in any word of letters, each of four or more (so also if there is no such word)."""
+    n = F.rtrim(F.regexp_replace(F.lower(F.coalesce(q, F.lit(""))), r"^\s+|\s+$", ""), F.lit("!?."))
+    bare = F.regexp_replace(n, "[^a-z]", "")
+    words = F.split(n, r"\s+")
+    dense = F.exists(words, lambda w: F.regexp_replace(w, "[^a-z]", "").rlike("[bcdfghjklmnpqrstvwxz]{5,}"))
+    dull = F.forall(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), lambda w: (F.length(w) >= 4) & ~w.rlike("[aeiou]"))
+    return n.rlike(r"([^\n])\1{3,}") | ((F.length(bare) >= 4) & ~bare.rlike("[aeiou]")) | dense | dull
 
 
 def event_time(ts: Column) -> Column:

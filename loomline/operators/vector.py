@@ -67,21 +67,34 @@ def knn_join(corpus: DataFrame, queries: DataFrame, k: int, exclude_same: bool =
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), **({"same": pd.Series(dtype="bool")} if by_label else {})})
         right = right.sort_values("id")
-        s = np.round(_unit(left["vec"]) @ _unit(right["vec"]).T, 6)
-        ids, qids = right["id"].to_numpy(), left["qid"].to_numpy()
-        if exclude_same:
-            s[qids[:, None] == ids[None, :]] = -np.inf
-        if not by_label:
-            return nearest(s, ids, qids)
-        a, b = left["label"].to_numpy()[:, None], right["label"].to_numpy()[None, :]
-        known = left["label"].notna().to_numpy()[:, None] & right["label"].notna().to_numpy()[None, :]
-        return pd.concat([nearest(np.where(known & ((a == b) == same), s, -np.inf), ids, qids).assign(same=same) for same in (True, False)])
+        ids, all_qids, across = right["id"].to_numpy(), left["qid"].to_numpy(), _unit(right["vec"]).T
+        rows = max(1, 4_000_000 // len(ids))  # of queries at once: 32 MB of scores
+        out = []
+        for at in range(0, len(left), rows):
+            part = left.iloc[at : at + rows]
+            qids = all_qids[at : at + rows]
+            s = _unit(part["vec"]) @ across
+            np.round(s, 6, out=s)
+            if exclude_same:
+                s[qids[:, None] == ids[None, :]] = -np.inf
+            if not by_label:
+                out.append(nearest(s, ids, qids))
+                continue
+            a, b = part["label"].to_numpy()[:, None], right["label"].to_numpy()[None, :]
+            known = part["label"].notna().to_numpy()[:, None] & right["label"].notna().to_numpy()[None, :]
+            out += [nearest(np.where(known & ((a == b) == same), s, -np.inf), ids, qids).assign(same=same) for same in (True, False)]
+        return pd.concat(out)
 
     def nearest(s: np.ndarray, ids: np.ndarray, qids: np.ndarray) -> pd.DataFrame:
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(s, top, axis=1)
-        out = pd.DataFrame({"qid": np.repeat(qids, top.shape[1]), "id": ids[top].ravel(), "score": score.ravel()})
-        return out[np.isfinite(out["score"])]
+        """The k best of each row by a partial sort; ties at the k-th score go to the lower id, in the order of the columns."""
+        least = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(s), -np.inf)
+        i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(s)))
+        kept = np.arange(len(i)) - first[i] < k
+        i, j = i[kept], j[kept]
+        return pd.DataFrame({"qid": qids[i], "id": ids[j], "score": s[i, j]})
 
     best = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(block, "qid bigint, id bigint, score double" + (", same boolean" if by_label else ""))
     order = Window.partitionBy("qid", *(["same"] if by_label else [])).orderBy(F.desc("score"), "id")

@@ -47,7 +47,12 @@ def gate_cascade(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select(F.coalesce(D.small_talk(q), F.lit("question")).alias("gate"), D.width(q).alias("width")).groupBy("gate", "width").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"""WITH {_LOG}, t AS (SELECT id, rtrim(regexp_replace(lower(coalesce(question, '')), '^\\s+|\\s+$', '', 'g'), '!?.') AS q FROM log),
+w AS (SELECT q, regexp_replace(q, '[^a-z]', '', 'g') AS l, string_split_regex(q, '\\s+') AS ws FROM t)
+SELECT len(list_filter(range(1, length(q) - 2), lambda i: substr(q, i, 4) = repeat(substr(q, i, 1), 4) AND substr(q, i, 1) <> chr(10))) > 0
+OR (length(l) >= 4 AND NOT regexp_matches(l, '[aeiou]'))
+OR len(list_filter(ws, lambda x: regexp_matches(regexp_replace(x, '[^a-z]', '', 'g'), '[bcdfghjklmnpqrstvwxz]{{5,}}'))) > 0
+OR len(list_filter(ws, lambda x: regexp_full_match(x, '\\p{{L}}+') AND NOT (length(x) >= 4 AND NOT regexp_matches(x, '[aeiou]')))) = 0 AS gibberish, count(*) AS rows FROM w GROUP BY 1""")
 def gibberish_filter(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select("id", D.gibberish(F.col("question")).alias("gibberish")).groupBy("gibberish").agg(F.count("*").alias("rows"))
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import ensure_checkpoint_dir, table
+from loomline.session import ensure_checkpoint_dir, exists, table
 from loomline.streaming.state import ema_update
 
 
@@ -24,10 +24,23 @@ def _place(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run with ``availableNow``; each batch goes to its own folder, so a repeated batch replaces itself. For ``complete`` the
-    last batch is the result, else all batches are."""
-    spark, place = stream.sparkSession, _place(stream.sparkSession)
+def closable(events: DataFrame) -> tuple[DataFrame, str]:
+    """The stream and beside it the rows of a folder, empty at first. A row far in the future written there (``close``) moves the watermark past
+    all windows, so that ``append`` hands out those still open at the end of the input."""
+    spark, place = events.sparkSession, _place(events.sparkSession)
+    spark.createDataFrame([], events.schema).write.parquet(f"{place}/closing")
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(f"{place}/closing")), place
+
+
+def close(spark: SparkSession, place: str, row: DataFrame) -> None:
+    row.write.mode("append").parquet(f"{place}/closing")
+
+
+def run_to_end(stream: DataFrame, mode: str, place: str | None = None) -> DataFrame:
+    """Run with ``availableNow``; each batch goes to its own folder, so a repeated batch replaces itself, and the result is what all
+    batches wrote. With the ``place`` of an earlier run, that run goes on. In ``append`` mode a window comes out once the watermark has passed its
+    end, and its state is dropped; in ``update`` mode each batch hands out what it changed."""
+    spark, place = stream.sparkSession, place or _place(stream.sparkSession)
     last: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
@@ -35,9 +48,9 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
         last.append(number)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    out = spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out/batch={last[-1]}" if mode == "complete" else f"{place}/out")
+    if not last and not exists(spark, f"{place}/out"):
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0)).select("batch", *stream.columns)
+    out = spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out")
     return out.select("batch", *stream.columns)
 
 
@@ -58,10 +71,11 @@ def running_ema(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(ema_update, "user_id bigint, n bigint, ema double", "value double, n bigint", "update", "NoTimeout")
 
 
-def latest(updates: DataFrame, key: str, order: str) -> DataFrame:
+def latest(updates: DataFrame, key: str | tuple[str, ...], order: str) -> DataFrame:
     """The last update of each key."""
-    rest = [c for c in updates.columns if c not in (key, "batch")]
-    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+    keys = (key,) if isinstance(key, str) else key
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
 Twin = Callable[[DataFrame], DataFrame]

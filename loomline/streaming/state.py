@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from math import exp
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +54,14 @@ def elo_batch(events: DataFrame) -> DataFrame:
 
 
 def ema_update(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Streaming twin of the closed-form mean: one value per user in the state store."""
+    """Streaming twin of the closed-form mean: one value per user in the state store. A user's rows of a batch may come in several
+    chunks in any order, so their times and values (16 bytes a row) are put in order first and then folded in one sum."""
     value, n = state.get if state.exists else (0.5, 0)
-    for pdf in frames:
-        for p in pdf.sort_values(["ts", "event_id"])["p"]:
-            value, n = 0.9 * value + 0.1 * float(p), n + 1
+    parts = [(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64), pdf["event_id"].to_numpy(np.int64), pdf["p"].to_numpy(np.float64)) for pdf in frames]
+    ts, event, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+    p = p[np.lexsort((event, ts))]
+    value = value * 0.9 ** len(p) + float(np.sum(0.1 * 0.9 ** np.arange(len(p) - 1, -1, -1) * p))
+    n += len(p)
     state.update((value, n))
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ema": [round(value, 6)]})
 

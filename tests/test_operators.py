@@ -273,3 +273,38 @@ def test_limiter_refusals_do_not_count(spark):
         let[k] = recent + [us] * want[i]
     got = {r.id: r.allowed for r in limited(spark.createDataFrame(calls, "key string, id long, us long"), 3, 60).collect()}
     assert got == want
+
+
+def test_ema_update_over_several_chunks(spark):
+    """More rows of one user in a batch than one chunk holds, in any order and in two files: folded in order of time."""
+    import datetime as dt
+
+    from loomline.streaming import events as S
+
+    rnd = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(7 if k % 10 else 8, start + dt.timedelta(seconds=k), k, float(rnd.random() < 0.5)) for k in range(24_000)]
+    rnd.shuffle(rows)
+    from loomline.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    place = spark.sparkContext._jsc.sc().getCheckpointDir().get() + "/ema-test"
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, p double").coalesce(1).repartition(2).write.mode("overwrite").parquet(place)
+    stream = spark.readStream.schema("user_id long, ts timestamp, event_id long, p double").parquet(place)
+    got = {r.user_id: r for r in S.latest(S.run_to_end(S.running_ema(stream), "update"), "user_id", "n").collect()}
+    for user in (7, 8):
+        value = 0.5
+        own = sorted(r for r in rows if r[0] == user)
+        for *_, p in own:
+            value = 0.9 * value + 0.1 * p
+        assert got[user].n == len(own) and abs(got[user].ema - value) < 1e-5
+
+
+@pytest.mark.parametrize(
+    "question,want",
+    [("hellllo there", True), ("what is asdfghjk salt", True), ("sdfds qwrtz", True), ("is salt good", False), ("rhythm of sleep", False), ("aaaa", True), ("!!!", True), ("why    salt", True), ("thyroid strengths", True), ("good strength", False), (None, True)],
+)
+def test_gibberish(spark, question, want):
+    from loomline.operators.dialogue import gibberish
+
+    assert spark.createDataFrame([(question,)], "q string").select(gibberish(F.col("q"))).first()[0] is want
