@@ -72,3 +72,30 @@ def triples(df: DataFrame, id_col: str, text_col: str, relations: dict[str, list
     for r, verbs in relations.items():
         relation = relation.when(F.col("t.v").isin(*verbs), F.lit(r))
     return long.select("id", name(F.col("t.s")).alias("subject"), relation.alias("relation"), name(F.col("t.o")).alias("object"))
+
+
+# Concepts of the test corpus by kind; a parameter of the operators.
+CONCEPTS = {
+    "hormone": ["progesterone", "estrogen", "cortisol", "adrenalin", "thyroid extract"],
+    "process": ["lipid peroxidation", "wound healing", "stress reaction", "sluggish digestion", "slow breathing"],
+    "condition": ["dry skin", "nightly waking", "emotional strain", "bowel irritation", "estrogen excess"],
+    "remedy": ["orange juice", "coconut oil", "red light", "gelatin broth", "raw carrot"],
+}
+
+
+def concepts(df: DataFrame, text_col: str, kinds: dict[str, list[str]] | None = None, least: int = 3) -> DataFrame:
+    """(concept, kind, n): how often each known concept stands at word limits in the texts, where at least ``least`` times. Where one name
+    holds another the longer one counts; counts are added up before the shuffle. Null texts hold none."""
+    kinds = kinds or CONCEPTS
+    kind_of = {c.lower(): k for k, names in kinds.items() for c in names}
+    pattern = r"\b(" + "|".join(sorted(kind_of, key=lambda c: (-len(c), c))) + r")\b"
+    found = df.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(pattern), F.lit(1))).alias("concept"))
+    kind = F.create_map(*[F.lit(x) for pair in kind_of.items() for x in pair])
+    return found.groupBy("concept").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("concept", kind[F.col("concept")].alias("kind"), "n")
+
+
+def between_known(stated: DataFrame, known: DataFrame) -> DataFrame:
+    """Triples (subject, relation, object) whose both ends are known concepts, with the kinds of both; the list of concepts is a bounded parameter."""
+    ends = F.broadcast(known.select("concept", "kind"))
+    one = stated.join(ends.select(F.col("concept").alias("subject"), F.col("kind").alias("subject_kind")), "subject")
+    return one.join(ends.select(F.col("concept").alias("object"), F.col("kind").alias("object_kind")), "object")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,8 @@ def popularity_metrics(train: DataFrame, test: DataFrame, k: int = 10) -> DataFr
         F.count("*").alias("users"), F.round(F.avg(rank.isNotNull().cast("int")), 6).alias("hit_rate"),
         F.round(F.avg(F.coalesce(1.0 / F.log2(rank + 1.0), F.lit(0.0))), 6).alias("ndcg"), F.round(F.avg(F.coalesce(1.0 / rank, F.lit(0.0))), 6).alias("map"),
     )
+
+
+def rating_target(feedback: Column) -> Column:
+    """A rating of 1 to 10 as a target in [0, 1], a thumb down (-1) as 0; any other feedback gives none."""
+    return F.when(feedback.between(1, 10), (feedback - 1) / 9.0).when(feedback == -1, F.lit(0.0))

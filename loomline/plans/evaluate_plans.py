@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.plans.corpus_plans import _KIND_SQL, _kind, _wc, _words
-from loomline.plans.registry import query
+from loomline.plans.registry import SQL, query
 from loomline.plans.vector_plans import _COS, _KNN, _knn
 from loomline.session import table
 
@@ -124,3 +124,58 @@ SELECT yes > no AS toxic, coalesce(q <= 2, false) AS low_quality, count(*) AS do
 def label_confusion(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "review_labels").groupBy("doc_id").agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") == 0).alias("no"), F.avg("quality").alias("q"))
     return g.groupBy((F.col("yes") > F.col("no")).alias("toxic"), F.coalesce(F.col("q") <= 2, F.lit(False)).alias("low_quality")).agg(F.count("*").alias("documents"), F.sum(F.when((F.col("yes") > 0) & (F.col("no") > 0), 1).otherwise(0)).alias("disputed"))
+
+
+@query(f"""WITH g AS ({SQL["hard_negatives"]}) SELECT v.label, count(*) AS queries, count(gap) AS pairs, round(avg(gap), 6) AS mean_gap, min(gap) AS least_gap, max(gap) AS greatest_gap, count(*) FILTER (WHERE gap >= 0) AS well_ordered FROM g JOIN embeddings v ON v.vec_id = g.qid GROUP BY 1""")
+def mined_gap_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps between positive and negative of the mined rows, by label."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "label")
+    return hard_negatives(spark, d).join(labels, "qid").groupBy("label").agg(
+        F.count("*").alias("queries"), F.count("gap").alias("pairs"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.min("gap").alias("least_gap"), F.max("gap").alias("greatest_gap"), F.count_if(F.col("gap") >= 0).alias("well_ordered")
+    )
+
+
+@query("""WITH a AS (SELECT DISTINCT id, answer, sources FROM conversations WHERE id IS NOT NULL AND answer IS NOT NULL),
+q AS (SELECT id, unnest(list_distinct(regexp_extract_all(answer, '"([^"]{20,})"', 1))) AS quote FROM a),
+s AS (SELECT id, unnest(CAST(json_extract_string(CASE WHEN json_valid(sources) THEN sources ELSE '[]' END, '$[*]') AS VARCHAR[])) AS f FROM a),
+f AS (SELECT DISTINCT id, replace(f, chr(92), '/') AS f FROM s), t AS (SELECT replace(source_file, chr(92), '/') AS f, ray_peat_response AS x FROM search_results)
+SELECT count(*) AS quotes, count(*) FILTER (WHERE found) AS in_a_source, count(*) FILTER (WHERE NOT found) AS fabricated FROM (
+SELECT q.id, q.quote, coalesce(bool_or(contains(t.x, q.quote)), false) AS found FROM q LEFT JOIN f ON f.id = q.id LEFT JOIN t ON t.f = f.f GROUP BY 1, 2)""")
+def fabricated_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotations of twenty characters or more in answers, and whether a passage of a source that the answer names holds them. Passages are read
+    once and joined by file only for answers that quote."""
+    answers = table(spark, d, "conversations").filter("id IS NOT NULL AND answer IS NOT NULL").select("id", "answer", "sources").distinct()
+    quotes = answers.select("id", "sources", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit('"([^"]{20,})"'), F.lit(1)))).alias("quote"))
+    named = quotes.select("id", "quote", F.explode_outer(F.array_distinct(F.transform(F.from_json("sources", "array<string>"), lambda f: F.replace(f, F.lit("\\"), F.lit("/"))))).alias("f"))
+    passages = table(spark, d, "search_results").select(F.replace("source_file", F.lit("\\"), F.lit("/")).alias("f"), F.col("ray_peat_response").alias("x"))
+    found = named.join(passages, "f", "left").groupBy("id", "quote").agg(F.coalesce(F.max(F.contains("x", "quote")), F.lit(False)).alias("found"))
+    return found.agg(F.count("*").alias("quotes"), F.count_if("found").alias("in_a_source"), F.count_if(~F.col("found")).alias("fabricated"))
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(trim(primary_topic)) AS topic FROM search_results WHERE trim(primary_topic) <> ''), n AS (SELECT lower(trim(primary_topic)) AS topic, count(*) AS n FROM search_results GROUP BY 1),
+w AS (SELECT DISTINCT id, lower(trim(unnest(expected_topics))) AS want FROM eval_questions), e AS (SELECT w.id, t.topic FROM w JOIN t ON t.topic = w.want),
+p AS (SELECT DISTINCT id, unnest(string_split(want, ' ')) AS word FROM w WHERE id NOT IN (SELECT id FROM e)), l AS (SELECT DISTINCT p.id, t.topic FROM p JOIN t ON contains(t.topic, p.word) WHERE length(word) >= 4),
+b AS (SELECT id, topic, 'exact' AS how FROM e UNION ALL SELECT id, topic, 'word' FROM l) SELECT id, how, count(*) AS topics, CAST(sum(n) AS BIGINT) AS passages FROM (SELECT DISTINCT * FROM b) JOIN n USING (topic) GROUP BY 1, 2""")
+def topic_filter_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of the topics that a test item expects: by equal topic, and where no topic is equal by words of four letters or more in it."""
+    n = table(spark, d, "search_results").groupBy(F.lower(F.trim("primary_topic")).alias("topic")).agg(F.count("*").alias("n"))
+    topics = n.filter("topic <> ''")
+    want = table(spark, d, "eval_questions").select("id", F.explode("expected_topics").alias("want")).select("id", F.lower(F.trim("want")).alias("want")).distinct()
+    exact = want.join(topics, want["want"] == topics["topic"]).select("id", "topic", "n").distinct()
+    words = want.join(exact.select("id").distinct(), "id", "left_anti").select("id", F.explode(F.split("want", " ")).alias("word")).filter(F.length("word") >= 4).distinct()
+    like = words.join(topics, F.contains("topic", "word")).select("id", "topic", "n").distinct()
+    both = exact.withColumn("how", F.lit("exact")).unionByName(like.withColumn("how", F.lit("word")))
+    return both.groupBy("id", "how").agg(F.count("*").alias("topics"), F.sum("n").alias("passages"))
+
+
+@query("""WITH c AS (SELECT doc_id, max(octet_length(encode(text))) AS bytes, max(ingested_at) AS kept_at FROM documents WHERE text IS NOT NULL GROUP BY 1), r AS (SELECT doc_id, count(*) AS reads FROM chunk_metadata GROUP BY 1)
+SELECT count(*) AS entries, round(sum(bytes) / 1048576.0, 6) AS megabytes, epoch_us(min(kept_at)) AS oldest_us, arg_max(doc_id, {'r': coalesce(reads, 0), 'd': -doc_id}) AS most_read, max(reads) AS most_reads FROM c LEFT JOIN r USING (doc_id)""")
+def cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A store of texts: entries, size, oldest entry and the one read most often."""
+    entries = table(spark, d, "documents").filter("text IS NOT NULL").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"), F.max("ingested_at").alias("at"))
+    reads = table(spark, d, "chunk_metadata").groupBy("doc_id").agg(F.count("*").alias("reads"))
+    both = entries.join(reads, "doc_id", "left")
+    return both.agg(
+        F.count("*").alias("entries"), F.round(F.sum("bytes") / 1048576.0, 6).alias("megabytes"), F.unix_micros(F.min(F.col("at").cast("timestamp"))).alias("oldest_us"),
+        F.max_by("doc_id", F.struct(F.coalesce("reads", F.lit(0)).alias("r"), (-F.col("doc_id")).alias("d"))).alias("most_read"), F.max("reads").alias("most_reads"),
+    )

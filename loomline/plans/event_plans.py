@@ -179,3 +179,42 @@ def tfidf_topics(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
     return tfidf_kmeans(docs, 8)
+
+
+@query()
+def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Report of the topic model: size, label, best terms and examples of each cluster."""
+    from loomline.operators.models import topic_report, topics
+
+    return topic_report(*topics(table(spark, d, "documents")))
+
+
+def _stop_words() -> str:
+    from loomline.operators.models import STOP
+
+    return ", ".join(f"'{w}'" for w in STOP)
+
+
+@query(rf"""WITH t AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: length(x) >= 3 AND x NOT IN ({_stop_words()})) AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM t)
+SELECT term, count(*) AS df FROM (SELECT unnest(g) AS term FROM g) GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.6 * (SELECT count(*) FROM t)""")
+def topic_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    from loomline.operators.models import vocabulary
+
+    return vocabulary(table(spark, d, "documents"))
+
+
+@query("""WITH r AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 13 - 1 AS feedback FROM events), t AS (SELECT user_id, CASE WHEN feedback BETWEEN 1 AND 10 THEN (feedback - 1) / 9.0 WHEN feedback = -1 THEN 0.0 END::DOUBLE AS target FROM r)
+SELECT user_id, count(*) AS rows, count(target) AS rated, round(avg(target), 6) AS mean_target FROM t GROUP BY 1""")
+def rating_targets(spark: SparkSession, d: str) -> DataFrame:
+    feedback = F.floor("value").cast("bigint") % 13 - 1
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("rows"), F.count(L.rating_target(feedback)).alias("rated"), F.round(F.avg(L.rating_target(feedback)), 6).alias("mean_target"))
+
+
+@query(f"""WITH {_E}, day AS (SELECT user_id, topic, date_trunc('day', ts) AS d, sum(p) AS hits, count(p) AS n FROM e WHERE p IS NOT NULL GROUP BY 1, 2, 3)
+SELECT user_id, topic, epoch_us(d) AS day_us, CAST(sum(n) OVER w AS BIGINT) AS seen, round(sum(hits) OVER w / sum(n) OVER w, 6) AS ability FROM day WINDOW w AS (PARTITION BY user_id, topic ORDER BY d)""")
+def ability_history(spark: SparkSession, d: str) -> DataFrame:
+    """Ability of each user and topic after each day; events are added up by day first, so that a window holds days and not events."""
+    day = _events(spark, d).filter("p IS NOT NULL").groupBy("user_id", "topic", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at")).agg(F.sum("p").alias("hits"), F.count("p").alias("n"))
+    w = Window.partitionBy("user_id", "topic").orderBy("at")
+    return day.select("user_id", "topic", F.unix_micros("at").alias("day_us"), F.sum("n").over(w).alias("seen"), F.round(F.sum("hits").over(w) / F.sum("n").over(w), 6).alias("ability"))

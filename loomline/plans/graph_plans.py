@@ -105,3 +105,24 @@ def two_hop(spark: SparkSession, d: str) -> DataFrame:
     two = x.join(y, "mid").filter("node <> other").groupBy("node", "other").agg(F.max(F.round(F.col("s1") * F.col("s2") * F.lit(0.7), 4)).alias("strength"))
     o = two.join(k.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
     return o.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("strength"), "other"))).filter("r <= 3").select("node", "other", "strength")
+
+
+_NAMES = "|".join(sorted((c for cs in G.CONCEPTS.values() for c in cs), key=lambda c: (-len(c), c)))
+_KIND = "CASE " + " ".join(f"WHEN concept IN ({', '.join(map(_q, cs))}) THEN {_q(k)}" for k, cs in G.CONCEPTS.items()) + " END"
+_CONCEPTS = rf"""c AS (SELECT concept, {_KIND} AS kind, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '\b({_NAMES})\b', 1)) AS concept FROM documents) GROUP BY 1, 2 HAVING count(*) >= 3)"""
+_VERBS = "|".join(v for vs in G.RELATIONS.values() for v in vs)
+_RELATION = "CASE " + " ".join(f"WHEN v IN ({', '.join(map(_q, vs))}) THEN {_q(r)}" for r, vs in G.RELATIONS.items()) + " END"
+
+
+@query(f"WITH {_CONCEPTS} SELECT * FROM c")
+def concept_counts(spark: SparkSession, d: str) -> DataFrame:
+    return G.concepts(table(spark, d, "documents"), "text")
+
+
+@query(rf"""WITH {_CONCEPTS}, m AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z]+ [a-z]+) ({_VERBS}) ([a-z]+ [a-z]+)', 0)) AS m FROM documents),
+t AS (SELECT trim(regexp_replace(regexp_extract(m, '^(.*?) ({_VERBS}) (.*)$', 1), '^(the|a|an) ', '')) AS subject, regexp_extract(m, '^([a-z]+ [a-z]+) ({_VERBS}) ', 2) AS v, trim(regexp_replace(regexp_extract(m, '^[a-z]+ [a-z]+ ({_VERBS}) (.*)$', 2), '^(the|a|an) ', '')) AS object FROM m)
+SELECT subject, {_RELATION} AS relation, object, x.kind AS subject_kind, y.kind AS object_kind, count(*) AS n FROM t JOIN c x ON x.concept = subject JOIN c y ON y.concept = object GROUP BY ALL""")
+def concept_pairs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    known = G.between_known(G.triples(docs, "doc_id", "text"), G.concepts(docs, "text"))
+    return known.groupBy("subject", "relation", "object", "subject_kind", "object_kind").agg(F.count("*").alias("n"))
