@@ -123,7 +123,10 @@ def _near(postings: DataFrame, met: DataFrame, terms: DataFrame, windows: DataFr
     """(doc_id, item_id, field, matched_words, first_pos) of near matches. A band holds the offsets from (band - 1) x slack to below (band + 1) x slack,
     so that any two offsets less than ``slack`` apart share one."""
     low = F.floor((F.col("pos") - F.col("tpos")) / slack)
-    banded = met.withColumn("band", F.explode(F.array(low, low + 1))).groupBy("doc_id", "item_id", "field", "band").agg(F.collect_set("tpos").alias("at")).filter(F.size("at") >= rarest - 1)
+    both = met.groupBy("doc_id", "item_id", "field").agg(F.collect_set(F.struct(low.alias("low"), "tpos")).alias("met")).filter(F.size("met") >= rarest - 1)  # bounded by the anchors in one document
+    bands = F.array_distinct(F.flatten(F.transform("met", lambda m: F.array(m["low"], m["low"] + 1))))
+    inside = F.filter("met", lambda m: (m["low"] == F.col("band")) | (m["low"] == F.col("band") - 1))
+    banded = both.withColumn("band", F.explode(bands)).withColumn("at", F.array_distinct(F.transform(inside, lambda m: m["tpos"]))).filter(F.size("at") >= rarest - 1)
     most = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("at"))) <= 1)
     places = cut_lineage(banded.join(broadcast_if_small(cut_lineage(windows)), ["item_id", "field"]).filter(most).select("doc_id", "item_id", "field", "band"))
     hit = postings.join(broadcast_if_small(places.select("doc_id").distinct()), "doc_id", "left_semi")
