@@ -9,8 +9,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
+
 RULE = "\n\n---\nSources:\n"
 
+# Phrases by which an answer abstains or pushes back on the question; {person} stands for the name of the author asked
+# about, a parameter. Phrases with a person are left out where no name is given.
+ABSTAINS = [
+    "sources do not cover", "sources don't cover", "sources do not discuss", "sources don't discuss", "not covered in the sources", "not covered in the corpus", "not addressed in the sources",
+    "insufficient sources", "insufficient_sources", "insufficient information", "no information in the sources", "no coverage", "no direct coverage", "no evidence in the sources", "cannot find",
+    "unable to find", "i cannot answer", "i can't answer", "cannot provide", "does not appear in", "doesn't appear in", "did not address", "didn't address", "never addressed", "never discussed",
+    "no record of", "not discussed by {person}", "{person} did not discuss", "{person} didn't discuss", "don't have sufficient information", "do not have sufficient information",
+    "answer this question reliably", "weakly related to your query",
+]
+PUSHES_BACK = [
+    "actually opposed", "actually considered", "in fact opposed", "the premise", "opposite of", "contrary to", "{person} did not recommend", "{person} didn't recommend", "{person} opposed",
+    "{person} warned against", "{person} was opposed", "{person} was skeptical", "{person} considered", "{person} viewed", "this misrepresents", "this is a misattribution", "mischaracteriz", "{person} actually",
+]
+
+
+def phrases(kind: list[str], person: str | None = None) -> list[str]:
+    return [p.format(person=person.lower()) if person else p for p in kind if person or "{person}" not in p]
+
+
+def abstention(answer: Column, person: str | None = None) -> Column:
+    """``abstained``, ``premise_rejected`` or ``answered``; abstaining wins. Null or empty counts as answered."""
+    return F.when(T.any_of(answer, phrases(ABSTAINS, person)), "abstained").when(T.any_of(answer, phrases(PUSHES_BACK, person)), "premise_rejected").otherwise("answered")
+
+
+def without_claims(answer: Column, claims: Column) -> Column:
+    """The answer without the sentences that hold one of the ``claims`` or are held by one, regardless of case; null claims strip nothing."""
+
+    def kept(s: Column) -> Column:
+        low = F.lower(s)
+        return ~F.exists(F.coalesce(claims, F.array().cast("array<string>")), lambda c: F.contains(low, F.lower(c)) | F.contains(F.lower(c), low))
+
+    return F.array_join(F.filter(T.sentences(answer), kept), " ")
+
 
 def render_footer(body: Column, sources: Column, confidence: Column) -> Column:
     """Body, numbered sources (an array of paths) and a confidence line."""

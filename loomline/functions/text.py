@@ -64,3 +64,8 @@ def any_of(t: Column, phrases: list[str]) -> Column:
 
 def clean_path(p: Column) -> Column:
     return F.trim(F.replace(p, F.lit("\\"), F.lit("/")))
+
+
+def sentences(t: Column) -> Column:
+    """Pieces between white space that follows a full stop, question or exclamation mark; marks stay with their sentence."""
+    return F.split(F.regexp_replace(F.coalesce(t, F.lit("")), r"([.!?])[ \t\r\n\f]+", "$1\u0001"), "\u0001")

@@ -99,3 +99,20 @@ def between_known(stated: DataFrame, known: DataFrame) -> DataFrame:
     ends = F.broadcast(known.select("concept", "kind"))
     one = stated.join(ends.select(F.col("concept").alias("subject"), F.col("kind").alias("subject_kind")), "subject")
     return one.join(ends.select(F.col("concept").alias("object"), F.col("kind").alias("object_kind")), "object")
+
+
+def neighbours(edges: DataFrame, k: int = 5, decay: float = 0.7) -> DataFrame:
+    """(node, other, relation, strength, rank): the k strongest neighbours of each node at one or two steps. ``edges`` has (a, relation, b, support), one row for each.
+
+    Two steps have the product of the supports times ``decay`` and a relation that begins with ``indirect_``. Of the edges that leave a middle node only the
+    strongest can be among the k of any node, so a hub's edges are not multiplied with each other: k of them, and one for each relation back to the node itself.
+    """
+    from pyspark.sql import Window
+
+    relations = len(RELATIONS)
+    w = Window.partitionBy("a").orderBy(F.desc("support"), "b", "relation")
+    onward = edges.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + relations).select(F.col("a").alias("mid"), F.col("b").alias("other"), F.col("relation").alias("rel"), F.col("support").alias("s2"))
+    first = edges.groupBy(F.col("a").alias("node"), F.col("b").alias("mid")).agg(F.max("support").alias("s1"))
+    two = first.join(onward, "mid").filter("node <> other").groupBy("node", "other", F.concat(F.lit("indirect_"), "rel").alias("relation")).agg(F.max(F.round(F.col("s1") * F.col("s2") * F.lit(decay), 4)).alias("strength"))
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "relation", F.col("support").cast("double").alias("strength")).unionByName(two)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("strength"), "other", "relation"))).filter(F.col("rank") <= k)

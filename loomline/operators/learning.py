@@ -98,3 +98,33 @@ def popularity_metrics(train: DataFrame, test: DataFrame, k: int = 10) -> DataFr
 def rating_target(feedback: Column) -> Column:
     """A rating of 1 to 10 as a target in [0, 1], a thumb down (-1) as 0; any other feedback gives none."""
     return F.when(feedback.between(1, 10), (feedback - 1) / 9.0).when(feedback == -1, F.lit(0.0))
+
+
+def clipped_fold(events: DataFrame, keys: list[str], step: str, start: int, low: int, high: int, slice_rows: int = 1000) -> DataFrame:
+    """(keys, n, value) of value <- min(high, max(low, value + step)) in order of ts and event_id; steps are whole numbers.
+
+    Steps of that kind compose to one more of their kind: an addition and two bounds. So slices of a key, cut by day and by
+    ``slice_rows``, are each folded to three numbers, and only these meet at the key. Null steps count as 0.
+    """
+    w = Window.partitionBy(*keys, "_day").orderBy("ts", "event_id")
+    cut = events.withColumn("_day", F.to_date("ts")).withColumn("_slice", F.floor((F.row_number().over(w) - 1) / slice_rows))
+    one = F.struct(F.col("ts"), F.col("event_id"), F.coalesce(F.col(step), F.lit(0)).cast("bigint").alias("by"))
+    bound = lambda c: F.least(F.lit(high).cast("bigint"), F.greatest(F.lit(low).cast("bigint"), c))
+    none = F.struct(F.lit(0).cast("bigint").alias("add"), F.lit(low).cast("bigint").alias("least"), F.lit(high).cast("bigint").alias("most"))
+    after = lambda acc, x: F.struct((acc["add"] + x["by"]).alias("add"), bound(acc["least"] + x["by"]).alias("least"), bound(acc["most"] + x["by"]).alias("most"))
+    parts = cut.groupBy(*keys, "_day", "_slice").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("steps"))
+    folded = parts.select(*keys, "_day", "_slice", "n", F.aggregate("steps", none, after).alias("f"))
+    whole = folded.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_day", "_slice", "f"))).alias("fs"))
+    value = F.aggregate("fs", F.lit(start).cast("bigint"), lambda v, x: F.least(x["f"]["most"], F.greatest(x["f"]["least"], v + x["f"]["add"])))
+    return whole.select(*keys, "n", value.alias("value"))
+
+
+def anchored(candidates: DataFrame, abilities: DataFrame, default: float = 0.5) -> DataFrame:
+    """candidates (user_id, topic, difficulty, ...) with ``anchor``, ``known`` and ``gap`` = |difficulty - anchor|. The anchor is the user's ability (user_id,
+    topic, theta; one row a user and topic) in the topic's lower-case spelling, else in its own, else ``default``; a difficulty that is null or 0 counts as ``default``."""
+    low = abilities.select("user_id", F.col("topic").alias("_low"), F.col("theta").alias("_by_low"))
+    own = abilities.select("user_id", "topic", F.col("theta").alias("_by_own"))
+    j = candidates.withColumn("_low", F.lower("topic")).join(low, ["user_id", "_low"], "left").join(own, ["user_id", "topic"], "left")
+    theta = F.coalesce("_by_low", "_by_own")
+    j = j.withColumn("known", theta.isNotNull()).withColumn("anchor", F.coalesce(theta, F.lit(default)))
+    return j.withColumn("gap", F.abs(F.coalesce(F.nullif("difficulty", F.lit(0.0)), F.lit(default)) - F.col("anchor"))).drop("_low", "_by_low", "_by_own")

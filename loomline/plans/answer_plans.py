@@ -55,14 +55,17 @@ cand AS (SELECT s.user_id, p.item, round(0.7 * p.pop + 0.3 * s.share, 6) AS scor
 new AS (SELECT * FROM cand ANTI JOIN (SELECT DISTINCT user_id, item FROM e) USING (user_id, item))
 SELECT user_id, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM new) WHERE rank <= 3""")
 def rec_blend(spark: SparkSession, d: str) -> DataFrame:
-    """Popularity and the user's share of the topic, over items not yet used."""
+    """Popularity and the user's share of the topic, over items not yet used. Of a topic a user meets only the most popular items, three more than
+    they have used."""
     e = _events(spark, d)
     counts = e.groupBy("item").agg(F.count("*").alias("c"))
     most = counts.agg(F.max("c").alias("most"))
     pop = counts.join(F.broadcast(most)).select("item", (F.col("item") % 10).alias("topic"), (F.col("c").cast("double") / F.col("most")).alias("pop"))
-    own = e.groupBy("user_id", "topic").agg(F.count("*").cast("double").alias("c"))
+    placed = pop.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("pop"), "item")))
+    own = e.groupBy("user_id", "topic").agg(F.count("*").cast("double").alias("c"), F.countDistinct("item").alias("used"))
     share = own.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("user_id")))
-    cand = share.join(pop, "topic").select("user_id", "item", F.round(0.7 * F.col("pop") + 0.3 * F.col("share"), 6).alias("score"))
+    asked = share.withColumn("place", F.explode(F.sequence(F.lit(1), (F.col("used") + 3).cast("int"))))  # three are left once the user's own are out
+    cand = asked.join(placed, ["topic", "place"]).select("user_id", "item", F.round(0.7 * F.col("pop") + 0.3 * F.col("share"), 6).alias("score"))
     new = cand.join(e.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item"))).filter("rank <= 3")
 
