@@ -10,7 +10,7 @@
 3. Intersection: at such offsets the lists of the other terms are joined in, and runs of consecutive
    positions of at least ``length`` words are exact matches.
 4. Proximity: the same lists are intersected with slack. Where all but one of the anchors of a run stand at offsets that
-   differ by less than twice ``slack``, the lists of the other terms are joined in, and an item of which ``length`` of some ``near_window``
+   differ by less than twice ``slack``, the lists of the other terms are looked up in the document's row, and an item of which ``length`` of some ``near_window``
    consecutive words stand there, in any order and with other words between them, is a near match.
 
 Nulls: documents or items with a null id or text are left out. Repeated rows count once. Extra columns
@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,8 @@ def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: in
     anchors = broadcast_if_small(cut_lineage(anchors))
     lists = postings.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
     windows = chosen.groupBy("item_id", "field").agg(F.collect_set(F.array_sort(F.transform("best", lambda x: x["tpos"]))).alias("windows"))  # as many as an item has words
+    if near:
+        return _both_kinds(postings, lists.join(anchors, "term"), terms, windows, length, rarest, near_window, slack)
     met = lists.join(anchors, "term").groupBy("doc_id", "item_id", "field", (F.col("pos") - F.col("tpos")).alias("shift")).agg(F.collect_set("tpos").alias("at")).filter(F.size("at") >= rarest)
     whole = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("at"))) == 0)
     offsets = cut_lineage(met.join(broadcast_if_small(cut_lineage(windows)), ["item_id", "field"]).filter(whole).select("doc_id", "item_id", "field", "shift"))
@@ -109,35 +113,95 @@ def matches(documents: DataFrame, items: DataFrame, length: int = 12, rarest: in
         .groupBy("doc_id", "item_id", "field", "shift", "island").agg(F.count("*").alias("words"), F.min(F.col("tpos") + F.col("shift")).alias("first_pos"))
         .filter(F.col("words") >= length)
     )
-    exact = runs.groupBy("doc_id", "item_id", "field").agg(F.max("words").alias("longest_run"), F.sum("words").alias("matched_words"), F.min("first_pos").alias("first_pos"))
-    if not near:
-        return exact
-    exact = cut_lineage(exact)
-    sizes = terms.groupBy("item_id", "field").agg(F.count("*").alias("item_words"))
-    found = _near(postings, lists.join(anchors, "term"), terms, windows, length, rarest, near_window, slack).join(exact.select("doc_id", "item_id", "field"), ["doc_id", "item_id", "field"], "left_anti")
-    both = exact.withColumn("kind", F.lit("exact")).unionByName(found.withColumn("longest_run", F.lit(None).cast("bigint")).withColumn("kind", F.lit("near")))
-    return both.join(broadcast_if_small(sizes), ["item_id", "field"]).withColumn("share", F.round(F.least(F.lit(1.0), F.col("matched_words") / F.col("item_words")), 6)).drop("item_words")
-
-
-def _near(postings: DataFrame, met: DataFrame, terms: DataFrame, windows: DataFrame, length: int, rarest: int, near_window: int, slack: int) -> DataFrame:
-    """(doc_id, item_id, field, matched_words, first_pos) of near matches. A band holds the offsets from (band - 1) x slack to below (band + 1) x slack,
-    so that any two offsets less than ``slack`` apart share one."""
+    return runs.groupBy("doc_id", "item_id", "field").agg(F.max("words").alias("longest_run"), F.sum("words").alias("matched_words"), F.min("first_pos").alias("first_pos"))
+
+
+def _candidates(met: DataFrame, windows: DataFrame, rarest: int, slack: int) -> DataFrame:
+    """(doc_id, item_id, field, bands): where all but one of the anchors of a run stand close together. A band holds the offsets from (band - 1) x slack
+    to below (band + 1) x slack, so that any two offsets less than ``slack`` apart share one, and an exact match lies in two."""
     low = F.floor((F.col("pos") - F.col("tpos")) / slack)
     both = met.groupBy("doc_id", "item_id", "field").agg(F.collect_set(F.struct(low.alias("low"), "tpos")).alias("met")).filter(F.size("met") >= rarest - 1)  # bounded by the anchors in one document
     bands = F.array_distinct(F.flatten(F.transform("met", lambda m: F.array(m["low"], m["low"] + 1))))
     inside = F.filter("met", lambda m: (m["low"] == F.col("band")) | (m["low"] == F.col("band") - 1))
     banded = both.withColumn("band", F.explode(bands)).withColumn("at", F.array_distinct(F.transform(inside, lambda m: m["tpos"]))).filter(F.size("at") >= rarest - 1)
     most = F.exists("windows", lambda w: F.size(F.array_except(w, F.col("at"))) <= 1)
-    places = cut_lineage(banded.join(broadcast_if_small(cut_lineage(windows)), ["item_id", "field"]).filter(most).select("doc_id", "item_id", "field", "band"))
-    hit = postings.join(broadcast_if_small(places.select("doc_id").distinct()), "doc_id", "left_semi")
-    of_hits = hit.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.places").alias("pos"))
-    expected = places.join(broadcast_if_small(terms.drop("word")), ["item_id", "field"])
-    shift = F.col("pos") - F.col("tpos")
-    inside = expected.join(of_hits, ["doc_id", "term"]).filter((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
-    words = inside.groupBy("doc_id", "item_id", "field", "band", "tpos").agg(F.min("pos").alias("pos"))
-    following = Window.partitionBy("doc_id", "item_id", "field", "band").orderBy("tpos").rangeBetween(0, near_window - 1)
-    dense = words.withColumn("n", F.count("*").over(following)).groupBy("doc_id", "item_id", "field", "band").agg(F.max("n").alias("n"), F.count("*").alias("matched_words"), F.min("pos").alias("first_pos"))
-    return dense.filter(F.col("n") >= length).groupBy("doc_id", "item_id", "field").agg(F.max("matched_words").alias("matched_words"), F.min("first_pos").alias("first_pos"))
+    held = banded.join(broadcast_if_small(cut_lineage(windows)), ["item_id", "field"]).filter(most)
+    return held.groupBy("doc_id", "item_id", "field").agg(F.collect_set("band").alias("bands"))
+
+
+def _met_positions(terms: np.ndarray, places: np.ndarray, asked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two posting lists intersected: (place in the item, place in the document) of each common term. ``terms`` is sorted."""
+    left, right = np.searchsorted(terms, asked, "left"), np.searchsorted(terms, asked, "right")
+    n = right - left
+    index = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(at, n), places[index]
+
+
+def _exact_runs(tpos: np.ndarray, pos: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """(words, first place) of each run of at least ``length`` consecutive words at one offset."""
+    shifts, n = np.unique(pos - tpos, return_counts=True)
+    runs = []
+    for shift in shifts[n >= length]:
+        t = np.unique(tpos[pos - tpos == shift])
+        for island in np.split(t, np.flatnonzero(np.diff(t) > 1) + 1):
+            if len(island) >= length:
+                runs.append((len(island), int(island[0] + shift)))
+    return runs
+
+
+def _near_bands(tpos: np.ndarray, pos: np.ndarray, bands: np.ndarray, length: int, near_window: int, slack: int) -> list[tuple[int, int]]:
+    """(words met, first place) of each band in which ``length`` of ``near_window`` consecutive words of the item stand."""
+    found, shift = [], pos - tpos
+    for band in bands:
+        inside = (shift >= (band - 1) * slack) & (shift < (band + 1) * slack)
+        t = np.unique(tpos[inside])
+        if len(t) >= length and (np.searchsorted(t, t + near_window) - np.arange(len(t))).max() >= length:
+            found.append((len(t), int(pos[inside].min())))
+    return found
+
+
+def _verify(length: int, near_window: int, slack: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = b.column("doc_id").to_pylist(), []
+            offsets, terms, places = b.column("terms").offsets.to_numpy(), b.column("terms").values.to_numpy(), b.column("places").values.to_numpy()
+            asked, own = b.column("asked").offsets.to_numpy(), b.column("asked").values
+            names, fields = own.field("item_id").to_pylist(), own.field("field").to_pylist()
+            in_item, item_terms, item_places = own.field("terms").offsets.to_numpy(), own.field("terms").values.to_numpy(), own.field("places").values.to_numpy()
+            in_bands, bands = own.field("bands").offsets.to_numpy(), own.field("bands").values.to_numpy()
+            for d, doc in enumerate(ids):
+                order = np.argsort(terms[offsets[d] : offsets[d + 1]], kind="stable") + offsets[d]
+                t, p = terms[order], places[order]
+                for c in range(asked[d], asked[d + 1]):
+                    part = slice(in_item[c], in_item[c + 1])
+                    tpos, pos = _met_positions(t, p, item_terms[part], item_places[part])
+                    runs = _exact_runs(tpos, pos, length)
+                    met = runs or _near_bands(tpos, pos, bands[in_bands[c] : in_bands[c + 1]], length, near_window, slack)
+                    if met:
+                        words = [n for n, _ in met]
+                        rows.append((doc, names[c], fields[c], "exact" if runs else "near", max(words) if runs else None, sum(words) if runs else max(words), min(f for _, f in met)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _MATCH, strict=True)], names=["doc_id", "item_id", "field", "kind", "longest_run", "matched_words", "first_pos"])
+
+    return run
+
+
+_MATCH = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+
+
+def _both_kinds(postings: DataFrame, met: DataFrame, terms: DataFrame, windows: DataFrame, length: int, rarest: int, near_window: int, slack: int) -> DataFrame:
+    """Exact and near matches. The places to look at, which exact matches are among, are brought to the postings of their document, one row each, and
+    the lists are intersected there; no list is opened and shuffled term by term."""
+    entry = F.array_sort(F.collect_list(F.struct("term", "tpos")))
+    items = terms.groupBy("item_id", "field").agg(entry.alias("e")).select("item_id", "field", F.col("e.term").alias("terms"), F.col("e.tpos").alias("places"), F.size("e").alias("item_words"))
+    items = cut_lineage(items)
+    places = _candidates(met, windows, rarest, slack).join(broadcast_if_small(items.drop("item_words")), ["item_id", "field"])
+    asked = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "field", "bands", "terms", "places")).alias("asked"))
+    found = postings.join(asked, "doc_id").mapInArrow(_verify(length, near_window, slack), "doc_id bigint, item_id string, field string, kind string, longest_run bigint, matched_words bigint, first_pos int")
+    best = F.min(F.struct("kind", (-F.col("longest_run")).alias("r"), (-F.col("matched_words")).alias("w"), "first_pos"))  # repeated rows of a document
+    one = found.groupBy("doc_id", "item_id", "field").agg(best.alias("b")).select("doc_id", "item_id", "field", (-F.col("b.r")).alias("longest_run"), (-F.col("b.w")).alias("matched_words"), "b.first_pos", "b.kind")
+    share = F.round(F.least(F.lit(1.0), F.col("matched_words") / F.col("item_words")), 6)
+    return one.join(broadcast_if_small(items.select("item_id", "field", "item_words")), ["item_id", "field"]).withColumn("share", share).drop("item_words")
 
 
 def leaks(found: DataFrame) -> DataFrame:

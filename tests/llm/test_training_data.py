@@ -477,6 +477,10 @@ def test_near_matches(spark):
     assert got[0].share == 1.0 and all(got[k].matched_words >= 36 and got[k].share > 0.8 for k in (1, 2, 3))
     assert {r.doc_id for r in leakage.leaks(leakage.matches(df, ev)).collect()} == {0}
     assert leakage.matches(df.limit(0), ev, near=True).count() == 0 and leakage.matches(df, ev.limit(0), near=True).count() == 0
+    cols = ["doc_id", "item_id", "field", "longest_run", "matched_words", "first_pos"]
+    both = leakage.matches(df.unionByName(df), ev, near=True, max_vocabulary=3)
+    assert both.count() == len(got)  # repeated rows count once, also with all terms stored
+    assert {tuple(r) for r in both.filter("kind = 'exact'").select(*cols).collect()} == {tuple(r) for r in leakage.matches(df, ev).select(*cols).collect()}
 
 
 def test_plain_words():
