@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,9 +56,17 @@ def first_reason(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def expand(text: Column, words: dict[str, str]) -> Column:
-    """The text with the expansions of the phrases it holds in brackets after it, longest phrase first, each once."""
+    """The text with the expansions of the phrases it holds in brackets after it, longest phrase first, each once. A phrase that is part
+    of a longer one that the text holds is skipped."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.array(*[F.when(low.rlike(rf"(?:^|[^\p{{L}}]){p}(?:[^\p{{L}}]|$)"), F.lit(words[p])) for p in sorted(words, key=lambda p: (-len(p), p))])
+    order = sorted(words, key=lambda p: (-len(p), p))
+    held = lambda p: low.rlike(rf"(?:^|[^\p{{L}}]){p}(?:[^\p{{L}}]|$)")
+
+    def alone(p: str) -> Column:
+        longer = [held(q) for q in order if len(q) > len(p) and f" {p} " in f" {q} "]
+        return reduce(lambda a, q: a & ~q, longer, held(p))
+
+    hits = F.array(*[F.when(alone(p), F.lit(words[p])) for p in order])
     found = F.array_distinct(F.array_compact(hits))
     return F.when(F.size(found) == 0, text).otherwise(F.concat(text, F.lit(" ("), F.concat_ws(", ", found), F.lit(")")))
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions import answers
+from loomline.functions import answers, ids
 from loomline.functions import text as T
 from loomline.operators import graph, learning
 
@@ -67,3 +67,10 @@ def test_abstention_and_stripped_claims(spark):
     texts = spark.createDataFrame([("One is so. Two is not! Three?", ["two IS not!"]), ("One is so. Two is not!", None), ("", ["x"]), (None, ["x"])], "a string, c array<string>")
     assert [r[0] for r in texts.select(answers.without_claims(F.col("a"), F.col("c"))).collect()] == ["One is so. Three?", "One is so. Two is not!", "", ""]
     assert spark.range(1).select(T.sentences(F.lit("A b.  C d?\n\nE"))).first()[0] == ["A b.", "C d?", "E"]
+
+
+def test_expand_skips_a_phrase_inside_a_longer_one(spark):
+    words = {"blood sugar": "glucose", "sugar": "sucrose", "low blood sugar": "hypoglycaemia", "salt": "sodium"}
+    texts = ["Low blood sugar and salt", "blood sugar", "sugar only", "sugarcane", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(ids.expand(F.col("t"), words)).collect()] == ["Low blood sugar and salt (hypoglycaemia, sodium)", "blood sugar (glucose)", "sugar only (sucrose)", "sugarcane", None]
