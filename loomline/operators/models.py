@@ -17,6 +17,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.text import once
 from loomline.session import written
 
 # English function words that make no topic; a parameter of the operators.
@@ -47,8 +48,7 @@ def tfidf_kmeans(docs: DataFrame, k: int, features: int = 1 << 12, seed: int = 7
 def terms_of(text: Column, stop: list[str] | None = None) -> Column:
     """Words of three letters or more without stop words, and pairs of neighbours among them."""
     kept = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*(stop or STOP)))
-    pairs = F.transform(F.slice(kept, 2, F.size(kept)), lambda w, i: F.concat_ws(" ", F.get(kept, i), w))
-    return F.concat(kept, pairs)
+    return once(kept, lambda k: F.concat(k, F.transform(F.slice(k, 2, F.size(k)), lambda w, i: F.concat_ws(" ", F.get(k, i), w))))
 
 
 def vocabulary(docs: DataFrame, least: int = 2, most: float = 0.6) -> DataFrame:
