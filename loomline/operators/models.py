@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.recommendation import ALS
-from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from loomline.functions.text import once
 from loomline.session import written
@@ -58,35 +60,57 @@ def vocabulary(docs: DataFrame, least: int = 2, most: float = 0.6) -> DataFrame:
     return counted.join(F.broadcast(rows.agg(F.count("*").alias("n"))), (F.col("df") >= least) & (F.col("df") <= F.col("n") * most)).select("term", "df")
 
 
+def _flagged(terms: Column) -> Column:
+    """(term, first) of each term in order; ``first`` is 1 at one of equal terms."""
+    return once(F.array_sort(terms), lambda s: F.transform(s, lambda t, i: F.struct(t.alias("term"), F.when(F.get(s, i - 1) == t, 0).otherwise(1).alias("first"))))
+
+
 def _project(components: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [np.asarray(v) @ components[np.asarray(i, dtype=np.int64)] if len(i) else np.zeros(components.shape[1]) for i, v in zip(pdf["at"], pdf["weight"], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": rows})
+            rows = [np.asarray(v) @ components[np.asarray(i, dtype=np.int64)] for i, v in zip(pdf["at"], pdf["weight"], strict=True)]
+            yield pdf.assign(x=rows)
 
     return run
 
 
+def _components(weights: DataFrame, count: int) -> np.ndarray:
+    """The first right singular vectors of the rows of ``features``. Every step of the solver reads all rows again, so they are kept in memory for it."""
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(weights.select("features"), "features"))
+    rows = matrix._java_matrix_wrapper._java_model.rows()
+    rows.persist(weights.sparkSession.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK_DESER))
+    try:
+        return matrix.computeSVD(count).V.toArray()
+    finally:
+        rows.unpersist(False)
+
+
 def topics(docs: DataFrame, ks: tuple[int, ...] = (4, 8, 12), size: int = 20_000, components: int = 30, least: int = 2, most: float = 0.6, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Topic model of (doc_id, text): (doc_id, cluster) and (term, cluster, weight), the mean TF-IDF weight of the terms of each cluster.
 
-    TF-IDF over words and pairs of a vocabulary of at most ``size`` terms, truncated SVD to ``components`` dimensions by a distributed
-    ``RowMatrix``, k-means for each of ``ks``; the k with the best silhouette holds, of equal ones the least. Only the vocabulary and the
-    ``size`` x ``components`` matrix reach the driver, both bounded by parameters. Documents without any term are in no cluster.
+    TF-IDF over words and pairs of a vocabulary of at most ``size`` terms, the most frequent and of equal ones the first by name,
+    truncated SVD to ``components`` dimensions by a distributed ``RowMatrix``, k-means for each of ``ks``; the k with the best
+    silhouette holds, of equal ones the least. Only the vocabulary and the ``size`` x ``components`` matrix reach the driver, both
+    bounded by parameters. Documents without any term are in no cluster.
     """
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", terms_of(F.col("text")).alias("terms"))
-    model = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=least, maxDF=most), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]).fit(rows)
-    sparse = F.from_json(F.to_json(F.struct("features")), "features struct<indices: array<int>, values: array<double>>")["features"]
-    weighed = model.transform(rows).select("doc_id", sparse.alias("f")).select("doc_id", F.col("f.indices").alias("at"), F.col("f.values").alias("weight"))
-    weights = written(weighed.filter(F.size("at") > 0), "weights")
-    words = model.stages[0].vocabulary
-    if not words or weights.isEmpty():
-        return weights.select("doc_id", F.lit(0).alias("cluster")).limit(0), weights.select(F.lit("").alias("term"), F.lit(0).alias("cluster"), F.lit(0.0).alias("weight")).limit(0)
-    width = len(words)
-    matrix = RowMatrix(weights.select("at", "weight").rdd.map(lambda r: Vectors.sparse(width, r.at, r.weight)))
-    svd = matrix.computeSVD(min(components, width, weights.count()))
-    low = svd.V.toArray()
-    points = written(weights.mapInPandas(_project(low), "doc_id bigint, x array<double>").withColumn("features", array_to_vector("x")).select("doc_id", "features"), "points")
+    spark = docs.sparkSession
+    given = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = given.select("doc_id", terms_of(F.col("text")).alias("terms"))
+    total = given.count()
+    counted = rows.select(F.inline(_flagged(F.col("terms")))).groupBy("term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
+    known = counted.filter((F.col("df") >= least) & (F.col("df") <= total * most)).orderBy(F.desc("n"), "term").limit(size).collect()
+    if not known:
+        return given.select("doc_id", F.lit(0).alias("cluster")).limit(0), given.select(F.lit("").alias("term"), F.lit(0).alias("cluster"), F.lit(0.0).alias("weight")).limit(0)
+    words, width = [r.term for r in known], len(known)
+    idf = np.log((total + 1) / (np.array([r.df for r in known]) + 1))
+    counts = CountVectorizerModel.from_vocabulary(words, "terms", "tf").transform(rows)
+    weighed = Normalizer(inputCol="idf", outputCol="features").transform(ElementwiseProduct(scalingVec=DenseVector(idf), inputCol="tf", outputCol="idf").transform(counts))
+    vectors = written(weighed.select("doc_id", "features"), "weights")
+    sparse = spark.read.schema("doc_id bigint, features struct<indices: array<int>, values: array<double>>").parquet(*vectors.inputFiles())
+    weights = sparse.select("doc_id", F.col("features.indices").alias("at"), F.col("features.values").alias("weight")).filter(F.size("at") > 0)
+    low = _components(vectors, min(components, width, weights.count()))
+    projected = weights.mapInPandas(_project(low), "doc_id bigint, at array<int>, weight array<double>, x array<double>").withColumn("features", array_to_vector("x"))
+    points = written(projected.select("doc_id", "features"), "points").persist()
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     best = None
     for k in ks:
@@ -96,9 +120,10 @@ def topics(docs: DataFrame, ks: tuple[int, ...] = (4, 8, 12), size: int = 20_000
         if best is None or score > best[0]:
             best = (score, fitted)
     clusters = written(best[1].transform(points).select("doc_id", "cluster"), "clusters")
-    names = docs.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(width, dtype=np.int32), "term": words}))
+    points.unpersist()
+    names = spark.createDataFrame(pd.DataFrame({"i": np.arange(width, dtype=np.int32), "term": words}))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    sums = weights.join(clusters, "doc_id").select("cluster", F.explode(F.arrays_zip("at", "weight")).alias("p")).groupBy("cluster", F.col("p.at").alias("i")).agg(F.sum("p.weight").alias("w"))
+    sums = best[1].transform(projected).select("cluster", F.explode(F.arrays_zip("at", "weight")).alias("p")).groupBy("cluster", F.col("p.at").alias("i")).agg(F.sum("p.weight").alias("w"))
     return clusters, sums.join(sizes, "cluster").join(names, "i").select("term", "cluster", (F.col("w") / F.col("n")).alias("weight"))
 
 
