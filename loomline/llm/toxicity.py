@@ -356,19 +356,30 @@ def train(bags: list[tuple[list[tuple[list[int], list[int]]], float]], rounds: i
             bag.append(b)
     member, bag = np.array(member, dtype=np.int32), np.array(bag, dtype=np.int32)
     y = np.array([label for _, label in bags])
-    at = [np.r_[np.frombuffer(n, np.int32), np.frombuffer(h, np.int32) + len(FEATURES)] for n, h in known]
-    value = np.concatenate([np.r_[np.ones(len(n) // 4), np.full(len(h) // 4, 1.0 / max(1, len(h) // 4) ** 0.5)] for n, h in known])
-    row = np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in at])
-    at = np.concatenate(at)
+    sizes = np.array([(len(n) // 4, len(h) // 4) for n, h in known])  # named and hashed features of each sentence
+    at = np.concatenate([x for n, h in known for x in (np.frombuffer(n, np.int32), np.frombuffer(h, np.int32) + len(FEATURES))])
+    value = np.repeat(np.stack([np.ones(len(known)), np.maximum(1, sizes[:, 1]) ** -0.5], axis=1).ravel(), sizes.ravel())
+    row = np.repeat(np.arange(len(known)), sizes.sum(axis=1))
     # a word of one document only tells nothing of others: it keeps its start
     often = np.bincount(at, np.bincount(member, minlength=len(known))[row], start.shape[1]) > 1
     often[: len(FEATURES)] = True
     row, value, at = row[often[at]], value[often[at]], at[often[at]]
     used, at = np.unique(at, return_inverse=True)
     w0 = start[:, used]
+    # runs of one value in a sentence, its named and its hashed features: the value is applied once a run
+    new = np.r_[True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])]
+    begin = np.flatnonzero(new)
+    run_row, run_value = row[begin], value[begin]
+    by_feature = np.argsort(at, kind="stable")
+    run_of = (np.cumsum(new) - 1)[by_feature]
+    first_of = np.searchsorted(at[by_feature], np.arange(len(used)))
+    space = np.empty(len(at))
+
+    def sums(x: np.ndarray, of: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.take(x, of, out=space, mode="clip"), begin)
 
     def chances(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = np.stack([np.bincount(row, w[c, at] * value, len(known)) for c in range(len(CATEGORIES))], axis=1)
+        z = np.stack([np.bincount(run_row, sums(own, at, begin) * run_value, len(known)) for own in w], axis=1)
         p = 1.0 / (1.0 + np.exp(-z))
         none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1)[member], len(bags))
         return p, 1.0 - np.exp(none)  # that the bag holds something
@@ -389,8 +400,8 @@ def train(bags: list[tuple[list[tuple[list[int], list[int]]], float]], rounds: i
         p, q = chances(w)
         seen = flip + (1 - 2 * flip) * q
         slope = (y / seen - (1 - y) / (1 - seen)) * (1 - 2 * flip) * (1 - q)
-        step = np.bincount(member, slope[bag], len(known))[:, None] * p
-        grad = np.stack([np.bincount(at, step[row, c] * value, len(used)) for c in range(len(CATEGORIES))]) / max(200, len(bags))  # few labels move the prior little
+        step = np.bincount(member, slope[bag], len(known)) * p.T
+        grad = np.stack([sums(own[run_row] * run_value, run_of, first_of) for own in step]) / max(200, len(bags))  # few labels move the prior little
         w += rate * (grad * 10 - hold * (w - w0))
     start[:, used] = w
     return start
